@@ -9,7 +9,29 @@ from pyspark.sql import functions as F
 
 from ..session import spread
 from ..sources.tables import table
-from . import forms, sents
+from . import forms, langs, sents
+
+
+def _labelled(spark: SparkSession, d: str) -> tuple[DataFrame, DataFrame]:
+    items = table(spark, d, "work_items", "item_id", "text", "source_language").toDF("rec_id", "text", "label")
+    documents = table(spark, d, "documents", "doc_id", "text", "lang").toDF("rec_id", "text", "label")
+    return items, documents
+
+
+def _languages(spark: SparkSession, d: str, cases_only: bool) -> DataFrame:
+    items, documents = _labelled(spark, d)
+    model = langs.model_of(items.select("text", "label"), documents.select("text", "label"))
+    parts = [langs.languages(df, model, by_line, cases_only).withColumn("tbl", F.lit(name)) for df, by_line, name in ((items, False, "work_items"), (documents, True, "documents"))]
+    return parts[0].unionByName(parts[1])
+
+
+def p3_found(spark: SparkSession, d: str) -> DataFrame:
+    return _languages(spark, d, True).select("tbl", "rec_id", "seg_no", "lang")
+
+
+def p3_languages(spark: SparkSession, d: str) -> DataFrame:
+    """Every text and every stretch of a mixed one, with its language and a confidence."""
+    return _languages(spark, d, False).select("tbl", "rec_id", "seg_no", "start_pos", "end_pos", "lang", "confidence")
 
 
 def p4_strings(spark: SparkSession, d: str) -> DataFrame:
@@ -45,7 +67,7 @@ def p5_sentences(spark: SparkSession, d: str) -> DataFrame:
 
 
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
-    return {f.__name__: f for f in (p4_found, p4_canonical, p5_found, p5_sentences)}
+    return {f.__name__: f for f in (p3_found, p3_languages, p4_found, p4_canonical, p5_found, p5_sentences)}
 
 
 def oracle_sql() -> dict[str, str]:
