@@ -9,7 +9,21 @@ from pyspark.sql import functions as F
 
 from ..session import spread
 from ..sources.tables import table
-from . import forms, langs, sents
+from . import forms, langs, pairs, sents
+
+
+def p1_labels(spark: SparkSession, d: str) -> DataFrame:
+    """The defective pairs of requests and items, with all labels that the label model keeps."""
+    requests = table(spark, d, "requests", "request_id", "target_language", "item_ids")
+    items = table(spark, d, "work_items", "item_id", "text", "source_language")
+    replies = table(spark, d, "translated_items", "request_id", "item_id", "translation")
+    sample = replies.join(F.broadcast(requests.orderBy(F.xxhash64("request_id"), "request_id").limit(600)), "request_id").select(F.col("translation").alias("text"), F.col("target_language").alias("label"))
+    model = langs.model_of(items.select("text", "source_language"), sample)
+    return pairs.defects(requests, items.select("item_id", "text"), replies, model)
+
+
+def p1_found(spark: SparkSession, d: str) -> DataFrame:
+    return p1_labels(spark, d).select("request_id", "item_id", F.element_at("labels", 1).alias("defect"))
 
 
 def _labelled(spark: SparkSession, d: str) -> tuple[DataFrame, DataFrame]:
@@ -67,7 +81,7 @@ def p5_sentences(spark: SparkSession, d: str) -> DataFrame:
 
 
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
-    return {f.__name__: f for f in (p3_found, p3_languages, p4_found, p4_canonical, p5_found, p5_sentences)}
+    return {f.__name__: f for f in (p1_found, p1_labels, p3_found, p3_languages, p4_found, p4_canonical, p5_found, p5_sentences)}
 
 
 def oracle_sql() -> dict[str, str]:
