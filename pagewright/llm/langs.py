@@ -70,7 +70,7 @@ _SCRIPT[0xAC00:0xD7B0] = _SCRIPT[0x1100:0x1200] = _SCRIPT[0x3131:0x318F] = 6
 _SCRIPT[0x30FB] = 0
 _WORD = re.compile(r"\b[a-zß-öø-ÿœšž]+\b")
 _ANY_WORD = re.compile(r"\b[A-Za-zÀ-ÖØ-öø-ÿœŒ]{3,}\b")
-_ODD = re.compile("[" + "".join(re.escape(chr(c)) for c in _REWRITE if not 0xFF01 <= c <= 0xFF20) + "]")
+_ODD = re.compile("[" + "".join(re.escape(chr(c)) for c in _REWRITE if c < 0x10000 and not 0xFF01 <= c <= 0xFF20) + "]")
 _BUCKETS = 1 << 14
 
 
@@ -98,18 +98,20 @@ def _grams(word: str) -> list[int]:
 def _svm(rows: list[np.ndarray], signs: np.ndarray, size: int, reg: float = 1e-3, rounds: int = 120) -> np.ndarray:
     """A linear support vector machine with squared hinge loss, by accelerated gradient steps; rows hold feature indices."""
     lengths = np.array([len(r) for r in rows])
-    index = np.concatenate(rows) if len(rows) else np.zeros(0, int)
+    used, index = np.unique(np.concatenate(rows) if len(rows) else np.zeros(0, int), return_inverse=True)
     value = np.repeat(1 / np.sqrt(np.maximum(lengths, 1)), lengths)
     row = np.repeat(np.arange(len(rows)), lengths)
     weight = 1 / np.where(signs > 0, max(1, (signs > 0).sum()), max(1, (signs < 0).sum())) / 2
-    w, ahead, t = np.zeros(size), np.zeros(size), 1.0
+    w, ahead, t = np.zeros(len(used)), np.zeros(len(used)), 1.0
     for _ in range(rounds):
         slack = np.maximum(0, 1 - signs * np.bincount(row, value * ahead[index], len(rows)))
-        step = ahead - 0.5 * (reg * ahead - np.bincount(index, value * (2 * weight * slack * signs)[row], size))
+        step = ahead - 0.5 * (reg * ahead - np.bincount(index, value * (2 * weight * slack * signs)[row], len(used)))
         t, before = (1 + (1 + 4 * t * t) ** 0.5) / 2, t
         ahead = step + (before - 1) / t * (step - w)
         w = step
-    return w
+    out = np.zeros(size)
+    out[used] = w
+    return out
 
 
 class LanguageModel:

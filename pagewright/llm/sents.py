@@ -30,7 +30,7 @@ m mm mme mmes mlle mgr éq pl chap par art t c.-à-d p.ex n.b cf
 sr sra srta dra d da dª núm págs pág cap ej p.ej ud uds aprox lic ing ee av
 sig sigg sig.ra sig.na dott prof.ssa pag pagg sez es p.es cfr n tav
 exmo exma eng p.ex séc
-проф д-р акад рис табл разд стр с гл см ср напр прибл ок т.е т.н им ул г-н г-жа тов доц св илл п пп""".split()  # noqa: SIM905
+проф д-р акад рис табл разд стр с гл см ср напр прибл ок сл т.е т.н им ул г-н г-жа тов доц св илл п пп""".split()  # noqa: SIM905
 # Abbreviations that may stand at the end of a sentence; a capital after them starts a new one.
 _MAY_END = """etc al co inc ltd corp jr sr usw u.s.w u.a.m ecc etc ss seg segg sqq sq ff f u.s u.k a.m p.m a.d b.c d.c st ave
 др т.д т.п г гг в вв н.э руб коп тыс млн млрд y.s n.a sra""".split()  # noqa: SIM905
@@ -56,8 +56,8 @@ _LIST_NUMBER = re.compile(r"\(?(?:\d{1,3}|[A-Za-z]|[ivxlcIVXLC]{1,6})\Z")
 _INVISIBLE = {code: None for code, to in _REWRITE.items() if to is None}
 _BLANKS = {code: " " for code, to in _REWRITE.items() if to == " "}
 _FLAT = _INVISIBLE | _BLANKS | {code: to for code, to in _REWRITE.items() if to is not None and len(to) == 1 and 0xFF10 <= code <= 0xFF5A and chr(code).isalnum()}
-_PLAIN = re.compile("[" + "".join(re.escape(chr(c)) for c in _FLAT) + "]")
-_HIDDEN = re.compile("[" + "".join(re.escape(chr(c)) for c in _INVISIBLE) + "]")
+_PLAIN = re.compile("[" + "".join(re.escape(chr(c)) for c in _FLAT if c < 0x10000) + "]")  # a class within the first plane is one table look-up
+_HIDDEN = re.compile("[" + "".join(re.escape(chr(c)) for c in _INVISIBLE if c < 0x10000) + "]")
 
 
 class _Words:
