@@ -24,24 +24,29 @@ from .forms import normalised
 from .langs import LanguageModel, label_code, script_counts
 
 MODELLED = ("refusal", "copied", "wrong_language", "truncated")
+DEBUG = False
 ORDER = ("missing", "empty", *MODELLED)
 
 # How a model declines, in the eleven languages; lower case, without invisible characters.
 _DECLINES = re.compile(
     r"\b(?:i(?:['’]m| am)? (?:sorry|afraid)|sorry,|i apologi[sz]e)|(?:can(?:no|['’])t|can ?not|unable to|not able to|won['’]t|must (?:decline|refuse)|decline to|refuse to|not allowed to|not permitted to) (?:\w+ ){0,4}?(?:translat|process|help|assist|provide|comply|render|answer|fulfil)"
-    r"|(?:against|violat\w+) (?:my|our|the|usage|content)\w* (?:\w+ )?(?:guidelines|polic|rules)|no translation (?:is|can be|will be) (?:given|provided)|as an? (?:ai|(?:large )?language (?:model|system)|assistant)"
-    r"|es tut mir (?:sehr )?leid|tut mir leid|(?:kann|darf|werde|möchte|muss) (?:ich )?(?:\S+ ){0,6}?(?:nicht (?:\w+ )?(?:übersetz|bearbeit|helf|wiedergeb|weiterhelf)|ablehnen)|als (?:ki|sprach(?:modell|system))|keine übersetzung|richtlinien|entschuldigung"
-    r"|désolée?|je (?:ne (?:peux|puis|suis)|regrette)|impossible de traduire|pas en mesure|en tant qu(?:e|['’])|aucune traduction|malheureusement|contraire à (?:mes|nos|aux)"
-    r"|lo siento|lo lamento|lamento|no puedo|no me es posible|como (?:modelo|sistema|asistente)|no se ofrece|ninguna traducción|desafortunadamente|infringe|mis (?:normas|directrices)"
-    r"|lamento|desculpe|sinto muito|não posso|não consigo|não me é possível|como (?:modelo|sistema|assistente)|nenhuma tradução|infelizmente|minhas (?:regras|diretrizes|normas)"
-    r"|mi dispiace|spiacente|non posso|non sono in grado|come (?:modello|sistema|assistente)|nessuna traduzione|purtroppo|mie (?:linee|regole)"
-    r"|извините|простите|к сожалению|сожалею|не могу|не в состоянии|не имею возможности|как (?:языковая|ии)|перевод не|вынужден[а-я]* отказать|отказываюсь|правила[мх]? (?:использования|сервиса)"
+    r"|(?:against|violat\w+) (?:my|our|the|usage|content)\w* (?:\w+ )?(?:guidelines|polic|rules)|wo(?:n['’]t|uld not) be able to|have to (?:decline|refuse)|no translation (?:is|can be|will be) (?:given|provided)|as an? (?:ai|(?:large )?language (?:model|system)|assistant)"
+    r"|es tut mir (?:sehr )?leid|tut mir leid|(?:kann|darf|werde|möchte|muss) (?:ich )?(?:\S+ ){0,6}?(?:nicht (?:\w+ )?(?:übersetz|bearbeit|helf|wiedergeb|weiterhelf)|ablehnen)|(?:muss|möchte) (?:\S+ ){0,4}?(?:ablehnen|verweigern)|als (?:ki|sprach(?:modell|system))|keine übersetzung|richtlinien|entschuldigung"
+    r"|désolée?|je (?:ne (?:peux|puis|suis)|regrette|dois (?:\w+ )?(?:refuser|décliner))|impossible de traduire|pas en mesure|en tant qu(?:e|['’])|aucune traduction|malheureusement|contraire à (?:mes|nos|aux)"
+    r"|lo siento|lo lamento|lamento|(?:debo|tengo que) (?:rechazar|declinar|negarme)|no puedo|no me es posible|como (?:modelo|sistema|asistente)|no se ofrece|ninguna traducción|desafortunadamente|infringe|mis (?:normas|directrices)"
+    r"|lamento|desculpe|sinto muito|(?:tenho (?:de|que)|devo) (?:recusar|declinar)|não posso|não consigo|não me é possível|como (?:modelo|sistema|assistente)|nenhuma tradução|infelizmente|minhas (?:regras|diretrizes|normas)"
+    r"|mi dispiace|spiacente|(?:devo|sono costretto a) (?:rifiutare|declinare)|non posso|non sono in grado|come (?:modello|sistema|assistente)|nessuna traduzione|purtroppo|mie (?:linee|regole)"
+    r"|извините|простите|к сожалению|сожалею|не могу|не в состоянии|не имею возможности|как (?:языковая|ии)|перевод не|(?:вынужден[а-я]*|должен|должна) (?:\\w+ )?отказ|отказываюсь|правила[мх]? (?:использования|сервиса)"
     r"|抱歉|对不起|對不起|无法(?:翻译|处理|提供|协助|帮助|完成)|無法(?:翻譯|處理|提供|協助|幫助|完成)|不能(?:翻译|翻譯|提供|处理|處理)|恕不|恕难|恕難|不符合(?:使用)?(?:规定|規定|政策)|作为(?:一个)?(?:语言|人工智能|ai)|作為(?:一個)?(?:語言|人工智慧|ai)|拒绝|拒絕|请换|請換"
-    r"|申し訳|すみません|ごめんなさい|翻訳(?:する(?:こと)?が)?(?:は)?(?:できま|でき(?:ない|かね)|いたしかね|お断り)|お手伝いできま|対応できま|応じられま|言語モデルとして|お断り|提供できま|ガイドライン"
-    r"|죄송|미안|번역(?:해 드릴|할) 수 없|번역하지 (?:못|않)|도와드릴 수 없|처리할 수 없|제공할 수 없|언어 모델|거절|지침|유감"
+    r"|申し訳|すみません|ごめんなさい|翻訳(?:する(?:こと)?が)?(?:は)?(?:できま|でき(?:ない|かね)|いたしかね|お断り)|お手伝いできま|対応できま|応じられま|言語モデルとして|(?:ご?依頼|ご?要望|リクエスト)\S{0,8}?(?:でき(?:ま|かね)|られま)|お?(?:応え|答え|引き受け)(?:は)?でき(?:ま|かね)|お断り|提供できま|ガイドライン"
+    r"|죄송|미안|번역(?:해 드릴|할) 수 없|번역하지 (?:못|않)|도와드릴 수 없|처리할 수 없|제공할 수 없|(?:요청|부탁)\S* ?(?:\S+ )?(?:들어줄|들어 드릴|처리할|수행할|응할) 수 없|언어 모델|거절|지침|유감"
 )
 # Words of a request for another input, which refusals carry.
 _ASKS = re.compile(r"please (?:send|try|provide)|anything else|(?:incomplete|another (?:text|sentence|passage))|different (?:text|sentence|passage)|bitte (?:senden|schicken|geben|versuchen)|anderen? (?:text|satz)|veuillez|autre (?:texte|phrase|passage)|por favor|otr[oa] (?:texto|frase)|outr[oa] (?:texto|frase)|per favore|un['’]?altr[oa] (?:testo|frase)|пожалуйста|друг(?:ой|ое|ую) (?:текст|предложение)|请|請|ください|下さい|바랍니다|주세요|주십시오")
+#: Functions whose vote starts a class: the end of a reply speaks for truncation by itself.
+_START = {"truncated": (0,)}
+#: Functions of which one has to vote: a refusal declines, asks for something else, or answers anything.
+_NEED = {"refusal": (0, 2, 3)}
 _SYMBOL = re.compile(r"[^\W_]")
 _KEY = re.compile(r"[\W_]+")
 _NUMBER = re.compile(r"\d+(?:[.,]\d+)*")
@@ -130,7 +135,7 @@ def _features(model) -> Callable[[dict[str, list]], dict[str, list]]:
     scripts = {"ru": (3,), "ja": (4, 5), "zh-CN": (4,), "zh-TW": (4,), "ko": (6,)}
 
     def batch(columns: dict[str, list]) -> dict[str, list]:
-        names = ("request_id", "item_id", "src", "tgt", "ratio", "exempt", "empty", "first", *MODELLED)
+        names = ("request_id", "item_id", "src", "tgt", "ratio", "exempt", "empty", "whole", *MODELLED)
         out: dict[str, list] = {k: [] for k in names}
         replies = [r or "" for r in columns["translation"]]
         sources = [s or "" for s in columns["text"]]
@@ -150,8 +155,8 @@ def _features(model) -> Callable[[dict[str, list]], dict[str, list]]:
                         fit = 0
                     same = fit / letters > 0.3
             row |= {"src": None, "ratio": None, "exempt": False, **dict.fromkeys(MODELLED, "")} if row["empty"] else signals(source, reply, code, of_sources[k], of_replies[k], same)
-            head = _STOPS.search(reply)
-            row["first"] = None if row["empty"] else _KEY.sub("", reply[: head.end() if head else None].casefold())[:200]
+            # only replies without any number or name of their own can answer many sources
+            row["whole"] = None if row["empty"] or _NUMBER.search(reply) or _NAME.search(reply) else _KEY.sub("", normalised(reply).casefold())
             for name in names:
                 out[name].append(row[name])
         return out
@@ -159,15 +164,16 @@ def _features(model) -> Callable[[dict[str, list]], dict[str, list]]:
     return batch
 
 
-def label_model(counts: dict[str, float], prior: float = 0.03, rounds: int = 60) -> dict[str, float]:
+def label_model(counts: dict[str, float], prior: float = 0.03, rounds: int = 60, start: tuple[int, ...] = (), need: tuple[int, ...] = ()) -> dict[str, float]:
     """Posteriors of vote patterns by expectation maximization over their counts.
 
-    The class starts as the patterns with more votes for it than against it.
+    The class starts as the patterns with more votes for it than against it, and those with a vote of a function in start.
+    Patterns without a vote of any function in need, where there are such, stay out.
     """
     if not counts:
         return {}
     size = len(next(iter(counts)))
-    post = {p: 0.95 if p.count("+") > p.count("-") else 0.5 if p.count("+") and p.count("+") == p.count("-") else 0.02 for p in counts}
+    post = {p: 0.95 if p.count("+") > p.count("-") or any(p[k] == "+" for k in start) else 0.5 if p.count("+") and p.count("+") == p.count("-") else 0.02 for p in counts}
     for _ in range(rounds):
         total = sum(counts.values())
         inside = sum(n * post[p] for p, n in counts.items())
@@ -177,7 +183,7 @@ def label_model(counts: dict[str, float], prior: float = 0.03, rounds: int = 60)
         no = [{v: (sum(n * (1 - post[p]) for p, n in counts.items() if p[k] == v) + a) / (total - inside + 10) for v, a in (("+", 0.05), ("-", 7.95), ("0", 2))} for k in range(size)]
         for p in post:
             score = log(share / (1 - share)) + sum(log(yes[k][v] / no[k][v]) if v != "0" else 0.0 for k, v in enumerate(p))
-            post[p] = 1 / (1 + exp(-max(-40.0, min(40.0, score)))) if "+" in p else 0.0
+            post[p] = 1 / (1 + exp(-max(-40.0, min(40.0, score)))) if "+" in p and (not need or any(p[k] == "+" for k in need)) else 0.0
     return post
 
 
@@ -209,20 +215,21 @@ def defects(requests: DataFrame, items: DataFrame, replies: DataFrame, model: La
     shared = spark.sparkContext.broadcast(model)
     every = pairs(requests, items, replies)
     missing = every.where("missing").select("request_id", "item_id")
-    schema = "request_id bigint, item_id bigint, src string, tgt string, ratio double, exempt boolean, empty boolean, first string, " + ", ".join(f"{x} string" for x in MODELLED)
+    schema = "request_id bigint, item_id bigint, src string, tgt string, ratio double, exempt boolean, empty boolean, whole string, " + ", ".join(f"{x} string" for x in MODELLED)
     rows = every.where("not missing").select("request_id", "item_id", "target_language", "text", "translation")
-    rows = map_columns(rows, _features(shared), schema).withColumn("first", F.xxhash64("first"))
+    rows = map_columns(rows, _features(shared), schema).withColumn("whole", F.when(F.col("whole").isNotNull(), F.xxhash64("whole")))
     rows = cut(rows.unionByName(missing.withColumn("absent", F.lit(True)), allowMissingColumns=True))
     present = rows.where("absent is null and not empty")
     # lengths by pair of languages, over all pairs; at most as many rows as there are pairs of languages
     usual = present.where("ratio is not null").groupBy("src", "tgt").agg(F.avg("ratio").alias("usual")).select(F.coalesce("src", F.lit("")).alias("s"), F.coalesce("tgt", F.lit("")).alias("t"), "usual")
-    # replies whose first sentence answers sources of very different lengths; aggregates only, so no group is gathered
-    often = present.groupBy("first", "tgt").agg(F.count("ratio").alias("n"), F.stddev_pop("ratio").alias("spread")).where((F.col("n") >= repeated) & (F.col("spread") > 0.25)).select(F.col("first").alias("f"), F.col("tgt").alias("g"))
-    scored = present.join(F.broadcast(usual), (F.coalesce("src", F.lit("")) == F.col("s")) & (F.coalesce("tgt", F.lit("")) == F.col("t")), "left").join(often, (F.col("first") == F.col("f")) & F.col("tgt").eqNullSafe(F.col("g")), "left")
-    gap = F.col("ratio") - F.col("usual")
+    scored = present.join(F.broadcast(usual), (F.coalesce("src", F.lit("")) == F.col("s")) & (F.coalesce("tgt", F.lit("")) == F.col("t")), "left").withColumn("gap", F.col("ratio") - F.col("usual"))
+    # replies that answer sources of very different lengths; aggregates only, so no group is gathered
+    often = scored.where("whole is not null").groupBy(F.col("whole").alias("w")).agg(F.count("gap").alias("n"), F.stddev_pop("gap").alias("spread")).where((F.col("n") >= repeated) & (F.col("spread") > 0.25)).select("w")
+    scored = scored.join(often, F.col("whole") == F.col("w"), "left")
+    gap = F.col("gap")
     scored = scored.select(
         "request_id", "item_id", "exempt",
-        F.concat("refusal", F.when(F.col("f").isNotNull(), "+").otherwise("-")).alias("refusal"),
+        F.concat("refusal", F.when(F.col("w").isNotNull(), "+").otherwise("-")).alias("refusal"),
         "copied", "wrong_language",
         F.concat("truncated", F.when(gap < -short, "+").when(gap > -short / 2, "-").otherwise("0")).alias("truncated"),
     )
@@ -233,8 +240,10 @@ def defects(requests: DataFrame, items: DataFrame, replies: DataFrame, model: La
     labels = [F.when(F.col("absent"), F.lit("missing")), F.when(F.col("empty"), F.lit("empty"))]
     kept = []
     for name in MODELLED:
-        post = label_model(table[name])
+        post = label_model(table[name], start=_START.get(name, ()), need=_NEED.get(name, ()))
         bar = cutoff(table[name], post)
+        if DEBUG:
+            print(name, round(bar, 3), sorted(((p, int(n), round(post[p], 3)) for p, n in table[name].items()), key=lambda x: -x[2]))
         good = [p for p, value in post.items() if value > bar]
         hit = F.col(name).isin(good) if good else F.lit(False)
         if name in ("copied", "wrong_language", "truncated"):
