@@ -12,6 +12,7 @@ votes only from the functions that look at the reply.
 from __future__ import annotations
 
 import re
+from collections import Counter
 from collections.abc import Callable
 from math import exp, log
 
@@ -69,12 +70,19 @@ def _top(scores: dict[str, float] | None) -> tuple[str | None, float]:
 
 
 def _stop(text: str) -> str:
-    """How a text ends: s with a full stop, e with an ellipsis, c with a comma or the like, n with none."""
-    mark = _END.search(text)["mark"] or ""
+    """How a text ends: s with a full stop, e with an ellipsis, c with a comma or the like, b with a bracket, n with none."""
+    m = _END.search(text)
+    mark = m["mark"] or ""
+    rest = text[m.end("mark") if mark else m.start() :]
+    if ("）" in rest or ")" in rest) and mark in ("", "."):
+        # a stop inside brackets ends the text only where the brackets hold a whole sentence
+        opened = max(text.rfind("("), text.rfind("（"))
+        whole = mark and (opened <= 3 or text[:opened].rstrip()[-1:] in ".!?。！？”»」")
+        return "s" if whole else "b"
     if not mark:
         return "n"
-    if mark[-1] in "…" or mark.endswith("..") or mark[0] == "…":
-        return "e" if mark[-1] not in "。" else "s"
+    if "…" in mark or ".." in mark:
+        return "e"
     return "c" if mark[0] in ",，、;；:：-" else "s"
 
 
@@ -92,13 +100,15 @@ def signals(source: str | None, reply: str, target: str | None, of_source: dict
     language, margin = _top(of_reply)
     source_language, _ = _top(of_source)
     words = of_source is not None
-    numbers, given = [{n.replace(",", ".") for n in _NUMBER.findall(t)} for t in (plain, _LIST.sub(" ", source_plain))]
-    names, given_names = set(_NAME.findall(plain)), set(_NAME.findall(source_plain))
+    # stray number signs are noise; what is counted are numbers and names as often as they stand
+    here, there = plain.replace("#", ""), source_plain.replace("#", "")
+    numbers, given = [Counter(n.replace(",", ".") for n in _NUMBER.findall(t)) for t in (here, _LIST.sub(" ", there))]
+    names, given_names = Counter(_NAME.findall(here)), Counter(_NAME.findall(there))
     lost = [n for n in given if n not in numbers]
     lost_names = [n for n in given_names if n not in names and n.casefold() not in key and _KEY.sub("", n.casefold()) not in key]
     # a number or name that stands in another spelling is no sign that the text stops
-    cut_numbers = len(lost) > len(numbers - given)
-    cut_names = len(lost_names) > len([n for n in names if n not in given_names and _KEY.sub("", n.casefold()) not in source_key])
+    cut_numbers = bool(lost) and (given - numbers).total() > (numbers - given).total()
+    cut_names = bool(lost_names) and (given_names - names).total() > (names - given_names).total()
     marks = bool(given or given_names)
     # refusal
     declines = bool(_DECLINES.search(lower)) and not _DECLINES.search(source_plain.casefold()) if source else bool(_DECLINES.search(lower))
@@ -124,7 +134,7 @@ def signals(source: str | None, reply: str, target: str | None, of_source: dict
         truncated, ratio = "0000", None
     else:
         before, after = _stop(source_plain), _stop(plain)
-        tail = "0" if before in "nc" else "+" if after in "nc" or after == "e" and before != "e" else "-"
+        tail = "0" if before in "ncb" or after == "b" else "+" if after in "nc" or after == "e" and before != "e" else "-"
         few = len(_STOPS.findall(plain)) - len(_STOPS.findall(source_plain))
         truncated = tail + (_vote(cut_numbers) if given else "0") + (_vote(cut_names) if given_names else "0") + ("+" if few < 0 else "-" if few == 0 else "0")
         ratio = log((len(plain) + 1) / (len(source_plain) + 1))
