@@ -9,7 +9,7 @@ from pyspark.sql import functions as F
 
 from ..session import spread
 from ..sources.tables import table
-from . import forms, langs, pairs, sents
+from . import forms, langs, leaks, pairs, sents
 
 
 def p1_labels(spark: SparkSession, d: str) -> DataFrame:
@@ -80,8 +80,17 @@ def p5_sentences(spark: SparkSession, d: str) -> DataFrame:
     return ends.join(items, ends.rec_id == items.item_id).select("rec_id", "start_pos", "end_pos", F.expr("substring(text, start_pos + 1, end_pos - start_pos)").alias("sentence"))
 
 
+def p7_found(spark: SparkSession, d: str) -> DataFrame:
+    return p7_shares(spark, d).select("doc_id", "item_id")
+
+
+def p7_shares(spark: SparkSession, d: str) -> DataFrame:
+    """The documents and items of p7_found with the share of the item that the document holds."""
+    return leaks.leaks(table(spark, d, "documents", "doc_id", "text"), table(spark, d, "eval_items", "item_id", "text"))
+
+
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
-    return {f.__name__: f for f in (p1_found, p1_labels, p3_found, p3_languages, p4_found, p4_canonical, p5_found, p5_sentences)}
+    return {f.__name__: f for f in (p1_found, p1_labels, p3_found, p3_languages, p4_found, p4_canonical, p5_found, p5_sentences, p7_found, p7_shares)}
 
 
 def oracle_sql() -> dict[str, str]:
