@@ -29,31 +29,33 @@ DEBUG = False
 ORDER = ("missing", "empty", *MODELLED)
 
 # How a model declines, in the eleven languages; lower case, without invisible characters.
-_DECLINES = re.compile(
-    r"\b(?:i(?:['’]m| am)? (?:sorry|afraid)|sorry,|i apologi[sz]e)|(?:can(?:no|['’])t|can ?not|unable to|not able to|won['’]t|must (?:decline|refuse)|decline to|refuse to|not allowed to|not permitted to) (?:\w+ ){0,4}?(?:translat|process|help|assist|provide|comply|render|answer|fulfil)"
-    r"|(?:against|violat\w+) (?:my|our|the|usage|content)\w* (?:\w+ )?(?:guidelines|polic|rules)|wo(?:n['’]t|uld not) be able to|have to (?:decline|refuse)|no translation (?:is|can be|will be) (?:given|provided)|as an? (?:ai|(?:large )?language (?:model|system)|assistant)"
-    r"|es tut mir (?:sehr )?leid|tut mir leid|(?:kann|darf|werde|möchte|muss) (?:ich )?(?:\S+ ){0,6}?(?:nicht (?:\w+ )?(?:übersetz|bearbeit|helf|wiedergeb|weiterhelf)|ablehnen)|(?:muss|möchte) (?:\S+ ){0,4}?(?:ablehnen|verweigern)|als (?:ki|sprach(?:modell|system))|keine übersetzung|richtlinien|entschuldigung"
-    r"|désolée?|je (?:ne (?:peux|puis|suis)|regrette|dois (?:\w+ )?(?:refuser|décliner))|impossible de traduire|pas en mesure|en tant qu(?:e|['’])|aucune traduction|malheureusement|contraire à (?:mes|nos|aux)"
-    r"|lo siento|lo lamento|lamento|(?:debo|tengo que) (?:rechazar|declinar|negarme)|no puedo|no me es posible|como (?:modelo|sistema|asistente)|no se ofrece|ninguna traducción|desafortunadamente|infringe|mis (?:normas|directrices)"
-    r"|lamento|desculpe|sinto muito|(?:tenho (?:de|que)|devo) (?:recusar|declinar)|não posso|não consigo|não me é possível|como (?:modelo|sistema|assistente)|nenhuma tradução|infelizmente|minhas (?:regras|diretrizes|normas)"
-    r"|mi dispiace|spiacente|(?:devo|sono costretto a) (?:rifiutare|declinare)|non posso|non sono in grado|come (?:modello|sistema|assistente)|nessuna traduzione|purtroppo|mie (?:linee|regole)"
-    r"|извините|простите|к сожалению|сожалею|не могу|не в состоянии|не имею возможности|как (?:языковая|ии)|перевод не|(?:вынужден[а-я]*|должен|должна) (?:\\w+ )?отказ|отказываюсь|правила[мх]? (?:использования|сервиса)"
-    r"|抱歉|对不起|對不起|无法(?:翻译|处理|提供|协助|帮助|完成)|無法(?:翻譯|處理|提供|協助|幫助|完成)|不能(?:翻译|翻譯|提供|处理|處理)|恕不|恕难|恕難|不符合(?:使用)?(?:规定|規定|政策)|作为(?:一个)?(?:语言|人工智能|ai)|作為(?:一個)?(?:語言|人工智慧|ai)|拒绝|拒絕|请换|請換"
-    r"|申し訳|すみません|ごめんなさい|翻訳(?:する(?:こと)?が)?(?:は)?(?:できま|でき(?:ない|かね)|いたしかね|お断り)|お手伝いできま|対応できま|応じられま|言語モデルとして|(?:ご?依頼|ご?要望|リクエスト)\S{0,8}?(?:でき(?:ま|かね)|られま)|お?(?:応え|答え|引き受け)(?:は)?でき(?:ま|かね)|お断り|提供できま|ガイドライン"
-    r"|죄송|미안|번역(?:해 드릴|할) 수 없|번역하지 (?:못|않)|도와드릴 수 없|처리할 수 없|제공할 수 없|(?:요청|부탁)\S* ?(?:\S+ )?(?:들어줄|들어 드릴|처리할|수행할|응할) 수 없|언어 모델|거절|지침|유감"
-)
+_DECLINES = {
+    "en": r"\b(?:i(?:['’]m| am)? (?:sorry|afraid)|sorry,|i apologi[sz]e)|(?:can(?:no|['’])t|can ?not|unable to|not able to|won['’]t|must (?:decline|refuse)|decline to|refuse to|not allowed to|not permitted to) (?:\w+ ){0,4}?(?:translat|process|help|assist|provide|comply|render|answer|fulfil)"
+    r"|(?:against|violat\w+) (?:my|our|the|usage|content)\w* (?:\w+ )?(?:guidelines|polic|rules)|wo(?:n['’]t|uld not) be able to|have to (?:decline|refuse)|no translation (?:is|can be|will be) (?:given|provided)|as an? (?:ai|(?:large )?language (?:model|system)|assistant)",
+    "de": r"es tut mir (?:sehr )?leid|tut mir leid|(?:kann|darf|werde|möchte|muss) (?:ich )?(?:\S+ ){0,6}?(?:nicht (?:\w+ )?(?:übersetz|bearbeit|helf|wiedergeb|weiterhelf)|ablehnen)|(?:muss|möchte) (?:\S+ ){0,4}?(?:ablehnen|verweigern)|als (?:ki|sprach(?:modell|system))|keine übersetzung|richtlinien|entschuldigung",
+    "fr": r"désolée?|je (?:ne (?:peux|puis|suis)|regrette|dois (?:\w+ )?(?:refuser|décliner))|impossible de traduire|pas en mesure|en tant qu(?:e|['’])|aucune traduction|malheureusement|contraire à (?:mes|nos|aux)",
+    "es": r"lo siento|lo lamento|lamento|(?:debo|tengo que) (?:rechazar|declinar|negarme)|no puedo|no me es posible|como (?:modelo|sistema|asistente)|no se ofrece|ninguna traducción|desafortunadamente|infringe|mis (?:normas|directrices)",
+    "pt": r"lamento|desculpe|sinto muito|(?:tenho (?:de|que)|devo) (?:recusar|declinar)|não posso|não consigo|não me é possível|como (?:modelo|sistema|assistente)|nenhuma tradução|infelizmente|minhas (?:regras|diretrizes|normas)",
+    "it": r"mi dispiace|spiacente|(?:devo|sono costretto a) (?:rifiutare|declinare)|non posso|non sono in grado|come (?:modello|sistema|assistente)|nessuna traduzione|purtroppo|mie (?:linee|regole)",
+    "ru": r"извините|простите|к сожалению|сожалею|не могу|не в состоянии|не имею возможности|как (?:языковая|ии)|перевод не|(?:вынужден[а-я]*|должен|должна) (?:\\w+ )?отказ|отказываюсь|правила[мх]? (?:использования|сервиса)",
+    "zh": r"抱歉|对不起|對不起|无法(?:翻译|处理|提供|协助|帮助|完成)|無法(?:翻譯|處理|提供|協助|幫助|完成)|不能(?:翻译|翻譯|提供|处理|處理)|恕不|恕难|恕難|不符合(?:使用)?(?:规定|規定|政策)|作为(?:一个)?(?:语言|人工智能|ai)|作為(?:一個)?(?:語言|人工智慧|ai)|拒绝|拒絕|请换|請換",
+    "ja": r"申し訳|すみません|ごめんなさい|翻訳(?:する(?:こと)?が)?(?:は)?(?:できま|でき(?:ない|かね)|いたしかね|お断り)|お手伝いできま|対応できま|応じられま|言語モデルとして|(?:ご?依頼|ご?要望|リクエスト)\S{0,8}?(?:でき(?:ま|かね)|られま)|お?(?:応え|答え|引き受け)(?:は)?でき(?:ま|かね)|お断り|提供できま|ガイドライン",
+    "ko": r"죄송|미안|번역(?:해 드릴|할) 수 없|번역하지 (?:못|않)|도와드릴 수 없|처리할 수 없|제공할 수 없|(?:요청|부탁)\S* ?(?:\S+ )?(?:들어줄|들어 드릴|처리할|수행할|응할) 수 없|언어 모델|거절|지침|유감",
+}
 # Words of a request for another input, which refusals carry.
 _ASKS = re.compile(r"please (?:send|try|provide)|anything else|(?:incomplete|another (?:text|sentence|passage))|different (?:text|sentence|passage)|bitte (?:senden|schicken|geben|versuchen)|anderen? (?:text|satz)|veuillez|autre (?:texte|phrase|passage)|por favor|otr[oa] (?:texto|frase)|outr[oa] (?:texto|frase)|per favore|un['’]?altr[oa] (?:testo|frase)|пожалуйста|друг(?:ой|ое|ую) (?:текст|предложение)|请|請|ください|下さい|바랍니다|주세요|주십시오")
 #: Functions whose vote starts a class: the end of a reply speaks for truncation by itself.
 _START = {"truncated": (0,)}
-#: Functions of which one has to vote: a refusal declines, asks for something else, or answers anything.
-_NEED = {"refusal": (0, 2, 3)}
+#: Functions of which one has to vote: a refusal declines or asks for something else.
+_NEED = {"refusal": (0, 2)}
+_DECLINES = {k: re.compile(v) for k, v in _DECLINES.items()}
 _SYMBOL = re.compile(r"[^\W_]")
 _KEY = re.compile(r"[\W_]+")
-_NUMBER = re.compile(r"\d+(?:[.,]\d+)*")
+_NUMBER = re.compile(r"\d+(?:\.\d+)*")
 _LIST = re.compile(r"\A\W*(?:\d{1,2}|[A-Za-z])[.)]\s+|(?<=[.!?。！？…])\s*\(?(?:\d{1,2}|[A-Za-z])[.)]\s+(?=\S)|\A\W*\d+(?:\.\d+)+\s+(?=\D)")
 _NAME = re.compile(r"(?<![A-Za-z])[A-Za-z]*(?:[a-z][A-Z]|[A-Za-z]-?[A-Z]?\d)[A-Za-z\d-]*")
-_END = re.compile(r"(?P<mark>[.!?。！？．｡]+|…+[.。]?|[,，、;；:：-]+)?[\s\"”“’»›」』）)\]】*_`]*\Z")
+_CLOSING = " \t\n\r\xa0\"”“’»›」』）)]】*_`"
+_MARKS = ".!?。！？．｡…,，、;；:：-"
 _STOPS = re.compile(r"[.!?。！？…]+[\"”“’»」』）)]*(?=\s|\Z|[぀-鿿（“「『A-Z])")
 
 
@@ -71,9 +73,9 @@ def _top(scores: dict[str, float] | None) -> tuple[str | None, float]:
 
 def _stop(text: str) -> str:
     """How a text ends: s with a full stop, e with an ellipsis, c with a comma or the like, b with a bracket, n with none."""
-    m = _END.search(text)
-    mark = m["mark"] or ""
-    rest = text[m.end("mark") if mark else m.start() :]
+    core = text.rstrip(_CLOSING)
+    rest = text[len(core) :]
+    mark = core[len(core.rstrip(_MARKS)) :]
     if ("）" in rest or ")" in rest) and mark in ("", "."):
         # a stop inside brackets ends the text only where the brackets hold a whole sentence
         opened = max(text.rfind("("), text.rfind("（"))
@@ -83,36 +85,42 @@ def _stop(text: str) -> str:
         return "n"
     if "…" in mark or ".." in mark:
         return "e"
-    return "c" if mark[0] in ",，、;；:：-" else "s"
+    return "c" if mark[-1] in ",，、;；:：-" else "s"
 
 
 def _grams(key: str) -> set[str]:
     return {key[i : i + 4] for i in range(max(1, len(key) - 3))}
 
 
+def _declines(lower: str, language: str | None) -> bool:
+    """Whether a text declines, by the patterns of its language; of all, where that is unknown."""
+    known = _DECLINES.get((language or "")[:2])
+    return bool(known.search(lower)) if known else any(p.search(lower) for p in _DECLINES.values())
+
+
 def signals(source: str | None, reply: str, target: str | None, of_source: dict | None, of_reply: dict | None, same_script: bool | None) -> dict[str, object]:
-    """The votes for one pair, except those that need the whole table."""
-    plain = normalised(reply)
+    """The votes for one pair, both texts normalised, except those that need the whole table."""
+    plain = reply
     lower = plain.casefold()
     key = _KEY.sub("", lower)
-    source_plain = normalised(source or "")
+    source_plain = source or ""
     source_key = _KEY.sub("", source_plain.casefold())
     language, margin = _top(of_reply)
     source_language, _ = _top(of_source)
     words = of_source is not None
     # stray number signs are noise; what is counted are numbers and names as often as they stand
     here, there = plain.replace("#", ""), source_plain.replace("#", "")
-    numbers, given = [Counter(n.replace(",", ".") for n in _NUMBER.findall(t)) for t in (here, _LIST.sub(" ", there))]
-    names, given_names = Counter(_NAME.findall(here)), Counter(_NAME.findall(there))
-    lost = [n for n in given if n not in numbers]
-    lost_names = [n for n in given_names if n not in names and n.casefold() not in key and _KEY.sub("", n.casefold()) not in key]
+    numbers, given = [_NUMBER.findall(t.replace(",", ".")) for t in (here, _LIST.sub(" ", there))]
+    names, given_names = _NAME.findall(here), _NAME.findall(there)
+    lost = set(given).difference(numbers)
+    lost_names = [n for n in set(given_names).difference(names) if n.casefold() not in key and _KEY.sub("", n.casefold()) not in key]
     # a number or name that stands in another spelling is no sign that the text stops
-    cut_numbers = bool(lost) and (given - numbers).total() > (numbers - given).total()
-    cut_names = bool(lost_names) and (given_names - names).total() > (names - given_names).total()
+    cut_numbers = bool(lost) and (Counter(given) - Counter(numbers)).total() > (Counter(numbers) - Counter(given)).total()
+    cut_names = bool(lost_names) and (Counter(given_names) - Counter(names)).total() > (Counter(names) - Counter(given_names)).total()
     marks = bool(given or given_names)
     # refusal
-    declines = bool(_DECLINES.search(lower)) and not _DECLINES.search(source_plain.casefold()) if source else bool(_DECLINES.search(lower))
-    unlike = marks and len(lost) == len(given) and len(lost_names) == len(given_names)
+    declines = _declines(lower, language) and not (source and _declines(source_plain.casefold(), source_language))
+    unlike = marks and len(lost) == len(set(given)) and len(lost_names) == len(set(given_names))
     refusal = _vote(declines, True) + _vote(unlike if marks else None) + _vote(bool(_ASKS.search(lower)), False)
     # copied
     whole = words and source_language == target and (of_source is None or len(of_source) >= 1)
@@ -120,7 +128,7 @@ def signals(source: str | None, reply: str, target: str | None, of_source: dict
         copied = "---"
     else:
         inside = len(source_key) >= 4 and source_key in key and len(key) <= 2 * len(source_key) + 80
-        near = not inside and 0.8 <= len(key) / len(source_key) <= 1.5 and len(_grams(source_key) & _grams(key)) >= 0.9 * len(_grams(source_key))
+        near = not inside and language in (None, source_language) and 0.8 <= len(key) / len(source_key) <= 1.5 and len(_grams(source_key) & _grams(key)) >= 0.9 * len(_grams(source_key))
         copied = _vote(inside, True) + _vote(inside or near, True) + _vote(language == source_language != target, language is not None and language == target)
     # wrong language
     if target is None or not words and language is None:
@@ -147,12 +155,13 @@ def _features(model) -> Callable[[dict[str, list]], dict[str, list]]:
     def batch(columns: dict[str, list]) -> dict[str, list]:
         names = ("request_id", "item_id", "src", "tgt", "ratio", "exempt", "empty", "whole", *MODELLED)
         out: dict[str, list] = {k: [] for k in names}
-        replies = [r or "" for r in columns["translation"]]
-        sources = [s or "" for s in columns["text"]]
+        replies = [normalised(r) if r else "" for r in columns["translation"]]
+        sources = [normalised(s) if s else "" for s in columns["text"]]
         lid: LanguageModel = model.value
-        of_replies, of_sources = lid.scores([normalised(r) for r in replies]), lid.scores([normalised(s) for s in sources])
+        of_replies, of_sources = lid.scores(replies), lid.scores(sources)
         counts = script_counts(replies)
         for k, (request, item, target, source) in enumerate(zip(columns["request_id"], columns["item_id"], columns["target_language"], columns["text"], strict=True)):
+            source = None if source is None else sources[k]
             reply, code = replies[k], label_code(target)
             row: dict[str, object] = {"request_id": request, "item_id": item, "tgt": code, "empty": not _SYMBOL.search(reply)}
             same = None
@@ -166,7 +175,7 @@ def _features(model) -> Callable[[dict[str, list]], dict[str, list]]:
                     same = fit / letters > 0.3
             row |= {"src": None, "ratio": None, "exempt": False, **dict.fromkeys(MODELLED, "")} if row["empty"] else signals(source, reply, code, of_sources[k], of_replies[k], same)
             # only replies without any number or name of their own can answer many sources
-            row["whole"] = None if row["empty"] or _NUMBER.search(reply) or _NAME.search(reply) else _KEY.sub("", normalised(reply).casefold())
+            row["whole"] = None if row["empty"] or _NUMBER.search(reply) or _NAME.search(reply) else _KEY.sub("", reply.casefold())
             for name in names:
                 out[name].append(row[name])
         return out
