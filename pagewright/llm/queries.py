@@ -9,7 +9,7 @@ from pyspark.sql import functions as F
 
 from ..session import spread
 from ..sources.tables import table
-from . import forms, langs, leaks, pairs, sents
+from . import abuse, forms, langs, leaks, packing, pairs, pieces, sents
 
 
 def p1_labels(spark: SparkSession, d: str) -> DataFrame:
@@ -26,6 +26,16 @@ def p1_found(spark: SparkSession, d: str) -> DataFrame:
     return p1_labels(spark, d).select("request_id", "item_id", F.element_at("labels", 1).alias("defect"))
 
 
+def p2_pieces(spark: SparkSession, d: str) -> DataFrame:
+    blocks = table(spark, d, "blocks", "block_no", "text", "profile_id")
+    return pieces.pieces(blocks, table(spark, d, "translator_options", "profile_id", "max_chars_per_request", "overlap_chars"))
+
+
+def p2_found(spark: SparkSession, d: str) -> DataFrame:
+    """The blocks that come out in more than one piece."""
+    return p2_pieces(spark, d).where("piece_no = 1").select("block_no")
+
+
 def _labelled(spark: SparkSession, d: str) -> tuple[DataFrame, DataFrame]:
     items = table(spark, d, "work_items", "item_id", "text", "source_language").toDF("rec_id", "text", "label")
     documents = table(spark, d, "documents", "doc_id", "text", "lang").toDF("rec_id", "text", "label")
@@ -89,9 +99,50 @@ def p7_shares(spark: SparkSession, d: str) -> DataFrame:
     return leaks.leaks(table(spark, d, "documents", "doc_id", "text"), table(spark, d, "eval_items", "item_id", "text"))
 
 
+def p6_packing(spark: SparkSession, d: str) -> DataFrame:
+    return packing.pack(table(spark, d, "documents", "doc_id", "text"), table(spark, d, "pack_budgets", "budget_id", "capacity_tokens"))
+
+
+def p6_fill(spark: SparkSession, d: str) -> DataFrame:
+    return packing.fill_rates(p6_packing(spark, d), table(spark, d, "pack_budgets", "budget_id", "capacity_tokens"))
+
+
+#: A document has language of a category where its score is this at least.
+P8_CUTOFF = 0.5
+
+
+def _judged(spark: SparkSession, d: str) -> DataFrame:
+    documents = table(spark, d, "documents", "doc_id", "text")
+    return abuse.judged(documents, abuse.judge_of(documents, table(spark, d, "review_labels", "doc_id", "annotator", "label")))
+
+
+def p8_found(spark: SparkSession, d: str) -> DataFrame:
+    return _judged(spark, d).where(F.col("score") >= P8_CUTOFF).select("doc_id", "category").distinct()
+
+
+def p8_scores(spark: SparkSession, d: str) -> DataFrame:
+    """Every document with its score in each category, 0 where nothing speaks for it, and the evidence for the highest."""
+    scores = _judged(spark, d).groupBy("doc_id").agg(*[F.coalesce(F.max(F.when(F.col("category") == c, F.col("score"))), F.lit(0.0)).alias(c) for c in abuse.CATEGORIES], F.max_by("evidence", "score").alias("evidence"))
+    return table(spark, d, "documents", "doc_id", "source").join(scores, "doc_id", "left").fillna(0.0, list(abuse.CATEGORIES)).withColumn("score", F.greatest(*abuse.CATEGORIES))
+
+
+def p8_rates(spark: SparkSession, d: str) -> DataFrame:
+    """Documents of each source, how many have such language, and the rates."""
+    rows = p8_scores(spark, d)
+    flags = [F.sum((F.col(c) >= P8_CUTOFF).cast("long")).alias(f"n_{c}") for c in abuse.CATEGORIES]
+    rates = rows.groupBy("source").agg(F.count("*").alias("n_documents"), F.sum((F.col("score") >= P8_CUTOFF).cast("long")).alias("n_flagged"), *flags)
+    return rates.withColumn("rate", F.col("n_flagged") / F.col("n_documents"))
+
+
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
-    return {f.__name__: f for f in (p1_found, p1_labels, p3_found, p3_languages, p4_found, p4_canonical, p5_found, p5_sentences, p7_found, p7_shares)}
+    return {f.__name__: f for f in (p1_found, p1_labels, p2_found, p2_pieces, p3_found, p3_languages, p4_found, p4_canonical, p5_found, p5_sentences, p6_packing, p6_fill, p7_found, p7_shares, p8_found, p8_scores, p8_rates)}
 
 
 def oracle_sql() -> dict[str, str]:
-    return {}
+    return {
+        "p2_found": """
+            SELECT DISTINCT b.block_no
+            FROM blocks b LEFT JOIN translator_options o ON o.profile_id = b.profile_id
+            WHERE length(b.text) > CASE WHEN o.max_chars_per_request >= 200 THEN o.max_chars_per_request ELSE 3000 END
+        """,
+    }

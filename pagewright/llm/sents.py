@@ -136,7 +136,7 @@ def _spaced(text: str, begin: int, m: re.Match, at: int) -> bool:
         return bool(m["close"]) and (m["close"][-1] in ")）") or _is_cjk(last)
     following = re.match(r"[^\W_]+(?:[-’'][^\W_]+)*", text[at : at + 40])
     word = following[0] if following else ""
-    if after in ",;:)]}»”%&=/+" and not (after in "»”" and mark in "." and False):
+    if after in ",;:)]}»”%&=/+":
         return False
     lower = word[:1].islower() and not (any(c.isdigit() for c in word) or re.search(r"[a-zа-я][A-ZА-Я]", word) or re.match(r"[^\W_]+-[A-Z0-9]", word))
     dots = mark.strip().rstrip()
