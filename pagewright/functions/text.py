@@ -10,13 +10,14 @@ import unicodedata
 import pandas as pd
 from pyspark.sql import Column
 from pyspark.sql import functions as F
+from pyspark.sql.types import StringType
 
 from . import patterns as P
 
 _NEEDS_NFC = r"[\p{M}\x{1161}-\x{11C2}\x{340}\x{341}\x{374}\x{37E}\x{387}\x{958}-\x{95F}\x{1F71}-\x{1FFD}\x{2000}\x{2001}\x{2126}\x{212A}\x{212B}\x{2329}\x{232A}\x{F900}-\x{FAFF}]"
 
 
-@F.pandas_udf("string")
+@F.pandas_udf(StringType())  # a type, not its name: workers import this without a session
 def _nfc(texts: pd.Series) -> pd.Series:
     return texts.map(lambda t: None if t is None else unicodedata.normalize("NFC", t))
 

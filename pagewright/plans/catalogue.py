@@ -9,9 +9,9 @@ from pyspark.sql import functions as F
 
 from ..functions import language, sentences as S
 from ..sources.tables import table
-from . import text_queries
+from . import page_queries, text_queries
 
-MODULES = [text_queries]
+MODULES = [text_queries, page_queries]
 
 
 def flagship(spark: SparkSession, d: str) -> DataFrame:

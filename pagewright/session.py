@@ -61,7 +61,15 @@ def cut(df: DataFrame) -> DataFrame:
     return df.checkpoint(eager=True)
 
 
+def partitions(spark: SparkSession) -> int:
+    """Partitions for a shuffle before a kernel: what the session sets, and no fewer than there are cores."""
+    return max(int(spark.conf.get("spark.sql.shuffle.partitions")), spark.sparkContext.defaultParallelism)
+
+
 def spread(df: DataFrame, by: int = 1) -> DataFrame:
-    """Spread a scan over the cores where it has fewer partitions than they are; a large scan stays as it is."""
+    """Spread a scan over the cores where it has fewer partitions than they are; a large scan stays as it is.
+
+    For scans with filters and projections only: counting the partitions of anything else would run it.
+    """
     cores = df.sparkSession.sparkContext.defaultParallelism * by
     return df.repartition(cores) if df.rdd.getNumPartitions() < cores else df
