@@ -151,7 +151,7 @@ def pieces(blocks: DataFrame, options: DataFrame) -> DataFrame:
     a profile get the default limit. Each block once, whatever copies there are.
     """
     limits = options.groupBy("profile_id").agg(F.max("max_chars_per_request").alias("limit"), F.max("overlap_chars").alias("overlap"))
-    rows = blocks.select("block_no", "text", "profile_id").join(limits, "profile_id", "left")
+    rows = spread(blocks.select("block_no", "text", "profile_id")).join(limits, "profile_id", "left")
     rows = rows.where(F.length("text") > F.when(F.col("limit") >= MIN_LIMIT, F.col("limit")).otherwise(DEFAULT_LIMIT))
 
     def batch(columns: dict[str, list]) -> dict[str, list]:
@@ -162,5 +162,4 @@ def pieces(blocks: DataFrame, options: DataFrame) -> DataFrame:
                     out[name].append(value)
         return out
 
-    rows = spread(rows.select("block_no", "text", "limit", "overlap"))
-    return map_columns(rows, batch, "block_no bigint, piece_no int, start_pos int, end_pos int, shared int, piece string").dropDuplicates(["block_no", "piece_no"])
+    return map_columns(rows.select("block_no", "text", "limit", "overlap"), batch, "block_no bigint, piece_no int, start_pos int, end_pos int, shared int, piece string").dropDuplicates(["block_no", "piece_no"])
