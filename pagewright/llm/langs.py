@@ -30,6 +30,8 @@ from .sents import sentences
 
 #: Bound of the labelled sample, rows of each table.
 SAMPLE_ROWS = 4000
+#: Bound of the units of a language that one support vector machine is fitted on.
+UNITS_A_CLASS = 400
 
 # The eleven languages by family.
 FAMILIES = {"germanic": ("en", "de"), "romance": ("fr", "es", "pt", "it"), "slavic": ("ru",), "chinese": ("zh-CN", "zh-TW"), "japanese": ("ja",), "korean": ("ko",)}
@@ -95,7 +97,7 @@ def _grams(word: str) -> list[int]:
     return [_BUCKETS + crc32(word.encode()) % _BUCKETS, *(crc32(padded[i : i + n].encode()) % _BUCKETS for n in (2, 3) for i in range(len(padded) - n + 1))]
 
 
-def _svm(rows: list[np.ndarray], signs: np.ndarray, size: int, reg: float = 1e-3, rounds: int = 120) -> np.ndarray:
+def _svm(rows: list[np.ndarray], signs: np.ndarray, size: int, reg: float = 1e-3, rounds: int = 80) -> np.ndarray:
     """A linear support vector machine with squared hinge loss, by accelerated gradient steps; rows hold feature indices."""
     lengths = np.array([len(r) for r in rows])
     used, index = np.unique(np.concatenate(rows) if len(rows) else np.zeros(0, int), return_inverse=True)
@@ -151,12 +153,14 @@ class LanguageModel:
             for k, (a, b) in enumerate(self.columns):
                 first, second = (FAMILIES[a], FAMILIES[b]) if a in FAMILIES else ((a,), (b,))
                 mask = use & np.isin(own, list(first + second))
-                picked = np.flatnonzero(mask)
+                # as many of each language, so that the rare ones of a family count
+                picked = np.concatenate([np.flatnonzero(mask & (own == code))[:UNITS_A_CLASS] for code in first + second])
                 if len(picked):
                     self.weights[:, k] = _svm([features[i] for i in picked], np.where(np.isin(own[picked], list(first)), 1.0, -1.0), 2 * _BUCKETS)
             if not again:
                 self._start()
-                use = np.array([self._latin(words)[0] == code for (_, words), code in zip(latin, own, strict=True)], bool) if len(own) else use
+                guesses = self._latin_scores(self.table_sum([words for _, words in latin])) if len(own) else []
+                use = np.array([max(g, key=g.get) == code for g, code in zip(guesses, own, strict=True)], bool) if len(own) else use
         # characters of the two forms of Chinese
         han = [i for i in kept if target[i] == 2]
         rows = [self._characters(units[i]) for i in han]
@@ -165,7 +169,7 @@ class LanguageModel:
         self.han[0x10000], self.han[0x10001] = 1.0, -1.0
         use = np.array([self.han[r].sum() for r in rows]) * signs > 0  # the character sets clean the labels of the first fit
         for _ in range(2):
-            picked = np.flatnonzero(use)
+            picked = np.concatenate([np.flatnonzero(use & (signs == side))[:UNITS_A_CLASS] for side in (1.0, -1.0)])
             if len(set(signs[picked])) == 2:
                 self.han = _svm([rows[i] for i in picked], signs[picked], 0x10002)
                 use = np.array([self.han[r].sum() for r in rows]) * signs > 0
@@ -221,10 +225,6 @@ class LanguageModel:
                     out[i] = k
         return out
 
-    def _latin(self, words: list[str]) -> tuple[str, dict[str, float]]:
-        scores = self._latin_scores(self.table_sum([words]))[0]
-        return max(scores, key=scores.get), scores
-
     def table_sum(self, lists: list[list[str]]) -> np.ndarray:
         """Sums of the word scores of each list, over the root of its length."""
         lengths = np.array([len(x) for x in lists])
@@ -272,7 +272,7 @@ class LanguageModel:
                 found = _WORD.findall(units[i])
                 if sum(map(len, found)) < 4:
                     found += [w.lower() for w in _ANY_WORD.findall(units[i]) if w.lower() in self.known]
-                if sum(map(len, found)) >= 4 or any(w in self.known for w in found):
+                if any(len(w) > 1 for w in found) and (sum(map(len, found)) >= 4 or any(len(w) > 1 and w in self.known for w in found)):
                     words.append(found)
                     places.append(i)
             elif g == 1 and counts[i, 3] >= 3:
