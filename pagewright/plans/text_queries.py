@@ -6,6 +6,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from ..functions import keys, language, patterns as P, sentences as S, text as T
+from ..session import partitions
 from ..sources.tables import table
 from . import oracle as O
 
@@ -21,13 +22,13 @@ def query(sql: str | None = None):
 
 
 def blocks(spark: SparkSession, d: str, *columns: str) -> DataFrame:
-    """Blocks, each once, whatever copies there are."""
-    return table(spark, d, "blocks", "block_no", *columns).distinct()
+    """Blocks, each once, whatever copies there are; one shuffle by key, which what follows runs on."""
+    return table(spark, d, "blocks", "block_no", *columns).repartition(partitions(spark), "block_no").distinct()
 
 
 def items(spark: SparkSession, d: str, *columns: str) -> DataFrame:
     """Work items, each once."""
-    return table(spark, d, "work_items", "item_id", *columns).distinct()
+    return table(spark, d, "work_items", "item_id", *columns).repartition(partitions(spark), "item_id").distinct()
 
 
 BLOCKS = "(SELECT DISTINCT block_no, text FROM blocks WHERE text IS NOT NULL)"
