@@ -41,32 +41,50 @@ def script_shares(text: Column) -> dict[str, Column]:
     return {name: F.coalesce(count / F.nullif(total, F.lit(0)), F.lit(0.0)) for name, count in counts.items()}
 
 
-def stop_word_hits(text: Column) -> dict[str, Column]:
-    """How many words of a text are function words of each language."""
-    lower = F.lower(text)
-    return {code: F.regexp_count(lower, F.lit(r"(?<!\p{L})(?:" + "|".join(words.split()) + r")(?!\p{L})")) for code, words in P.STOP_WORDS.items()}
+def once(value: Column, use) -> Column:
+    """use(value), with the value computed once however often it is used: expressions inside CASE are not shared."""
+    return F.get(F.transform(F.array(value), use), F.lit(0))
 
 
-def _best_latin(hits: dict[str, Column]) -> Column:
-    """The language with the most hits, if it is one; a single hit decides only where no other language has any."""
-    rows = F.array(*[F.struct(count.alias("n"), F.lit(code).alias("code")) for code, count in hits.items()])
-    ranked = F.sort_array(rows, asc=False)
-    best, second = F.get(ranked, F.lit(0)), F.get(ranked, F.lit(1))
-    return F.when((best["n"] > second["n"]) & ((best["n"] >= 2) | (second["n"] == 0)), best["code"])
+def words(text: Column) -> Column:
+    return F.regexp_extract_all(F.lower(text), F.lit(r"(\p{L}+)"), F.lit(1))
+
+
+def stop_word_hits(text: Column) -> Column:
+    """Struct of how many words of a text are function words of each language; the text is read once."""
+    lists = {code: row.split() for code, row in P.STOP_WORDS.items()}
+    every = sorted({w for row in lists.values() for w in row})
+    count = lambda kept, row: F.size(F.filter(kept, lambda w: w.isin(row)))
+    kept = F.filter(words(text), lambda w: w.isin(every))
+    return once(kept, lambda k: F.struct(*[count(k, row).alias(code) for code, row in lists.items()]))
 
 
 def detect_latin(text: Column) -> Column:
-    return _best_latin(stop_word_hits(text))
+    """The language with the most function words, if it is one; a single one decides only where no other has any."""
+    ranked = lambda hits: F.sort_array(F.array(*[F.struct(hits[code].alias("n"), F.lit(code).alias("code")) for code in P.STOP_WORDS]), asc=False)
 
+    def best(rows: Column) -> Column:
+        first, second = F.get(rows, F.lit(0)), F.get(rows, F.lit(1))
+        return F.when((first["n"] > second["n"]) & ((first["n"] >= 2) | (second["n"] == 0)), first["code"])
 
-def detect_language(text: Column) -> Column:
-    """Code of the language, or null when unsure."""
+    return once(once(stop_word_hits(text), ranked), best)
+
+
+def _counted(text: Column) -> Column:
     counts = script_counts(text)
-    total = sum(list(counts.values())[1:], list(counts.values())[0])
-    more = lambda n: n * 2 > total
+    return F.struct(*[c.alias(n) for n, c in counts.items()])
+
+
+def _total(counts: Column) -> Column:
+    names = list(P.SCRIPTS)
+    return sum((counts[n] for n in names[1:]), counts[names[0]])
+
+
+def _detect(counts: Column, text: Column) -> Column:
+    more = lambda n: n * 2 > _total(counts)
     forms = F.when(F.regexp_count(text, F.lit(f"[{P.TRADITIONAL}]")) > F.regexp_count(text, F.lit(f"[{P.SIMPLIFIED}]")), "zh-TW").otherwise("zh-CN")
     return (
-        F.when(total == 0, F.lit(None))
+        F.when(_total(counts) == 0, F.lit(None))
         .when((counts["kana"] > 0) & more(counts["han"] + counts["kana"]), "ja")
         .when(more(counts["hangul"]), "ko")
         .when(more(counts["han"]), forms)
@@ -75,14 +93,21 @@ def detect_language(text: Column) -> Column:
     )
 
 
+def detect_language(text: Column) -> Column:
+    """Code of the language, or null when unsure."""
+    return once(_counted(text), lambda counts: _detect(counts, text))
+
+
 def is_already_in(text: Column, target: Column, source: Column) -> Column:
     """Whether a text needs no translation. An undetected one counts as the source language where that is set and is the
     target, and most letters are of the target's script."""
-    detected = detect_language(text)
-    counts = script_counts(text)
-    total = sum(list(counts.values())[1:], list(counts.values())[0])
-    own = F.element_at(F.create_map(*[x for name, count in counts.items() for x in (F.lit(name), count)]), script_of(target))
-    return F.when(detected.isNotNull(), detected == target).otherwise(F.coalesce((source == target) & (own * 2 > total), F.lit(False)))
+
+    def decide(counts: Column) -> Column:
+        own = F.element_at(F.create_map(*[x for name in P.SCRIPTS for x in (F.lit(name), counts[name])]), script_of(target))
+        unsure = F.coalesce((source == target) & (own * 2 > _total(counts)), F.lit(False))
+        return F.coalesce(_detect(counts, text) == target, unsure)
+
+    return once(_counted(text), decide)
 
 
 def resolve_target(setting: Column, display: Column) -> Column:

@@ -215,7 +215,8 @@ def translate(sentences: DataFrame, store: DataFrame, client: Client, options: O
     rows = sentences.select("doc", "ord", "id", "text", "grp")
     passes = F.coalesce(language.is_already_in(text, F.lit(options.target), F.lit(options.source)), F.lit(False))
     key = keys.cache_key(F.coalesce(text, F.lit("")), F.lit(options.model), F.lit(options.target), F.lit(S.glossary_hash(options.glossary)))
-    rows = rows.withColumn("passes", passes).withColumn("key", F.when(~F.col("passes"), key))
+    # both are needed twice, for what is asked and for the results: worked out once and held
+    rows = cut(rows.withColumn("passes", passes).withColumn("key", F.when(~F.col("passes"), key)))
     # equal keys are asked once: the first by document and place stands for all; a partial aggregate meets hot keys early
     asked = rows.where("not passes and text is not null").groupBy("key").agg(F.min(F.struct("doc", "ord", "text", "grp")).alias("first"))
     held = store.select("key", F.col("translation").alias("held"))

@@ -116,7 +116,7 @@ def q09_script_shares(spark, d):
 
 @query("SELECT block_no, " + ", ".join(f"{O.stop_hits('text', c)}::BIGINT AS {c}" for c in P.STOP_WORDS) + f" FROM {BLOCKS}")
 def q10_stop_word_hits(spark, d):
-    return blocks(spark, d, "text").where("text is not null").select("block_no", *[c.cast("long").alias(n) for n, c in language.stop_word_hits(F.col("text")).items()])
+    return blocks(spark, d, "text").where("text is not null").select("block_no", language.stop_word_hits(F.col("text")).alias("hits")).select("block_no", *[F.col(f"hits.{c}").cast("long").alias(c) for c in P.STOP_WORDS])
 
 
 @query(O.detect("(SELECT DISTINCT item_id, text FROM work_items WHERE text IS NOT NULL)", "item_id", "text"))
