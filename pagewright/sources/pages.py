@@ -37,7 +37,7 @@ def _pages(raw: DataFrame) -> DataFrame:
 
 def write_json_pages(pages: DataFrame, path: str) -> None:
     """Pages as JSON, with numbers rounded to three places; one line a page."""
-    items = F.transform("text_items", lambda i: F.struct(i["str"].alias("str"), F.transform(i["matrix"], rounded).alias("transform"), rounded(i["width"]).alias("width"), rounded(i["height"]).alias("height"), i["font_name"].alias("fontName"), i["has_eol"].alias("hasEOL")))
+    items = F.transform("text_items", lambda i: F.struct(i["str"].alias("str"), F.transform(i["matrix"], lambda v: rounded(v)).alias("transform"), rounded(i["width"]).alias("width"), rounded(i["height"]).alias("height"), i["font_name"].alias("fontName"), i["has_eol"].alias("hasEOL")))
     styles = F.transform_values("styles", lambda _, v: F.struct(v["font_family"].alias("fontFamily")))
     pages.select(F.col("paper_id").alias("source"), "page", F.col("view_box").alias("view"), styles.alias("styles"), items.alias("items")).write.mode("overwrite").json(path)
 
