@@ -200,14 +200,21 @@ def rule_examples(lexicon: Lexicon, each: int = 6) -> list[tuple[Counter, str, s
         for f, (frame, category) in enumerate(FRAMES):
             for n in range(each):
                 used: Counter = Counter()
+                harmless: list[str] = []
 
-                def pick(m: re.Match, n=n, f=f, words=words, used=used) -> str:
+                def pick(m: re.Match, n=n, f=f, words=words, used=used, harmless=harmless) -> str:
                     row = words[m[1]]
                     used[m[1]] += 1
-                    return row[(n + f + (used[m[1]] - 1) * 3) % len(row)]
+                    word = row[(n + f + (used[m[1]] - 1) * 3) % len(row)]
+                    if m[1] == "you":
+                        harmless.append(word)
+                    return word
 
                 text = re.sub(r"\{(\w+)\}", pick, frame)
                 bag = lexicon.bag(text.replace(" ", "") if language in ("zh", "ja") else text)
+                # of words for the person addressed only the mark counts
+                for term in {t for word in harmless for t in lexicon.bag(word) if not t.startswith("§")}:
+                    bag.pop(term, None)
                 out.append((bag, category, f"{language}: {frame}"))
     return out
 

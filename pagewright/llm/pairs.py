@@ -25,7 +25,6 @@ from .forms import normalised
 from .langs import LanguageModel, label_code, script_counts
 
 MODELLED = ("refusal", "copied", "wrong_language", "truncated")
-DEBUG = False
 ORDER = ("missing", "empty", *MODELLED)
 
 # How a model declines, in the eleven languages; lower case, without invisible characters.
@@ -44,8 +43,8 @@ _DECLINES = {
 }
 # Words of a request for another input, which refusals carry.
 _ASKS = re.compile(r"please (?:send|try|provide)|anything else|(?:incomplete|another (?:text|sentence|passage))|different (?:text|sentence|passage)|bitte (?:senden|schicken|geben|versuchen)|anderen? (?:text|satz)|veuillez|autre (?:texte|phrase|passage)|por favor|otr[oa] (?:texto|frase)|outr[oa] (?:texto|frase)|per favore|un['’]?altr[oa] (?:testo|frase)|пожалуйста|друг(?:ой|ое|ую) (?:текст|предложение)|请|請|ください|下さい|바랍니다|주세요|주십시오")
-#: Functions whose vote starts a class: the end of a reply speaks for truncation by itself.
-_START = {"truncated": (0,)}
+#: Functions whose vote starts a class: the wording of a refusal and the end of a reply speak for themselves.
+_START = {"refusal": (0,), "truncated": (0,)}
 #: Functions of which one has to vote: a refusal declines or asks for something else.
 _NEED = {"refusal": (0, 2)}
 _DECLINES = {k: re.compile(v) for k, v in _DECLINES.items()}
@@ -93,27 +92,35 @@ def _grams(key: str) -> set[str]:
 
 
 def _declines(lower: str, language: str | None) -> bool:
-    """Whether a text declines, by the patterns of its language; of all, where that is unknown."""
+    """Whether a text declines, by the patterns of its language; of all, where that is unknown or the text too short to
+    be sure of it."""
     known = _DECLINES.get((language or "")[:2])
-    return bool(known.search(lower)) if known else any(p.search(lower) for p in _DECLINES.values())
+    if known and known.search(lower):
+        return True
+    return (known is None or len(lower) < 120 and not _NUMBER.search(lower)) and any(p.search(lower) for p in _DECLINES.values())
 
 
 def signals(source: str | None, reply: str, target: str | None, of_source: dict | None, of_reply: dict | None, same_script: bool | None) -> dict[str, object]:
     """The votes for one pair, both texts normalised, except those that need the whole table."""
     plain = reply
     lower = plain.casefold()
-    key = _KEY.sub("", lower)
     source_plain = source or ""
-    source_key = _KEY.sub("", source_plain.casefold())
     language, margin = _top(of_reply)
     source_language, _ = _top(of_source)
     words = of_source is not None
+    # the letters and digits alone are read only where the languages leave a copy possible, or a name may be spelled apart
+    other = language is not None and language == target != source_language and source_language is not None
+    key, source_key = ("", "") if other else (_KEY.sub("", lower), _KEY.sub("", source_plain.casefold()))
     # stray number signs are noise; what is counted are numbers and names as often as they stand
     here, there = plain.replace("#", ""), source_plain.replace("#", "")
     numbers, given = [_NUMBER.findall(t.replace(",", ".")) for t in (here, _LIST.sub(" ", there))]
     names, given_names = _NAME.findall(here), _NAME.findall(there)
     lost = set(given).difference(numbers)
-    lost_names = [n for n in set(given_names).difference(names) if n.casefold() not in key and _KEY.sub("", n.casefold()) not in key]
+    lost_names = set(given_names).difference(names)
+    if lost_names:
+        key = key or _KEY.sub("", lower)
+        source_key = source_key or _KEY.sub("", source_plain.casefold())
+        lost_names = [n for n in lost_names if n.casefold() not in key and _KEY.sub("", n.casefold()) not in key]
     # a number or name that stands in another spelling is no sign that the text stops
     cut_numbers = bool(lost) and (Counter(given) - Counter(numbers)).total() > (Counter(numbers) - Counter(given)).total()
     cut_names = bool(lost_names) and (Counter(given_names) - Counter(names)).total() > (Counter(names) - Counter(given_names)).total()
@@ -124,11 +131,11 @@ def signals(source: str | None, reply: str, target: str | None, of_source: dict
     refusal = _vote(declines, True) + _vote(unlike if marks else None) + _vote(bool(_ASKS.search(lower)), False)
     # copied
     whole = words and source_language == target and (of_source is None or len(of_source) >= 1)
-    if not source_key or not words:
+    if not source_plain or not words or other:
         copied = "---"
     else:
         inside = len(source_key) >= 4 and source_key in key and len(key) <= 2 * len(source_key) + 80
-        near = not inside and language in (None, source_language) and 0.8 <= len(key) / len(source_key) <= 1.5 and len(_grams(source_key) & _grams(key)) >= 0.9 * len(_grams(source_key))
+        near = not inside and source_key and language in (None, source_language) and 0.8 <= len(key) / len(source_key) <= 1.5 and len(_grams(source_key) & _grams(key)) >= 0.9 * len(_grams(source_key))
         copied = _vote(inside, True) + _vote(inside or near, True) + _vote(language == source_language != target, language is not None and language == target)
     # wrong language
     if target is None or not words and language is None:
@@ -138,7 +145,7 @@ def signals(source: str | None, reply: str, target: str | None, of_source: dict
         wrong += _vote(None if same_script is None else not same_script)
         wrong += _vote(of_reply is not None and target is not None and of_reply.get(target, -2.0) < -0.3, of_reply is not None and of_reply.get(target, -2.0) > 0.3)
     # truncated
-    if not source_key:
+    if not _SYMBOL.search(source_plain):
         truncated, ratio = "0000", None
     else:
         before, after = _stop(source_plain), _stop(plain)
@@ -261,8 +268,6 @@ def defects(requests: DataFrame, items: DataFrame, replies: DataFrame, model: La
     for name in MODELLED:
         post = label_model(table[name], start=_START.get(name, ()), need=_NEED.get(name, ()))
         bar = cutoff(table[name], post)
-        if DEBUG:
-            print(name, round(bar, 3), sorted(((p, int(n), round(post[p], 3)) for p, n in table[name].items()), key=lambda x: -x[2]))
         good = [p for p, value in post.items() if value > bar]
         hit = F.col(name).isin(good) if good else F.lit(False)
         if name in ("copied", "wrong_language", "truncated"):

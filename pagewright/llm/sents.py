@@ -24,13 +24,13 @@ from .forms import _REWRITE, skeleton
 
 # Abbreviations after which a sentence goes on, whatever follows.
 _GO_ON = """prof dr mr mrs ms mx st hr fr herr frl dipl ing rer nat sen rev hon gen col capt lt sgt gov pres
-fig figs eq eqs sec secs sect no nos nr vol vols ch chap pp p pg ref refs tab tabs thm lem def cor prop app ed eds cf vs viz approx ca env incl esp
+fig figs eq eqs sec secs sect no nos nr vol vols ch chap pp p pg ref refs tab tabs thm lem cor app ed eds cf vs viz approx ca env incl esp
 e.g i.e z.b d.h u.a s.o s.u o.ä v.a bzw vgl abb abschn bd bde kap gl s sog ggf zz insb evtl bspw usf
-m mm mme mmes mlle mgr éq pl chap par art t c.-à-d p.ex n.b cf
+m mm mme mmes mlle mgr éq pl chap t c.-à-d p.ex n.b cf
 sr sra srta dra d da dª núm págs pág cap ej p.ej ud uds aprox lic ing ee av
 sig sigg sig.ra sig.na dott prof.ssa pag pagg sez es p.es cfr n tav
 exmo exma eng p.ex séc
-проф д-р акад рис табл разд стр с гл см ср напр прибл ок сл т.е т.н им ул г-н г-жа тов доц св илл п пп""".split()  # noqa: SIM905
+проф д-р акад рис табл разд стр с гл см ср напр прибл ок сл т.е т.н ул г-н г-жа тов доц св илл п пп""".split()  # noqa: SIM905
 # Abbreviations that may stand at the end of a sentence; a capital after them starts a new one.
 _MAY_END = """etc al co inc ltd corp jr sr usw u.s.w u.a.m ecc etc ss seg segg sqq sq ff f u.s u.k a.m p.m a.d b.c d.c st ave
 др т.д т.п г гг в вв н.э руб коп тыс млн млрд y.s n.a sra""".split()  # noqa: SIM905
