@@ -205,8 +205,10 @@ def label_model(counts: dict[str, float], prior: float = 0.03, rounds: int = 60,
         inside = sum(n * post[p] for p, n in counts.items())
         share = (inside + prior * 10) / (total + 10)
         # a vote for the class is more likely inside than outside: the smoothing says so
-        yes = [{v: (sum(n * post[p] for p, n in counts.items() if p[k] == v) + a) / (inside + 10) for v, a in (("+", 6), ("-", 2), ("0", 2))} for k in range(size)]
+        yes = [{v: (sum(n * post[p] for p, n in counts.items() if p[k] == v) + a) / (inside + 10) for v, a in (("+", 5), ("-", 4), ("0", 1))} for k in range(size)]
         no = [{v: (sum(n * (1 - post[p]) for p, n in counts.items() if p[k] == v) + a) / (total - inside + 10) for v, a in (("+", 0.05), ("-", 7.95), ("0", 2))} for k in range(size)]
+        for k in start:  # such a function is wrong once in a thousand at most, however few cases there are
+            no[k]["+"] = min(no[k]["+"], 0.001)
         for p in post:
             score = log(share / (1 - share)) + sum(log(yes[k][v] / no[k][v]) if v != "0" else 0.0 for k, v in enumerate(p))
             post[p] = 1 / (1 + exp(-max(-40.0, min(40.0, score)))) if "+" in p and (not need or any(p[k] == "+" for k in need)) else 0.0

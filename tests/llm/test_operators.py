@@ -187,7 +187,7 @@ def test_defects(spark, lid):
 
 def test_label_model_finds_the_class():
     post = pairs.label_model({"++": 40.0, "+-": 5.0, "-+": 5.0, "--": 950.0, "00": 10.0})
-    assert post["++"] > 0.9 > post["+-"] and post["--"] == 0 and pairs.label_model({}) == {}
+    assert post["++"] > 0.99 > post["+-"] and post["--"] == 0 and pairs.label_model({}) == {}
     assert 0.3 <= pairs.cutoff({"++": 40.0, "--": 10.0}, {"++": 0.99, "--": 0.0}) <= 0.99
 
 
