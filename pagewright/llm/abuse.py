@@ -10,7 +10,7 @@ what is already found. Votes weighted by similarity give the scores, the example
 Examples are the sentences of a bounded sample of labelled documents (LABELLED_DOCUMENTS, first by hash) and examples made
 of the lexicon by rule. Marks of a document by several annotators are settled by majority; ties and nulls are left out. A
 sentence of a harmful document is an example of the kind whose words it holds; one without such words, or one that stands
-in harmless documents as often, is none. Null and empty texts score 0.
+in harmless documents as often, is none; one that quotes such a word is an example of harmless ones. Null and empty texts score 0.
 """
 
 from __future__ import annotations
@@ -183,7 +183,8 @@ class Lexicon:
     def kind(self, bag: Counter) -> str | None:
         """The category that the marks of a harmful sentence speak for."""
         n = {k: bag.get(f"§{k}", 0) for k in KINDS}
-        hateful = (n["group"] > 0) * (2 * n["hate"] + 0.5 * (n["insult"] > 0)) + 1.0 * (n["hate"] > 1) - 1.5 * (n["you"] > 0) * (n["group"] == 0)
+        # groups that no list has are degraded in the same words
+        hateful = 2 * n["hate"] + 0.5 * (n["insult"] > 0) if n["group"] else 1.3 * (n["hate"] > 0) * (n["you"] == 0)
         sexual = 2.0 * n["sex"] - 1.0 * (n["insult"] + n["threat"] > 0)
         abusive = 1.2 * n["insult"] + 1.5 * n["threat"] + 0.5 * n["coarse"] + 0.5 * (n["you"] > 0) * (n["insult"] + n["threat"] + n["coarse"] > 0) - 0.8 * (n["group"] > 0) * (n["hate"] > 0) * (n["you"] == 0)
         if n["about"] >= 2 and not n["you"] and not n["threat"] or bag.get("§mention"):
@@ -280,10 +281,10 @@ class Judge:
         terms = {t for bag, _, _ in examples for t in bag}
         idf = {t: log((documents + 1) / (frequency.get(t, 0) + 1)) + 0.1 for t in terms}
         for mark in [t for t in idf if t.startswith("§")]:  # marks stand for whole lists of words
-            idf[mark] = max(idf[mark], {"§you": 1.0, "§mention": 9.0}.get(mark, 3.0))
+            idf[mark] = max(idf[mark], {"§you": 1.0, "§mention": 12.0}.get(mark, 3.0))
         self.lexicon, self.k, self.least = lexicon, k, least
         made = [x for x in examples if x[2][2:4] == ": "]
-        self.index = Index([*made, *edited([x for x in examples if x[2][2:4] != ": "], idf)], idf)
+        self.index = Index([*made, *edited([x for x in examples if x[2][2:4] != ": "], idf, lexicon)], idf)
         del self.index.bags  # only the editing needs them
 
     def sentence(self, sentence: str) -> tuple[dict[str, float], str]:
@@ -327,13 +328,16 @@ def labelled_examples(lexicon: Lexicon, rows: list[tuple[str, int]]) -> list[tup
         category = lexicon.kind(bag) if harmful else None
         if harmful and category and harmful >= harmless:
             out.append((bag, category, sentence))
-        elif harmless and not (category and harmful):
+        elif (harmless or "§mention" in bag) and not (category and harmful):
             out.append((bag, "", sentence))
     return out
 
 
-def edited(examples: list[tuple[Counter, str, str]], idf: dict[str, float], k: int = 7, least: float = 0.5) -> list[tuple[Counter, str, str]]:
-    """Labelled examples without those that most of their nearest neighbours contradict: marks are mistaken now and then."""
+def edited(examples: list[tuple[Counter, str, str]], idf: dict[str, float], lexicon: Lexicon, k: int = 7, least: float = 0.5) -> list[tuple[Counter, str, str]]:
+    """Labelled examples without those that most of their nearest neighbours contradict: marks are mistaken now and then.
+
+    One that is marked harmless against its words stays only if others like it are harmless too.
+    """
     if not examples:
         return examples
     index = Index(examples, idf)
@@ -346,7 +350,8 @@ def edited(examples: list[tuple[Counter, str, str]], idf: dict[str, float], k: i
             for similarity, other in index.nearest(index.vector(bag), k + 1, least, harmless=True):
                 if other != place:
                     votes[index.category[other]] += similarity**4
-            keep = not votes or 2 * votes[category] >= votes.total()
+            doubtful = not category and lexicon.kind(bag) is not None
+            keep = 2 * votes[category] > votes.total() if doubtful else 2 * votes[category] >= votes.total()
         if keep:
             out.append((bag, category, index.name[place]))
     return out
