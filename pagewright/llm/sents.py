@@ -16,7 +16,8 @@ from __future__ import annotations
 import re
 from functools import lru_cache
 
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
+from pyspark.sql import functions as F
 
 from ..session import spread
 from ._arrow import map_columns
@@ -302,7 +303,11 @@ def sentences(text: str | None) -> list[tuple[int, int]]:
     return out
 
 
-def paragraphs(items: list[dict] | None, view: list[float] | None, styles: dict | None, height: float = 10.0) -> list[list[tuple[int, str]]]:
+#: Height of running text.
+BODY = 10.0
+
+
+def paragraphs(items: list[dict] | None, view: list[float] | None, styles: dict | None, height: float = BODY) -> list[list[tuple[int, str]]]:
     """The paragraphs of running text of a page: (run_id, str) of the items of body height, in reading order.
 
     A paragraph ends where an item of another height comes between, or the next line is more than 1.75 heights lower.
@@ -332,6 +337,8 @@ def paragraphs(items: list[dict] | None, view: list[float] | None, styles: dict
 
 def run_ends(paragraph: list[tuple[int, str]]) -> list[tuple[int, int]]:
     """(run_id, end position in the run) of each sentence of a paragraph."""
+    if not paragraph:
+        return []
     pieces, starts, at = [], [], 0
     for _, piece in paragraph:
         if pieces and not pieces[-1][-1:].isspace() and not piece[:1].isspace() and not (_is_cjk(pieces[-1][-1:]) or _is_cjk(piece[:1])) and not (pieces[-1][-1:] in "，、。）」』（「『“”…" or piece[:1] in "，、。）」』（「『…"):
@@ -361,14 +368,46 @@ def _item_rows(columns: dict[str, list]) -> dict[str, list]:
 
 def _page_rows(columns: dict[str, list]) -> dict[str, list]:
     ids, ends = [], []
-    for items, view, styles in zip(columns["text_items"], columns["view_box"], columns["styles"], strict=True):
-        for paragraph in paragraphs(items, view, dict(styles or ())):
-            for run, end in run_ends(paragraph):
-                ids.append(run)
-                ends.append(end)
+    for runs, texts, lines in zip(columns["runs"], columns["texts"], columns["ys"], strict=True):
+        paragraph: list[tuple[int, str]] = []
+        previous = None
+        for run, text, y in zip(runs, texts, lines, strict=True):
+            if text is None:  # something of another height
+                previous = None
+                continue
+            if previous is None or not -0.5 * BODY <= previous - y <= 1.75 * BODY:
+                for key, end in run_ends(paragraph):
+                    ids.append(key)
+                    ends.append(end)
+                paragraph = []
+            paragraph.append((run, text))
+            previous = y
+        for key, end in run_ends(paragraph):
+            ids.append(key)
+            ends.append(end)
     return {"rec_id": ids, "end_pos": ends}
 
 
+def _body_runs(pages: DataFrame, height: float) -> DataFrame:
+    """What paragraphs() keeps of each page, as three flat arrays: the filter runs in the JVM, and Python reads no structs.
+    Runs of another height stand as null texts, since they end a paragraph."""
+    m = lambda i, k: F.get(i["matrix"], F.lit(k))
+    edge = lambda k: F.get("view_box", F.lit(k))
+
+    def kept(i: Column) -> Column:
+        upright = (m(i, 0) > 0) & (F.abs(m(i, 1)) <= 1e-3 * m(i, 0)) & (F.abs(m(i, 2)) <= 1e-3 * m(i, 0)) & m(i, 3).isNotNull()
+        inside = (F.size("view_box") == 4) & ~(m(i, 4).between(edge(0) - 1, edge(2) + 1) & m(i, 5).between(edge(1) - 1, edge(3) + 1))
+        sound = (i["str"] != "") & upright & m(i, 4).isNotNull() & m(i, 5).isNotNull() & i["height"].isNotNull() & ~F.coalesce(inside, F.lit(False))
+        return F.coalesce(sound & (body(i) | (F.regexp_replace(i["str"], r"[\s\x{A0}\x{1680}\x{2000}-\x{200A}\x{2028}\x{2029}\x{202F}\x{205F}\x{3000}]", "") != "")), F.lit(False))
+
+    def body(i: Column) -> Column:
+        mono = F.coalesce(F.element_at("styles", i["font_name"])["font_family"] == "monospace", F.lit(False))
+        return (F.abs(i["height"] - height) <= 0.01 * height) & ~mono
+
+    runs = pages.select(F.transform(F.filter("text_items", kept), lambda i: F.struct(i["run_id"].alias("r"), F.when(body(i), i["str"]).alias("t"), m(i, 5).alias("y"))).alias("k"))
+    return runs.select(F.col("k.r").alias("runs"), F.col("k.t").alias("texts"), F.col("k.y").alias("ys"))
+
+
 def item_sentences(items: DataFrame) -> DataFrame:
     """(rec_id, start_pos, end_pos) of each sentence of items(item_id, text); each row once, whatever copies there are.
 
@@ -381,4 +420,4 @@ def item_sentences(items: DataFrame) -> DataFrame:
 def page_sentences(pages: DataFrame) -> DataFrame:
     """(rec_id, end_pos) of each sentence of the running text of pages(text_items, view_box, styles); each once."""
     rows = spread(pages.select("text_items", "view_box", "styles").where("text_items is not null"))
-    return map_columns(rows, _page_rows, "rec_id bigint, end_pos int").distinct()
+    return map_columns(_body_runs(rows, BODY), _page_rows, "rec_id bigint, end_pos int").distinct()

@@ -105,7 +105,7 @@ def test_ends_grow_and_reach_the_end(text):
 
 
 def run(k, text, y, size=10.0, x=72.0):
-    return {"run_id": k, "str": text, "matrix": [size, 0.0, 0.0, size, x, y], "width": 1.0, "height": size, "font_name": "f", "has_eol": True}
+    return {"run_id": k, "str": text, "matrix": [size, 0.0, 0.0, size, x, float(y)], "width": 1.0, "height": size, "font_name": "f", "has_eol": True}
 
 
 def test_runs_of_a_page():
@@ -121,6 +121,17 @@ def test_sentence_frames(spark):
     assert sents.page_sentences(spark.read.parquet(f"{D}/page_texts.parquet").limit(0)).count() == 0
 
 
+def test_page_sentences_are_those_of_the_plain_way(spark):
+    items = [run(1, "A title", 800, 14.0), run(2, "First. Second", 780), run(3, " ", 770, 8.0), run(4, "ends", 765), run(5, "x", 760, 8.0), run(6, "Alone", 750), run(7, None, 740), run(8, "off", 2400), None]
+    own = spark.createDataFrame([("p", 1, [0.0, 0.0, 595.0, 842.0], {"f": ("serif",)}, items), ("q", 1, None, None, items), ("r", 1, [], {"f": ("monospace",)}, items), ("s", 1, None, None, None)], spark.read.parquet(f"{D}/page_texts.parquet").select("paper_id", "page", "view_box", "styles", "text_items").schema)
+    for pages in (own, spark.read.parquet(f"{D}/page_texts.parquet")):
+        plain = set()
+        for r in pages.collect():
+            d = r.asDict(True)
+            plain |= {x for p in sents.paragraphs(d["text_items"], d["view_box"], d["styles"]) for x in sents.run_ends(p)}
+        assert {(r.rec_id, r.end_pos) for r in sents.page_sentences(pages).collect()} == plain
+
+
 # ---- 3: languages
 
 TEXTS = {
