@@ -59,3 +59,19 @@ def pages_in_range(rows: DataFrame, last_page: str = "n_pages") -> DataFrame:
     page = F.col("page")
     wanted = F.when(F.col("rng") == "page", F.array(page)).when(F.col("rng") == "nearby", F.array(page, page + 1, page - 1)).otherwise(F.array().cast("array<int>"))
     return rows.withColumn("wanted", F.explode(wanted)).where(F.col("wanted").between(F.lit(1), F.col(last_page)))
+
+
+def reading_fraction(read: DataFrame, blocks: DataFrame) -> DataFrame:
+    """(probe_id, id, fraction): how far down in its block the line of line_at is, of blocks(id, n_lines)."""
+    rows = read.join(blocks.select("id", "n_lines"), "id")
+    return rows.select("probe_id", "id", ((F.col("line") + F.col("within")) / F.nullif(F.col("n_lines"), F.lit(0))).alias("fraction"))
+
+
+def sentence_top(rects: Column) -> Column:
+    """The upper edge of a sentence: the greatest of its rectangles."""
+    return F.array_max(F.transform(rects, lambda r: r["y"] + r["h"]))
+
+
+def sample(rows: DataFrame, key: str, n: int) -> DataFrame:
+    """n rows, the same for the same rows wherever they stand: those whose key comes first by hash."""
+    return rows.orderBy(F.sha1(F.col(key).cast("string")), key).limit(n)

@@ -10,6 +10,7 @@ from typing import Any
 
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
+from pyspark.sql.window import Window
 
 from ..functions import patterns as P, text as T
 
@@ -194,3 +195,30 @@ Output: {{"translations":[{{"id":"s1","translation":"<{english} translation of s
 def prompts(spark: SparkSession, target: str, glossary: dict[str, str] | None = None) -> DataFrame:
     """The prompt of each source language for one target: a dimension of twelve rows."""
     return spark.createDataFrame([(source, target, system_prompt(glossary or {}, target, source)) for source in (P.AUTO, *_CODES)], "source string, target string, prompt string")
+
+
+def overlaid(strings: DataFrame, defaults: DataFrame) -> DataFrame:
+    """(name, value): defaults(name, value), replaced where strings(name, value) has a text that is not empty."""
+    given = strings.groupBy("name").agg(F.max("value").alias("given"))
+    return defaults.join(given, "name", "left").select("name", F.coalesce(F.nullif(F.col("given"), F.lit("")), F.col("value")).alias("value"))
+
+
+def suggested_first(choices: DataFrame, suggestions: DataFrame) -> DataFrame:
+    """choices(code, ord, ...) with place, in the order they are offered: suggestions(code, rank) first, then the others in
+    their own order."""
+    ranked = suggestions.groupBy("code").agg(F.min("rank").alias("rank"))
+    rows = choices.join(ranked, "code", "left")
+    place = F.row_number().over(Window.orderBy(F.col("rank").asc_nulls_last(), "ord"))  # a short list of choices
+    return rows.withColumn("place", place).drop("rank")
+
+
+def other_providers(spark: SparkSession, base_url: str) -> DataFrame:
+    """The presets but the one in use."""
+    current = spark.createDataFrame([(base_url,)], "base_url string").select(normalize_url(F.col("base_url")).alias("url"))
+    presets = providers(spark)
+    return presets.join(current, normalize_url(presets["base_url"]) == current["url"], "left_anti")
+
+
+def target_unset(*scopes: Column) -> Column:
+    """Whether no scope has a value."""
+    return F.coalesce(*scopes).isNull()

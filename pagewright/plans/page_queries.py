@@ -4,6 +4,7 @@ from __future__ import annotations
 
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql.window import Window
 
 from ..functions import language, patterns as P, text as T
 from ..operators import batching, enrich, layout, probe, render, reply, settings
@@ -364,3 +365,57 @@ def q44_valid_messages(spark, d):
     )
     return rows.select("request_id", page_source.is_valid_message(message).alias("valid"))
 
+
+
+@query(f"""
+    WITH p AS (SELECT *, {_GAP_Y} * 4 + {_GAP_X} AS score, least(1.0, greatest(0.0, coalesce((y + h - py) / nullif(h, 0), 0)))::DOUBLE AS within FROM {_POINTS} JOIN {_RECTS} USING (doc, page)),
+    b AS (SELECT probe_id, arg_min(id, (score, ord)) AS id, arg_min(line, (score, ord)) AS line, arg_min(within, (score, ord)) AS within FROM p GROUP BY probe_id)
+    SELECT probe_id, b.id, (line + within) / n_lines AS fraction FROM b JOIN (SELECT id, count(*) AS n_lines FROM {_RECTS} GROUP BY id) USING (id)""")
+def q45_reading_fraction(spark, d):
+    rects = _rects(spark, d)
+    return probe.reading_fraction(probe.line_at(_points(spark, d), rects), rects.groupBy("id").agg(F.count("*").alias("n_lines")))
+
+
+@query("""
+    SELECT user_id::VARCHAR AS doc, event_id AS seq, dirty FROM (
+        SELECT *, coalesce(lag(dirty) OVER (PARTITION BY user_id ORDER BY event_id), false) AS before FROM (SELECT user_id, event_id, event_type <> 'purchase' AS dirty FROM events WHERE event_type IN ('view', 'purchase', 'click')))
+    WHERE dirty <> before""")
+def q46_dirty_changes(spark, d):
+    kind = F.col("event_type")
+    kind = F.when(kind == "view", "edit").when(kind == "purchase", "save").when(kind == "click", "backup")
+    rows = table(spark, d, "events", "event_id", "user_id", "event_type").select(F.col("user_id").cast("string").alias("doc"), F.col("event_id").alias("seq"), kind.alias("kind"))
+    return states.dirty_changes(rows)
+
+
+@query("""
+    SELECT paper_id AS job, request_id AS seq, percent, percent - coalesce(lag(percent) OVER (PARTITION BY paper_id ORDER BY request_id), 0) AS increment FROM (
+        SELECT r.paper_id, r.request_id, row_number() OVER (PARTITION BY r.paper_id ORDER BY r.request_id) * 100.0::DOUBLE / count(*) OVER (PARTITION BY r.paper_id) AS percent FROM requests r WHERE paper_id IS NOT NULL)""")
+def q47_progress(spark, d):
+    rows = table(spark, d, "requests", "paper_id", "request_id").where("paper_id is not null")
+    done = F.row_number().over(Window.partitionBy("paper_id").orderBy("request_id"))
+    rows = rows.select(F.col("paper_id").alias("job"), F.col("request_id").alias("seq"), done.alias("done"), F.count("*").over(Window.partitionBy("paper_id")).alias("total"))
+    return states.progress(rows)
+
+
+@query("""
+    SELECT code, row_number() OVER (ORDER BY n DESC NULLS LAST, ord) AS place FROM (
+        SELECT unnest(['zh-CN', 'zh-TW', 'en', 'ja', 'ko', 'fr', 'de', 'es', 'pt', 'ru', 'it']) AS code, unnest(range(11)) AS ord)
+    LEFT JOIN (SELECT target_language AS code, count(*) AS n FROM requests GROUP BY 1 HAVING count(*) > 20) USING (code)""")
+def q48_suggested_first(spark, d):
+    """Languages as they would be offered: those asked for most first."""
+    asked = table(spark, d, "requests", "target_language").groupBy(F.col("target_language").alias("code")).count().where("count > 20")
+    ordered = settings.suggested_first(language.languages(spark), asked.select("code", (-F.col("count")).alias("rank")))
+    return ordered.select("code", F.col("place").cast("long").alias("place"))
+
+
+@query("SELECT item_id, item_id % 3 = 0 AS inside FROM (SELECT DISTINCT item_id FROM work_items)")
+def q49_links_inside(spark, d):
+    n = F.col("item_id") % 3
+    url = F.when(n == 0, F.concat(F.lit("https://host.example/docs/a/"), "item_id")).when(n == 1, F.concat(F.lit("https://host.example/other/"), "item_id")).otherwise(F.concat(F.lit("https://host.example.org/docs/a/"), "item_id"))
+    return table(spark, d, "work_items", "item_id").distinct().select("item_id", page_source.is_inside(url, F.lit("https://host.example/docs/index.html")).alias("inside"))
+
+
+@query("SELECT doc_id, source FROM (SELECT doc_id, source FROM documents ORDER BY sha1(doc_id::VARCHAR), doc_id LIMIT 50)")
+def q50_sample(spark, d):
+    """A sample of fifty documents, by hash: the limit is the operator."""
+    return probe.sample(table(spark, d, "documents", "doc_id", "source"), "doc_id", 50)

@@ -83,3 +83,11 @@ def is_valid_message(message: Column) -> Column:
         out = F.when(kind == name, ok).otherwise(out)
     return F.coalesce(out, F.lit(False))
 
+
+
+def is_inside(url: Column, base: Column) -> Column:
+    """Whether an address is of the same origin as a base and below its path; addresses that cannot be read are not."""
+    part = lambda u, what: F.try_parse_url(u, F.lit(what))
+    same = part(url, "PROTOCOL").eqNullSafe(part(base, "PROTOCOL")) & part(url, "AUTHORITY").eqNullSafe(part(base, "AUTHORITY")) & part(url, "AUTHORITY").isNotNull()
+    folder = F.regexp_replace(F.coalesce(part(base, "PATH"), F.lit("/")), "[^/]*$", "")
+    return F.coalesce(same & F.startswith(F.coalesce(part(url, "PATH"), F.lit("")), folder), F.lit(False))

@@ -13,6 +13,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.streaming import StreamingQuery
 from pyspark.sql.streaming.state import GroupState, GroupStateTimeout
+from pyspark.sql.window import Window
 
 #: What events hold: kind is ask, reply, failure, retry or reset.
 EVENT = "doc string, id string, seq bigint, kind string, request_id bigint, text string"
@@ -82,6 +83,22 @@ def track(events: DataFrame) -> DataFrame:
     return events.groupBy("doc", "id").applyInPandasWithState(update, STATE, _KEPT, "update", GroupStateTimeout.NoTimeout)
 
 
+def dirty_changes(events: DataFrame) -> DataFrame:
+    """(doc, seq, dirty): when a document becomes dirty or clean, of events(doc, seq, kind), kind edit, save or backup."""
+    own = Window.partitionBy("doc").orderBy("seq")
+    rows = events.where(F.col("kind").isin("edit", "save", "backup")).withColumn("dirty", F.col("kind") != "save")
+    before = F.coalesce(F.lag("dirty").over(own), F.lit(False))
+    return rows.withColumn("before", before).where("dirty <> before").select("doc", "seq", "dirty")
+
+
+def progress(events: DataFrame) -> DataFrame:
+    """(job, seq, percent, increment) of events(job, seq, done, total): share done, and by how much it grew."""
+    percent = F.col("done") * 100.0 / F.nullif(F.col("total"), F.lit(0))
+    rows = events.withColumn("percent", F.coalesce(percent, F.lit(0.0)))
+    last = F.coalesce(F.lag("percent").over(Window.partitionBy("job").orderBy("seq")), F.lit(0.0))
+    return rows.select("job", "seq", "percent", (F.col("percent") - last).alias("increment"))
+
+
 def fenced(results: DataFrame, generations: DataFrame) -> DataFrame:
     """Results whose generation is the current one of their document: generations(doc, current)."""
     return results.join(generations, "doc").where(F.col("generation") == F.col("current")).drop("current")

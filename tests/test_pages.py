@@ -102,3 +102,31 @@ def test_states_of_a_stream(spark, tmp_path):
 def test_fence(spark):
     results = spark.createDataFrame([("d", 1, "old"), ("d", 2, "new")], "doc string, generation int, text string")
     assert [r.text for r in states.fenced(results, spark.createDataFrame([("d", 2)], "doc string, current int")).collect()] == ["new"]
+
+
+def test_small_operators(spark):
+    from pagewright.operators import settings
+    from pagewright.sources.pages import is_inside
+
+    defaults = spark.createDataFrame([("a", "A"), ("b", "B")], "name string, value string")
+    given = spark.createDataFrame([("a", "x"), ("b", ""), ("c", "y")], "name string, value string")
+    assert {r.name: r.value for r in settings.overlaid(given, defaults).collect()} == {"a": "x", "b": "B"}
+    assert settings.other_providers(spark, "https://api.openai.com/V1/").count() == len(settings.PROVIDERS) - 1
+    rows = spark.createDataFrame([("https://h/d/x", "https://h/d/i.html"), ("https://h/e", "https://h/d/i.html"), ("nonsense", "https://h/d/"), (None, "https://h/d/")], "u string, b string")
+    assert [r.v for r in rows.select(is_inside(F.col("u"), F.col("b")).alias("v")).collect()] == [True, False, False, False]
+    codes = spark.createDataFrame([("noApiKey", []), ("http", ["500", "x"]), ("unknown", ["1"])], "code string, args array<string>")
+    assert [r.v for r in codes.select(settings.error_message(F.col("code"), F.col("args"), F.lit("?")).alias("v")).collect()] == ["The API key is not set.", "The translation API returned error 500: x", "?"]
+    assert spark.range(1).select(settings.target_unset(F.lit(None), F.lit(None)).alias("v")).first().v is True
+    urls = spark.createDataFrame([("http://localhost:1/v1",), ("https://x.org",), ("no address",)], "u string")
+    assert [r.v for r in urls.select(settings.needs_api_key(F.col("u")).alias("v")).collect()] == [False, True, True]
+
+
+def test_table_functions(spark):
+    from pagewright.functions import udtf
+
+    udtf.register(spark)
+    spark.createDataFrame([(1, "One here. Two there."), (2, None)], "id int, text string").createOrReplaceTempView("texts")
+    got = spark.sql("SELECT id, s.idx, s.start_pos, s.end_pos, s.sentence FROM texts, LATERAL sentences_of(text) s ORDER BY id, idx").collect()
+    assert [tuple(r) for r in got] == [(1, 1, 0, 9, "One here."), (1, 2, 10, 20, "Two there.")]
+    spark.read.parquet("/root/testdata/sf0.001/page_texts.parquet").limit(3).createOrReplaceTempView("some_pages")
+    assert spark.sql("SELECT b.* FROM some_pages p, LATERAL segment_page(p.page, p.view_box, p.styles, p.text_items) b").count() > 3
