@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import io
 import os
 import tempfile
 import zipfile
@@ -32,10 +33,21 @@ def ship(spark: SparkSession) -> None:
     if context.master.startswith("local[") or context.master == "local" or getattr(context, "_pagewright_sent", False):
         return
     root = Path(__file__).resolve().parent
-    target = os.path.join(tempfile.mkdtemp(prefix="pagewright"), "pagewright.zip")  # read by the driver's file server only
-    with zipfile.ZipFile(target, "w") as archive:
+    packed = io.BytesIO()
+    with zipfile.ZipFile(packed, "w") as archive:
         for path in sorted(root.rglob("*.py")):
             archive.write(path, path.relative_to(root.parent))
+    name = f"pagewright-{context.applicationId}.zip"
+    shared = spark.conf.get("spark.checkpoint.dir", None)
+    if shared:  # the folder all machines see
+        place = spark._jvm.org.apache.hadoop.fs.Path(shared, name)
+        stream = place.getFileSystem(spark._jsc.hadoopConfiguration()).create(place, True)
+        stream.write(packed.getvalue())
+        stream.close()
+        target = place.toString()
+    else:  # read by the driver's own file server only
+        target = os.path.join(tempfile.mkdtemp(prefix="pagewright"), name)
+        Path(target).write_bytes(packed.getvalue())
     context.addPyFile(target)
     context._pagewright_sent = True
 
