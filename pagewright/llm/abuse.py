@@ -28,8 +28,9 @@ from ._arrow import map_columns
 from .forms import normalised, skeleton
 from .lexicon import COMMON, FRAMES, WORDS
 
-#: Bound of the sample of labelled documents.
+#: Bound of the sample of labelled documents, and of the length of one.
 LABELLED_DOCUMENTS = 4000
+LABELLED_CHARS = 50_000
 CATEGORIES = ("abusive", "hateful", "sexual")
 KINDS = ("you", "insult", "threat", "group", "hate", "sex", "coarse", "about")
 
@@ -364,7 +365,7 @@ def judge_of(documents: DataFrame, labels: DataFrame, limit: int = LABELLED_DOCU
     lexicon = Lexicon()
     marks = labels.where("label is not null").distinct().groupBy("doc_id").agg(F.avg(F.col("label").cast("double")).alias("share")).where("share <> 0.5")
     marks = marks.orderBy(F.xxhash64("doc_id"), "doc_id").limit(limit)
-    rows = documents.join(F.broadcast(marks), "doc_id").where("text <> ''").select("doc_id", "text", "share").distinct().orderBy("doc_id").toLocalIterator()
+    rows = documents.join(F.broadcast(marks), "doc_id").where("text <> ''").where(F.length("text") <= LABELLED_CHARS).select("doc_id", "text", "share").distinct().orderBy("doc_id").toLocalIterator()
     examples = [*rule_examples(lexicon), *labelled_examples(lexicon, [(r.text, int(r.share > 0.5)) for r in rows])]
     terms = frozenset(t for bag, _, _ in examples for t in bag)
     shared = spark.sparkContext.broadcast((lexicon, terms))

@@ -68,6 +68,8 @@ _TOGETHER = ({"hiragana", "han"},)
 #: A letter of the alphabets that looks like no other; for accented letters their base counts.
 _CLEAR = re.compile("[" + "".join(chr(c) for c in [*range(0x41, 0x5B), *range(0x61, 0x7B), *range(0xC0, 0x250), *range(0x386, 0x530), *range(0x1E00, 0x2000)] if chr(c).isalpha() and unicodedata.normalize("NFD", chr(c))[0] not in _CLASS) + "]")
 _MEMO_LIMIT = 200_000
+#: Longest text of the sample for the bigrams.
+SAMPLE_CHARS = 5000
 
 
 def normalised(text: str) -> str:
@@ -187,7 +189,7 @@ class Spelling:
 def spelling_of(texts: DataFrame, rows: int = 4000) -> Spelling:
     """A speller with bigrams of a bounded sample: the rows texts that come first by hash. Which rows they are cannot
     change which strings come out equal, only the letters they are written with."""
-    sample = texts.toDF("text").where("text <> ''").orderBy(F.xxhash64("text"), "text").limit(rows).collect()
+    sample = texts.toDF("text").where("text <> ''").where(F.length("text") <= SAMPLE_CHARS).orderBy(F.xxhash64("text"), "text").limit(rows).collect()
     return Spelling().fit(r.text for r in sample)
 
 

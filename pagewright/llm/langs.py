@@ -30,6 +30,8 @@ from .sents import sentences
 
 #: Bound of the labelled sample, rows of each table.
 SAMPLE_ROWS = 4000
+#: Only texts up to this length are in the sample, so that it has a bound in bytes too (some 20 MB).
+SAMPLE_CHARS = 5000
 #: Bound of the units of a language that one support vector machine is fitted on.
 UNITS_A_CLASS = 400
 
@@ -371,7 +373,7 @@ def model_of(items: DataFrame, documents: DataFrame, rows: int = SAMPLE_ROWS) ->
     """Fit on bounded samples of items(text, label) and documents(text, label)."""
     samples = []
     for df, cut in ((items, lambda t: [t]), (documents, lambda t: t.split("\n"))):
-        df = df.toDF("text", "label").where("text <> '' and label <> ''")
+        df = df.toDF("text", "label").where("text <> '' and label <> ''").where(F.length("text") <= SAMPLE_CHARS)
         for text, label in df.orderBy(F.xxhash64("text", "label"), "text", "label").limit(rows).collect():
             code = label_code(label)
             if code:
