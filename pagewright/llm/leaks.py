@@ -26,8 +26,8 @@ from ._arrow import map_columns
 from .forms import _FIRST, _REWRITE
 
 WINDOW = 8
-#: Items are searched in blocks of so many, so that what is broadcast has a bound (some 40 MB) whatever their number.
-ITEMS_A_BLOCK = 20_000
+#: Items are searched in blocks of so many, so that what is broadcast has a bound (some 50 MB) whatever their number.
+ITEMS_A_BLOCK = 1_000
 
 _HAN = re.compile("[㐀-鿿]")
 _PLAIN_RUN = re.compile("[a-z0-9]+")
