@@ -18,6 +18,7 @@ from __future__ import annotations
 import re
 from collections import Counter, defaultdict
 from heapq import nlargest
+from itertools import chain
 from math import log, sqrt
 
 from pyspark.sql import DataFrame
@@ -148,20 +149,18 @@ class Lexicon:
 
     def bag(self, sentence: str) -> Counter:
         """Terms of a sentence and how often they stand in it; marks count in the language of the sentence only."""
-        bag: Counter = Counter()
-        rows = [self.terms(token) for token in _TOKEN.findall(sentence)]
-        languages: Counter = Counter()
-        marked = []
-        for k, (words, marks, common, plain) in enumerate(rows):
-            bag.update(words)
-            languages.update(common)
-            if marks:
-                marked.append(marks)
-            for parts, mark in self.phrases.get(plain, ()):
-                if all(k + i < len(rows) and rows[k + i][3] == part for i, part in enumerate(parts)):
-                    marked.append((mark,))
-                    bag["_".join(parts)] += 1
+        held, phrases = self.memo.get, self.phrases
+        rows = [held(token) or self.terms(token) for token in _TOKEN.findall(sentence)]
+        bag = Counter(chain.from_iterable([r[0] for r in rows]))
+        marked = [r[1] for r in rows if r[1]]
+        for k, row in enumerate(rows):
+            if row[3] in phrases:
+                for parts, mark in phrases[row[3]]:
+                    if all(k + i < len(rows) and rows[k + i][3] == part for i, part in enumerate(parts)):
+                        marked.append((mark,))
+                        bag["_".join(parts)] += 1
         if marked:
+            languages = Counter(chain.from_iterable([r[2] for r in rows]))
             most = max(languages.values(), default=0)
             spoken = {x for x, n in languages.items() if n >= most - (most < 6)} if most else None
             for marks in marked:
@@ -177,6 +176,31 @@ class Lexicon:
             bag["§mention"] += 1
         return bag
 
+    def row(self, token: str) -> tuple[tuple[str, ...], tuple[tuple[str, str], ...], tuple[str, ...], str]:
+        return self.memo.get(token) or self.terms(token)
+
+    def is_plain(self, rows: list) -> bool:
+        """Whether no word of a sentence has a mark or begins a phrase that stands there: its terms are those of its words."""
+        phrases = self.phrases
+        for k, r in enumerate(rows):
+            if r[1] or r[3] in phrases and any(all(k + i < len(rows) and rows[k + i][3] == part for i, part in enumerate(parts)) for parts, _ in phrases[r[3]]):
+                return False
+        return True
+
+    def all_terms(self, text: str) -> set[str]:
+        """The terms of all sentences of a text, without counts."""
+        plain: set[str] = set()
+        out: set[str] = set()
+        for sentence in sentences(text):
+            tokens = _TOKEN.findall(sentence)
+            if not _HAS_CJK.search(sentence) and self.is_plain([self.row(t) for t in tokens]):
+                plain.update(tokens)
+            else:
+                out.update(self.bag(sentence))
+        for token in plain:
+            out.update(self.row(token)[0])
+        return out
+
     def mentions(self, quoted: str) -> bool:
         """Whether a quotation of a word or two is one of the words above."""
         return bool(self.find_east.search(quoted)) or any(kind in ("insult", "sex", "threat") for token in _TOKEN.findall(quoted) for _, kind in self.terms(token)[1])
@@ -287,9 +311,51 @@ class Judge:
         made = [x for x in examples if x[2][2:4] == ": "]
         self.index = Index([*made, *edited([x for x in examples if x[2][2:4] != ": "], idf, lexicon)], idf)
         del self.index.bags  # only the editing needs them
+        self.bounds: dict[str, tuple[float, float, bool, str]] = {}
+
+    def __getstate__(self) -> dict:
+        return self.__dict__ | {"bounds": {}}
+
+    def _parts(self, token: str) -> tuple[float, float, bool, str]:
+        """Of a word: the most it and its marks can add to a product with a harmful example, the least to the squared
+        length of the sentence, whether it begins a phrase, and its plain form."""
+        terms, marks, _, plain = self.lexicon.row(token)
+        idf = self.index.idf
+        least = sum(idf[t] ** 2 if t in idf else _UNKNOWN for t in terms if not t.endswith("~"))
+        if len(self.bounds) > 300_000:
+            self.bounds.clear()
+        most = self._most([*terms, *{f"§{kind}" for _, kind in marks}])
+        found = self.bounds[token] = (most, least, plain in self.lexicon.phrases, plain)
+        return found
+
+    def _most(self, terms: list[str]) -> float:
+        idf, harm = self.index.idf, self.index.harm
+        return sum(idf[t] * harm[t] for t in terms if t in harm)
+
+    def hopeless(self, sentence: str) -> bool:
+        """Whether no harmful example can be near enough, by a bound that needs no vector; false where it cannot tell.
+
+        A term that stands n times adds less than n times itself, and marks count at most where they can.
+        """
+        if _HAS_CJK.search(sentence):
+            return False
+        held = self.bounds.get
+        rows = [held(token) or self._parts(token) for token in _TOKEN.findall(sentence)]
+        most = sum([r[0] for r in rows])
+        bar = self.least * sqrt(sum({r[3]: r[1] for r in rows}.values()))
+        if most >= bar:
+            return False
+        for k, r in enumerate(rows):
+            if r[2]:
+                for parts, (_, kind) in self.lexicon.phrases[r[3]]:
+                    if all(k + i < len(rows) and rows[k + i][3] == part for i, part in enumerate(parts)):
+                        most += self._most(["_".join(parts), f"§{kind}"])
+        return most < bar
 
     def sentence(self, sentence: str) -> tuple[dict[str, float], str]:
         """Score of each category and the name of the nearest harmful example."""
+        if self.hopeless(sentence):
+            return {}, ""
         near = self.index.nearest(self.index.vector(self.lexicon.bag(sentence)), self.k, self.least)
         if not near:
             return {}, ""
@@ -374,7 +440,7 @@ def judge_of(documents: DataFrame, labels: DataFrame, limit: int = LABELLED_DOCU
         lexicon, terms = shared.value
         total: Counter = Counter()
         for text in columns["text"]:
-            total.update(terms & {t for s in sentences(undisguised(text)) for t in lexicon.bag(s)})
+            total.update(terms & lexicon.all_terms(undisguised(text)))
             total[""] += 1
         return {"term": list(total), "n": list(total.values())}
 

@@ -373,6 +373,21 @@ def test_judge(spark):
     assert alone.document("You are a pathetic idiot.")["abusive"][0] > 0.5 and alone.document(None) == {}
 
 
+def test_hopeless_sentences_have_no_near_example(spark):
+    documents = spark.read.parquet("/root/testdata/sf0.01/documents.parquet")
+    judge = abuse.judge_of(documents, spark.read.parquet("/root/testdata/sf0.01/review_labels.parquet"))
+    passed = 0
+    for r in spark.read.parquet(f"{D}/documents.parquet").collect():
+        text = abuse.undisguised(r.text)
+        cut = abuse.sentences(text)
+        assert judge.lexicon.all_terms(text) == {t for s in cut for t in judge.lexicon.bag(s)}
+        for sentence in cut:
+            if judge.hopeless(sentence):
+                passed += 1
+                assert judge.index.nearest(judge.index.vector(judge.lexicon.bag(sentence)), 9, judge.least) == []
+    assert passed > 1000
+
+
 # ---- all queries, on the smallest tables
 
 
