@@ -175,6 +175,8 @@ class LanguageModel:
             if len(set(signs[picked])) == 2:
                 self.han = _svm([rows[i] for i in picked], signs[picked], 0x10002)
                 use = np.array([self.han[r].sum() for r in rows]) * signs > 0
+        own = np.arange(0x10000)
+        self.forms = np.where((own >= 0x3400) & (own < 0xA000), self.han[:0x10000] + self.single * self.han[0x10000] + self.traditional * self.han[0x10001], 0.0)
         self._start()
         return self
 
@@ -258,10 +260,18 @@ class LanguageModel:
 
     def scores(self, units: list[str]) -> list[dict[str, float] | None]:
         """Scores of the languages that are possible for each unit; None for a unit without words."""
+        return self.scores_and_counts(units)[0]
+
+    def scores_and_counts(self, units: list[str]) -> tuple[list[dict[str, float] | None], np.ndarray]:
+        """The scores of each unit, and its letters of each script."""
         out: list[dict[str, float] | None] = [None] * len(units)
         if not units:
-            return out
-        counts = script_counts(units)
+            return out, np.zeros((0, 7))
+        codes, ends = encoded(units)
+        counts = script_counts(units, (codes, ends))
+        # margins between the forms of Chinese, of all units at once
+        sums = np.concatenate([[0.0], np.cumsum(self.forms[np.where(codes < 0x10000, codes, 0)], dtype=np.float64)])
+        margins = np.round(sums[ends[1:]] - sums[ends[:-1]], 6).tolist()
         shares = self._shares(counts)
         group = (shares @ self.scripts.T).argmax(1)
         words: list[list[str]] = []
@@ -280,8 +290,7 @@ class LanguageModel:
             elif g == 1 and counts[i, 3] >= 3:
                 out[i] = {"ru": 2.0}
             elif g == 2 and counts[i, 4] >= 2:
-                margin = float(self.han[self._characters(units[i])].sum())
-                out[i] = {"zh-CN": margin, "zh-TW": -margin}
+                out[i] = {"zh-CN": margins[i], "zh-TW": -margins[i]}
             elif g == 3 and counts[i, 5]:
                 out[i] = {"ja": 2.0}
             elif g == 4 and counts[i, 6] >= 2:
@@ -289,15 +298,19 @@ class LanguageModel:
         if places:
             for i, scores in zip(places, self._latin_scores(self.table_sum(words)), strict=True):
                 out[i] = scores
-        return out
+        return out, counts
 
 
-def script_counts(units: list[str]) -> np.ndarray:
-    """Letters of each script in each unit, by one pass over all of them."""
-    lengths = np.array([len(u) for u in units])
+def encoded(units: list[str]) -> tuple[np.ndarray, np.ndarray]:
+    """Code points of all units, and where each begins and the last ends."""
     codes = np.frombuffer("".join(units).encode("utf-32-le", "surrogatepass"), np.uint32)
+    return codes, np.concatenate([[0], np.cumsum([len(u) for u in units], dtype=np.int64)])
+
+
+def script_counts(units: list[str], coded: tuple[np.ndarray, np.ndarray] | None = None) -> np.ndarray:
+    """Letters of each script in each unit, by one pass over all of them."""
+    codes, ends = coded or encoded(units)
     kinds = _SCRIPT[codes]
-    ends = np.concatenate([[0], np.cumsum(lengths)])
     out = np.zeros((len(units), 7))
     for k in range(1, 7):
         if (hit := np.flatnonzero(kinds == k)).size:

@@ -19,10 +19,10 @@ from math import exp, log
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from ..session import cut, ship, spread
+from ..session import cut, ship
 from ._arrow import map_columns
 from .forms import normalised
-from .langs import LanguageModel, label_code, script_counts
+from .langs import LanguageModel, label_code
 
 MODELLED = ("refusal", "copied", "wrong_language", "truncated")
 ORDER = ("missing", "empty", *MODELLED)
@@ -165,8 +165,8 @@ def _features(model) -> Callable[[dict[str, list]], dict[str, list]]:
         replies = [normalised(r) if r else "" for r in columns["translation"]]
         sources = [normalised(s) if s else "" for s in columns["text"]]
         lid: LanguageModel = model.value
-        of_replies, of_sources = lid.scores(replies), lid.scores(sources)
-        counts = script_counts(replies)
+        of_replies, counts = lid.scores_and_counts(replies)
+        of_sources = lid.scores(sources)
         for k, (request, item, target, source) in enumerate(zip(columns["request_id"], columns["item_id"], columns["target_language"], columns["text"], strict=True)):
             source = None if source is None else sources[k]
             reply, code = replies[k], label_code(target)
