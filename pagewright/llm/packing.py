@@ -13,6 +13,7 @@ from __future__ import annotations
 
 import base64
 import math
+from functools import lru_cache
 
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
@@ -41,43 +42,48 @@ def encoding(path: str | None = None, pattern: str | None = None):
     return _ENCODINGS[path, pattern]
 
 
-def parts(text: str, capacity: int, tokens, words) -> list[tuple[int, int, int]]:
-    """(start, end, size) of the parts of a text, none larger than the capacity; tokens counts, words are the matches of
-    the tokenizer's pattern."""
-    whole = tokens(text)
-    if whole <= capacity:
-        return [(0, len(text), whole)]
+def spans(text: str, tokens, words) -> list[tuple[int, int, int]]:
+    """(start, end, size) of the words of a text as the tokenizer cuts it; no token reaches over their edges."""
+    return [(m.start(), m.end(), tokens(m[0])) for m in words(text)]
+
+
+def parts(text: str, capacity: int, tokens, own: list[tuple[int, int, int]]) -> list[tuple[int, int, int]]:
+    """(start, end, size) of the parts of a text, none larger than the capacity; own are its spans."""
     cuts, start, room = [], 0, capacity
-    for m in words(text):
-        need = tokens(m[0])
+    for begin, end, size in own:
+        need = size
         while need > room:
-            if start < m.start():
-                cuts.append(m.start())
-                start, room = m.start(), capacity
+            if start < begin:
+                cuts.append(begin)
+                start, room = begin, capacity
                 continue
             # one word beyond the capacity: as many characters as fit
-            low, high = start + 1, m.end()
+            low, high = start + 1, end
             while low < high:
                 middle = (low + high + 1) // 2
                 low, high = (middle, high) if tokens(text[start:middle]) <= capacity else (low, middle - 1)
             cuts.append(low)
-            start, room = low, capacity
-            need = tokens(text[start : m.end()])
+            begin = start = low
+            room = capacity
+            need = tokens(text[start:end])
         room -= need
     out, begin = [], 0
     for end in [*cuts, len(text)]:
         if begin < end:
-            size = tokens(text[begin:end])
-            if size > capacity and end - begin > 1:  # the edge of a part is read in another way: halve it
-                middle = (begin + end) // 2
-                out += [(begin + a, begin + b, n) for a, b, n in parts(text[begin:middle], capacity, tokens, words)]
-                out += [(middle + a, middle + b, n) for a, b, n in parts(text[middle:end], capacity, tokens, words)]
-            else:
-                out.append((begin, end, size))
+            out += _sized(text, begin, end, capacity, tokens)
         begin = end
     return out
 
 
+def _sized(text: str, begin: int, end: int, capacity: int, tokens) -> list[tuple[int, int, int]]:
+    """A part with its size as the tokenizer gives it; halved where its edges are read in another way and it grows."""
+    size = tokens(text[begin:end])
+    if size <= capacity or end - begin < 2:
+        return [(begin, end, size)]
+    middle = (begin + end) // 2
+    return _sized(text, begin, middle, capacity, tokens) + _sized(text, middle, end, capacity, tokens)
+
+
 def first_fit_decreasing(sizes: list[int], capacity: int) -> list[int]:
     """The container of each size; sizes above the capacity get one for themselves."""
     leaves = 1
@@ -121,11 +127,16 @@ def pack(documents: DataFrame, budgets: DataFrame, path: str | None = None, patt
         def tokens(text: str) -> int:
             return len(coder.encode_ordinary(text))
 
+        @lru_cache(maxsize=100_000)
+        def word_tokens(word: str) -> int:
+            return len(coder.encode_ordinary(word))
+
         out: dict[str, list] = {k: [] for k in ("budget_id", "doc_id", "part_no", "start_pos", "end_pos", "n_tokens")}
         for key, text in zip(columns["doc_id"], columns["text"], strict=True):
             size = tokens(text)
+            own = spans(text, word_tokens, words) if any(size > c for c in capacities.values()) else []
             for budget, capacity in capacities.items():
-                cuts = [(0, len(text), size)] if size <= capacity else parts(text, capacity, tokens, words)
+                cuts = [(0, len(text), size)] if size <= capacity else parts(text, capacity, tokens, own)
                 for k, (a, b, n) in enumerate(cuts):
                     for name, value in zip(out, (budget, key, k, a, b, n), strict=True):
                         out[name].append(value)
