@@ -62,7 +62,8 @@ _CLASS = {char: row for row in LOOK_ALIKES for char in row}
 _EAST = "".join(row for row in LOOK_ALIKES if ord(row[0]) > 0x2FFF)
 #: A token of the alphabets that have look-alikes, or a stretch of ambiguous kana and ideographs with its neighbours.
 _TOKEN = re.compile(f"[A-Za-zªµºÀ-ʯ̀-ͯͰ-ԯḀ-῿]+|[{_EAST}]+")
-_ASCII_TOKEN = re.compile("[A-Za-z]+")
+#: A letter of another alphabet, or an ambiguous character of the east.
+_FOREIGN = re.compile(f"[Ͱ-ԯἀ-\u1fff{_EAST}]")
 _EASTERN = ("han", "hiragana", "katakana")
 _TOGETHER = ({"hiragana", "han"},)
 #: A letter of the alphabets that looks like no other; for accented letters their base counts.
@@ -109,7 +110,8 @@ class Spelling:
         self.switch, self.enter = switch, enter
         self.pairs: dict[str, Counter] = defaultdict(Counter)
         self.totals: Counter = Counter()
-        self.memo: dict[str, str] = {}
+        self.memo: dict[tuple[str, str, str, str], str] = {}
+        self.same: set[str] = set()
 
     def fit(self, texts: Iterable[str]) -> Spelling:
         """Count the bigrams of tokens that keep to one script."""
@@ -124,7 +126,7 @@ class Spelling:
         return self
 
     def __getstate__(self) -> dict:
-        return self.__dict__ | {"memo": {}}
+        return self.__dict__ | {"memo": {}, "same": set()}
 
     def _score(self, a: str, b: str) -> float:
         a, b = a.lower(), b.lower()
@@ -165,9 +167,17 @@ class Spelling:
         if not text:
             return text
         best = self.best
-        if text.isascii():
-            return _ASCII_TOKEN.sub(lambda m: best(m[0]), text)
-        text = normalised(text)
+        if not text.isascii():
+            text = normalised(text)
+        if not _FOREIGN.search(text):
+            # one script: most tokens are known to stay as they are, and then the text does
+            tokens = _TOKEN.findall(text)
+            if self.same.issuperset(tokens):
+                return text
+            if len(self.same) > _MEMO_LIMIT:
+                self.same.clear()
+            self.same.update(t for t in tokens if best(t) == t)
+            return unicodedata.normalize("NFC", _TOKEN.sub(lambda m: best(m[0]), text))
         # a token of look-alikes only is read in the script of the last token that is clear, else of the next one
         context = script(m[0]) if (m := _CLEAR.search(text)) else "latin"
 
