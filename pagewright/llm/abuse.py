@@ -128,20 +128,21 @@ class Lexicon:
                 return swapped
         return token
 
-    def terms(self, token: str) -> tuple[tuple[str, ...], tuple[tuple[str, str], ...], tuple[str, ...], str]:
-        """Of one token: word and stem; marks by language; languages that it is a frequent word of; its plain form."""
+    def terms(self, token: str) -> tuple[tuple[str, ...], tuple[tuple[str, str], ...], tuple[str, ...], str, bool]:
+        """Of one token: word and stem; marks by language; languages that it is a frequent word of; its plain form; whether
+        it has a mark or may begin a phrase."""
         found = self.memo.get(token)
         if found is None:
             word = self.plain(skeleton(token))
             if not word or word.isdigit() or len(word) > 40:
-                found = ((), (), (), word)
+                found = ((), (), (), word, word in self.phrases)
             else:
                 marks = set(self.exact.get(word, ()))
                 for n in self.lengths:
                     if n <= len(word):
                         marks |= self.stems.get(word[:n], set())
                 name = any(c.isdigit() for c in word) or re.search(r"[a-z][A-Z]", token)
-                found = (() if name else (word,) if len(word) <= 6 else (word, word[:6] + "~"), tuple(sorted(marks)), tuple(self.common.get(word, ())), word)
+                found = (() if name else (word,) if len(word) <= 6 else (word, word[:6] + "~"), tuple(sorted(marks)), tuple(self.common.get(word, ())), word, bool(marks) or word in self.phrases)
             if len(self.memo) > 300_000:
                 self.memo.clear()
             self.memo[token] = found
@@ -154,7 +155,7 @@ class Lexicon:
         bag = Counter(chain.from_iterable([r[0] for r in rows]))
         marked = [r[1] for r in rows if r[1]]
         for k, row in enumerate(rows):
-            if row[3] in phrases:
+            if row[4] and row[3] in phrases:
                 for parts, mark in phrases[row[3]]:
                     if all(k + i < len(rows) and rows[k + i][3] == part for i, part in enumerate(parts)):
                         marked.append((mark,))
@@ -176,14 +177,16 @@ class Lexicon:
             bag["§mention"] += 1
         return bag
 
-    def row(self, token: str) -> tuple[tuple[str, ...], tuple[tuple[str, str], ...], tuple[str, ...], str]:
+    def row(self, token: str) -> tuple[tuple[str, ...], tuple[tuple[str, str], ...], tuple[str, ...], str, bool]:
         return self.memo.get(token) or self.terms(token)
 
     def is_plain(self, rows: list) -> bool:
         """Whether no word of a sentence has a mark or begins a phrase that stands there: its terms are those of its words."""
+        if not any([r[4] for r in rows]):
+            return True
         phrases = self.phrases
         for k, r in enumerate(rows):
-            if r[1] or r[3] in phrases and any(all(k + i < len(rows) and rows[k + i][3] == part for i, part in enumerate(parts)) for parts, _ in phrases[r[3]]):
+            if r[1] or r[4] and any(all(k + i < len(rows) and rows[k + i][3] == part for i, part in enumerate(parts)) for parts, _ in phrases.get(r[3], ())):
                 return False
         return True
 
@@ -191,9 +194,11 @@ class Lexicon:
         """The terms of all sentences of a text, without counts."""
         plain: set[str] = set()
         out: set[str] = set()
+        held, terms = self.memo.get, self.terms
+        east = _HAS_CJK.search(text) is not None
         for sentence in sentences(text):
             tokens = _TOKEN.findall(sentence)
-            if not _HAS_CJK.search(sentence) and self.is_plain([self.row(t) for t in tokens]):
+            if not (east and _HAS_CJK.search(sentence)) and self.is_plain([held(t) or terms(t) for t in tokens]):
                 plain.update(tokens)
             else:
                 out.update(self.bag(sentence))
@@ -319,7 +324,7 @@ class Judge:
     def _parts(self, token: str) -> tuple[float, float, bool, str]:
         """Of a word: the most it and its marks can add to a product with a harmful example, the least to the squared
         length of the sentence, whether it begins a phrase, and its plain form."""
-        terms, marks, _, plain = self.lexicon.row(token)
+        terms, marks, _, plain, _ = self.lexicon.row(token)
         idf = self.index.idf
         least = sum(idf[t] ** 2 if t in idf else _UNKNOWN for t in terms if not t.endswith("~"))
         if len(self.bounds) > 300_000:

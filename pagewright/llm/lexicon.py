@@ -13,7 +13,7 @@ WORDS: dict[str, dict[str, str]] = {
     "en": {
         "you": "you your yours yourself u",
         "insult": "idiot* moron* imbecil* scumbag* bastard* asshole* arsehole* halfwit* dumbass* loser* jerk* bitch* prick* cunt* dickhead* pathetic worthless brainless stupid dumb retard* coward* clown* dimwit* nitwit* whore* slut* douchebag* motherfucker* pig",
-        "threat": "kill* neck rot hell beat* beating strangle* stab* shoot* punch* smash* choke* die regret shut_up break_your where_you watch_your go_to_hell nobody_asked",
+        "threat": "kill* neck rot hell beat* beating strangle* stab* shoot* punch* smash* choke* you_die should_die must_die to_die regret shut_up break_your where_you watch_your go_to_hell nobody_asked",
         "group": "foreigner* immigrant* migrant* refugee* women woman men jew* muslim* christian* arab* black* gypsies gypsy gay* lesbian* disabled cripple* elderly old_people natives asian* african* mexican* they_people these_people",
         "hate": "vermin parasite* subhuman* filthy plague animals scum thrown_out throw_out wiped_out wipe_out exterminat* deport* thieves liar* inferior kitchen rats cockroach* not_human even_human go_back not_belong in_their_blood do_not_deserve pretending_they",
         "sex": "porn* naked nude* sex sexy horny lick* moan* orgasm* blowjob* masturbat* tits pussy cock dick* erotic* undress* strip* breasts bed_with clothes hardcore xxx cum",
@@ -32,7 +32,7 @@ WORDS: dict[str, dict[str, str]] = {
     },
     "fr": {
         "you": "tu te toi ton ta tes vous t",
-        "insult": "connard* abruti* imbécile* crétin* salop* encul* débile* ordure* idiot* minable* pauvre con bâtard* tocard* ducon pute* sale",
+        "insult": "connard* abruti* imbécile* crétin* salop* encul* débile* ordure* idiot* minable* pauvre_con sale_con gros_con petit_con bâtard* tocard* ducon pute* sale",
         "threat": "gueule casse* crève* foutre figure tue* tuer ferme fais_foutre je_te retrouve* tabass*",
         "group": "étranger* femmes juifs musulman* arabes noirs handicapé* immigré* vieux homosexuel* migrants gitans",
         "hate": "vermine* parasite* dehors sous-homme* voleur* menteur* inférieur* bêtes cuisine extermin* jette* chass* pas_des êtres_humains expuls* racaille",
