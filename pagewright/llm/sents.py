@@ -52,6 +52,15 @@ _GAP = re.compile(f"(?:(?P<wide>[。！？｡]+(?:[。！？｡.!?]|…)*)|(?P<d
 _SPACE = re.compile(r"\s*")
 _PAIRS = {"”": "“„", "“": "„«", "’": "‘‚", "»": "«", "«": "»", "›": "‹", "」": "「", "』": "『", ")": "(", "）": "（", "]": "[", "］": "［", "】": "【", "》": "《", "〉": "〈", "〕": "〔", '"': '"', "'": "'", "}": "{", "｣": "｢"}
 _OPEN = "“„‘‚«‹「『（(［[【《〈〔{｢\"'¿¡»"
+# The marks that open something; how much it costs to end a sentence in a quotation or bracket that it has
+# opened after its first word, and to close in one sentence what another has opened; a score that decides by itself.
+_OPENING_MARKS = "“„‘‚«‹»「『(（[［【《〈〔{｢\""
+_BRACKETS = "(（[［【〔{"
+_LINES = "\n\r\u2028\u2029\x85\v\f"
+_MARK = re.compile("[" + re.escape("".join(sorted({*_OPENING_MARKS, *_PAIRS} - {"'"}))) + _LINES + "]")
+_BROKEN = (1.5, 8.0)
+_TORN = 3.0
+_SURE = 20.0
 _BEFORE = re.compile(r"[\w\u0300-\u036f.\-‐‑’'ª]*\Z")
 _LIST_NUMBER = re.compile(r"\(?(?:\d{1,3}|[A-Za-z]|[ivxlcIVXLC]{1,6})\Z")
 _INVISIBLE = {code: None for code, to in _REWRITE.items() if to is None}
@@ -122,65 +131,66 @@ def _starts_sentence(text: str, begin: int, at: int) -> bool:
     return not re.search(r"[^\W\d_]{2}|[^\W\d_]\s|\d\s", re.sub(r"\A\s*(?:[-•–*]|\(?(?:\d{1,3}|[A-Za-z])[.)])\s", "", text[begin:at]))
 
 
-def _spaced(text: str, begin: int, m: re.Match, at: int) -> bool:
-    """Whether the gap of a spaced script ends the sentence that began at begin; at is where the next one would begin."""
+def _spaced(text: str, begin: int, m: re.Match, at: int) -> float:
+    """How much more the gap of a spaced script speaks for the end of the sentence that began at begin than for its going
+    on, open quotations and brackets apart; at is where the next one would begin."""
     mark, start = m["dots"] or m["wide"], m.start()
     after = text[at : at + 1]
     if not after:
-        return True
+        return _SURE
     if at == m.end():  # nothing between: file names, decimals, particles that join a quotation
         if after.isupper() and set(mark) <= {".", "!", "?", "…"} and _no_blank(text, begin, start, at):
-            return True
+            return 2.0
         last = m["close"][-1:] or text[start - 1 : start]
         if not (_is_cjk(after) or after in "“「『（《【") or m["close"] and not _is_cjk(after):
-            return False
-        return bool(m["close"]) and (m["close"][-1] in ")）") or _is_cjk(last)
+            return -_SURE
+        return 2.0 if bool(m["close"]) and (m["close"][-1] in ")）") or _is_cjk(last) else -_SURE
     following = re.match(r"[^\W_]+(?:[-’'][^\W_]+)*", text[at : at + 40])
     word = following[0] if following else ""
     if after in ",;:)]}»”%&=/+":
-        return False
+        return -_SURE
     lower = word[:1].islower() and not (any(c.isdigit() for c in word) or re.search(r"[a-zа-я][A-ZА-Я]", word) or re.match(r"[^\W_]+-[A-Z0-9]", word))
     dots = mark.strip().rstrip()
     if set(dots) <= {".", "…", "．"} and (len(dots) > 1 or "…" in dots):
         if text[start - 1 : start].isspace() and not m["close"]:
-            return False
-        return not lower
+            return -4.0
+        return -4.0 if lower else 1.5
     if m["close"]:
         opened = _opened_at(text, m["close"].strip()[-1], begin, start)
         if opened > begin and not _starts_sentence(text, begin, opened) and not text[start].isspace():
-            return not (lower or after in "—–-" or word.isdigit())
-        return not (lower or after in "—–")
+            return -4.0 if lower or after in "—–-" or word.isdigit() else 2.0
+        return -4.0 if lower or after in "—–" else 3.0
     if dots[0] in "!?！？":
         if lower or after in "—–":
-            return False
-        return not _inside(text, begin, start)
+            return -4.0
+        return -_SURE if _inside(text, begin, start) else 3.0
     # a single period
     before = _BEFORE.search(text, max(begin, start - 24), start)
     token = before[0].strip(".’'-") if before else ""
     low = skeleton(token)
     if lower:
-        return False
+        return -4.0
     sentence = text[begin:start].strip()
     if _LIST_NUMBER.match(sentence):
-        return False
+        return -_SURE
     if low in _GO_ON or "." in low and low.rpartition(".")[2] in _GO_ON and low not in _MAY_END:
-        return bool(low == "no" and word.lower() in _OPENERS)
+        return 1.0 if low == "no" and word.lower() in _OPENERS else -4.0
     if low in _MAY_END or "." in low and low.rpartition(".")[2] in _MAY_END:
-        return not (after in "([" or after.isdigit() or after == "&") and (after.isupper() or after in _OPEN + "-–•" or _is_cjk(after) or "가" <= after <= "힣")
+        return 1.0 if not (after in "([" or after.isdigit() or after == "&") and (after.isupper() or after in _OPEN + "-–•" or _is_cjk(after) or "가" <= after <= "힣") else -3.0
     if len(token) == 1 and token.isalpha() and not _is_cjk(token) and not "가" <= token <= "힣":
         previous = text[max(begin, start - 3) : start - 1]
         if token.isupper():
-            return word.lower() in _OPENERS and previous[-1:] not in (".", "&") and not re.search(r"\.\s?\Z", previous)
+            return 1.0 if word.lower() in _OPENERS and previous[-1:] not in (".", "&") and not re.search(r"\.\s?\Z", previous) else -3.0
         if re.search(r"\.\s?\Z", previous) or re.match(r"\w\.", text[at : at + 2]):  # z. B., т. е.
-            return False
-        return len(text[begin:start]) > 3
+            return -3.0
+        return 1.0 if len(text[begin:start]) > 3 else -3.0
     if re.match(r"[^\W\d_]\.", text[at : at + 2]) and len(token) <= 2 and token.islower() and token.isalpha():
-        return False
+        return -3.0
     if token.isdigit() and len(token) <= 2:
         words = re.findall(r"[^\W\d_]+", text[max(begin, start - 24) : start])
         if words and words[-1].lower() in _BEFORE_ORDINAL:
-            return False
-    return True
+            return -2.0
+    return 2.0
 
 
 def _no_blank(text: str, begin: int, start: int, at: int) -> bool:
@@ -233,50 +243,129 @@ def _spaceless(text: str, begin: int, m: re.Match, at: int) -> bool:
     return score > 1.0
 
 
+def _enclosed(text: str, size: int) -> list[tuple[int, int]]:
+    """Where each quotation or bracket of a text is opened and closed, within one line; marks without a partner are none."""
+    out: list[tuple[int, int]] = []
+    stack: list[tuple[str, int]] = []
+    for m in _MARK.finditer(text, 0, size):
+        char, at = m[0], m.start()
+        before, after = text[at - 1 : at], text[at + 1 : at + 2]
+        if char in _LINES:
+            stack.clear()
+            continue
+        if char in "’‘" and before.isalnum() and after.isalnum():  # an apostrophe
+            continue
+        openers = _PAIRS.get(char, "")
+        if char == '"' and (not before or before.isspace() or before in "([") and after.strip():
+            openers = ""  # where it can open, it closes only what has no other end
+        place = next((k for k in range(len(stack) - 1, -1, -1) if stack[k][0] in openers), None) if openers else None
+        if place is not None:
+            out.append((stack[place][1], at))
+            del stack[place:]
+        elif char in _OPENING_MARKS and (char != "»" or after.strip()):
+            stack.append((char, at))
+    return sorted(out)
+
+
+def _gap(text: str, begin: int, m: re.Match) -> tuple[int, int, float] | None:
+    """Of a gap with a terminator: where a sentence would end, where the next one would begin, and how much speaks for it."""
+    end = m.end()
+    if end <= begin:
+        return None
+    if m["close"] and "“" in m["close"] and "„" not in text[begin : m.start()]:
+        # it opens the next sentence, which follows without a blank
+        m = _GAP.match(text, m.start(), m.start("close") + m["close"].index("“"))
+        end = m.end()
+    at = _SPACE.match(text, end).end()
+    if at < len(text) and "\n" in text[end:at]:
+        return end, at, _SURE
+    before = text[m.start() - 1 : m.start()]
+    wide = m["wide"] is not None or bool(m["again"])
+    if not wide and _is_cjk(before) and not (m["dots"][0] == "…" or m["dots"].startswith("..")) and not (m["dots"][0] in ".．" and text[end : end + 1].isalnum() and text[end : end + 1].isascii()):
+        wide = True
+    if not wide and m["dots"][0] in "…！？" and (_is_cjk(before) or _is_cjk(text[at : at + 1])):
+        wide = m["dots"][0] != "…"
+        if not wide:
+            if m["close"] and not _inside(text, begin, m.start()) and _starts_sentence(text, begin, max(begin, _opened_at(text, m["close"].strip()[-1], begin, m.start()))):
+                wide = True
+            elif at == m.end():
+                return None
+    if wide:
+        return end, at, _SURE if _spaceless(text, begin, m, at) else -_SURE
+    return end, at, _spaced(text, begin, m, at)
+
+
 def _gaps(text: str) -> list[int]:
-    """Ends of the sentences of a text without invisible characters, the last one included."""
-    ends: list[int] = []
-    begin = 0
+    """Ends of the sentences of a text without invisible characters, the last one included: the best path over its gaps.
+
+    A state is the set of open quotations and brackets in which a sentence has already ended; with none open there is one.
+    Of each state the best path is kept, with the begin of its last sentence and its ends.
+    """
     size = len(text.rstrip())
+    marks = _enclosed(text, size) if _MARK.search(text, 0, size) else []
+    paths: dict[tuple[int, ...], tuple[float, int, tuple | None]] = {(): (0.0, 0, None)}
+    first = 0  # marks before it are closed
+    opened: list[int] = []
     for m in _GAP.finditer(text, 0, size):
-        end = m.end()
-        if m["line"] is not None or m["blank"] is not None:
-            at, end = m.end(), m.start()
-            if not text[begin:end].strip():
-                continue
-            if m["line"] is not None or _spaceless(text, begin, m, at):
-                if not ends or ends[-1] != end:
-                    ends.append(end)
-                begin = at
-            continue
-        if end <= begin:
+        start, stop = m.start(), m.end()
+        if marks:
+            while first < len(marks) and marks[first][0] < start:
+                opened.append(first)
+                first += 1
+            closed = [k for k in opened if marks[k][1] < stop]
+            opened = [k for k in opened if marks[k][1] >= stop]
+        else:
+            closed = []
+        following: dict[tuple[int, ...], tuple[float, int, tuple | None]] = {}
+        if not opened and len(paths) == 1 and () in paths and m["line"] is None and m["blank"] is None:  # one state before and after
+            score, begin, ends = paths[()]
+            found = _gap(text, begin, m)
+            if found is not None and found[2] > 0:
+                end, at, gain = found
+                paths[()] = score + gain, at, ends if ends and ends[0] == end else (end, ends)
             continue
-        if m["close"] and "“" in m["close"] and "„" not in text[begin : m.start()]:
-            # it opens the next sentence, which follows without a blank
-            m = _GAP.match(text, m.start(), m.start("close") + m["close"].index("“"))  # noqa: PLW2901
-            end = m.end()
-        at = _SPACE.match(text, end).end()
-        if at < len(text) and "\n" in text[end:at]:
-            ends.append(end)
-            begin = at
-            continue
-        before = text[m.start() - 1 : m.start()]
-        wide = m["wide"] is not None or bool(m["again"])
-        if not wide and _is_cjk(before) and not (m["dots"][0] == "…" or m["dots"].startswith("..")) and not (m["dots"][0] in ".．" and text[end : end + 1].isalnum() and text[end : end + 1].isascii()):
-            wide = True
-        if not wide and m["dots"][0] in "…！？" and (_is_cjk(before) or _is_cjk(text[at : at + 1])):
-            wide = m["dots"][0] != "…"
-            if not wide:
-                if m["close"] and not _inside(text, begin, m.start()) and _starts_sentence(text, begin, max(begin, _opened_at(text, m["close"].strip()[-1], begin, m.start()))):
-                    wide = True
-                elif at == m.end():
-                    continue
-        if _spaceless(text, begin, m, at) if wide else _spaced(text, begin, m, at):
-            ends.append(end)
-            begin = at
-    if size and (not ends or ends[-1] < size):
-        ends.append(size)
-    return ends
+        for state, (score, begin, ends) in paths.items():
+            # a sentence that closes what another one opened, and goes on
+            torn = [k for k in closed if k in state]
+            late = sum(marks[k][1] < start for k in torn)
+            kept = tuple([k for k in state if k not in closed]) if closed else state
+            if m["line"] is not None or m["blank"] is not None:
+                end, at = start, stop
+                if not text[begin:end].strip():
+                    found = None
+                else:
+                    found = end, at, _SURE if m["line"] is not None or _spaceless(text, begin, m, at) else -_SURE
+            else:
+                found = _gap(text, begin, m)
+            go = score - _TORN * len(torn), begin, ends
+            options = [(kept, go)]
+            if found is not None:
+                end, at, gain = found
+                stopped = score + gain - _TORN * late
+                for k in opened:
+                    if k not in state and not _starts_sentence(text, begin, marks[k][0]):
+                        stopped -= _BROKEN[text[marks[k][0]] in _BRACKETS]
+                ending = tuple(opened), (stopped, at, ends if ends and ends[0] == end else (end, ends))
+                if m["line"] is not None:
+                    options = [ending]
+                elif opened:
+                    options.append(ending)
+                elif stopped > go[0]:
+                    options = [ending]
+            for key, path in options:
+                if key not in following or path[0] > following[key][0]:
+                    following[key] = path
+        paths = following
+    # what is torn after the last gap
+    _, _, chain = max(((score - _TORN * len(state), begin, ends) for state, (score, begin, ends) in paths.items()), key=lambda x: x[0])
+    out: list[int] = []
+    while chain:
+        out.append(chain[0])
+        chain = chain[1]
+    out.reverse()
+    if size and (not out or out[-1] < size):
+        out.append(size)
+    return out
 
 
 def sentence_ends(text: str | None) -> list[int]:
