@@ -67,7 +67,7 @@ _INVISIBLE = {code: None for code, to in _REWRITE.items() if to is None}
 _BLANKS = {code: " " for code, to in _REWRITE.items() if to == " "}
 _FLAT = _INVISIBLE | _BLANKS | {code: to for code, to in _REWRITE.items() if to is not None and len(to) == 1 and 0xFF10 <= code <= 0xFF5A and chr(code).isalnum()}
 _PLAIN = re.compile("[" + "".join(re.escape(chr(c)) for c in _FLAT if c < 0x10000) + "]")  # a class within the first plane is one table look-up
-_HIDDEN = re.compile("[" + "".join(re.escape(chr(c)) for c in _INVISIBLE if c < 0x10000) + "]")
+_FAR = re.compile("[\U00010000-\U0010ffff]")  # beyond it, where there are some of them
 
 
 class _Words:
@@ -372,10 +372,11 @@ def sentence_ends(text: str | None) -> list[int]:
     """End positions of the sentences of a text, in its own code points."""
     if not text:
         return []
-    if text.isascii() or not _PLAIN.search(text):
+    if text.isascii() or not _PLAIN.search(text) and not _FAR.search(text):
         return _gaps(text)
-    ends = _gaps(text.translate(_FLAT))
-    if ends and _HIDDEN.search(text):
+    flat = text.translate(_FLAT)
+    ends = _gaps(flat)
+    if len(flat) != len(text):
         places = [i + 1 for i, c in enumerate(text) if ord(c) not in _INVISIBLE]
         return [places[e - 1] for e in ends]
     return ends

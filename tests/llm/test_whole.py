@@ -21,3 +21,9 @@ PATHS = [
 @pytest.mark.parametrize(("text", "expected"), PATHS)
 def test_path_over_open_marks(text, expected):
     assert [text[a:b] for a, b in sents.sentences(text)] == expected
+
+
+def test_positions_with_selectors_beyond_the_first_plane():
+    text = "第　葛\U000e0100城。Yes. No."
+    assert [text[a:b] for a, b in sents.sentences(text)] == ["第　葛\U000e0100城。", "Yes.", "No."]
+    assert sents.sentence_ends("It is 葛\U000e0100.\U000e0101 Yes.") == [9, 15]
