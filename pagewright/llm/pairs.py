@@ -33,7 +33,7 @@ _DECLINES = {
     r"|(?:against|violat\w+) (?:my|our|the|usage|content)\w* (?:\w+ )?(?:guidelines|polic|rules)|wo(?:n['’]t|uld not) be able to|have to (?:decline|refuse)|no translation (?:is|can be|will be) (?:given|provided)|as an? (?:ai|(?:large )?language (?:model|system)|assistant)",
     "de": r"es tut mir (?:sehr )?leid|tut mir leid|(?:kann|darf|werde|möchte|muss) (?:ich )?(?:\S+ ){0,6}?(?:nicht (?:\w+ )?(?:übersetz|bearbeit|helf|wiedergeb|weiterhelf)|ablehnen)|(?:muss|möchte) (?:\S+ ){0,4}?(?:ablehnen|verweigern)|als (?:ki|sprach(?:modell|system))|keine übersetzung|richtlinien|entschuldigung",
     "fr": r"désolée?|je (?:ne (?:peux|puis|suis)|regrette|dois (?:\w+ )?(?:refuser|décliner))|impossible de traduire|pas en mesure|en tant qu(?:e|['’])|aucune traduction|malheureusement|contraire à (?:mes|nos|aux)",
-    "es": r"lo siento|lo lamento|lamento|(?:debo|tengo que) (?:rechazar|declinar|negarme)|no puedo|no me es posible|como (?:modelo|sistema|asistente)|no se ofrece|ninguna traducción|desafortunadamente|infringe|mis (?:normas|directrices)",
+    "es": r"lo siento|lo lamento|lamento|(?:debo|tengo que) (?:rechazar|declinar|negarme)|no puedo|no me es posible|como (?:modelo|sistema|asistente)|no se ofrece|ninguna traducción|desafortunadamente|\binfringen?\b(?! (?:(?:up)?on|the|our|an?|any|your|their|its|his|her|my|no|this|that|these|those|such|others?|copyrights?|patents?|rights?|privacy)\b)|mis (?:normas|directrices)",
     "pt": r"lamento|desculpe|sinto muito|(?:tenho (?:de|que)|devo) (?:recusar|declinar)|não posso|não consigo|não me é possível|como (?:modelo|sistema|assistente)|nenhuma tradução|infelizmente|minhas (?:regras|diretrizes|normas)",
     "it": r"mi dispiace|spiacente|(?:devo|sono costretto a) (?:rifiutare|declinare)|non posso|non sono in grado|come (?:modello|sistema|assistente)|nessuna traduzione|purtroppo|mie (?:linee|regole)",
     "ru": r"извините|простите|к сожалению|сожалею|не могу|не в состоянии|не имею возможности|как (?:языковая|ии)|перевод не|(?:вынужден[а-я]*|должен|должна) (?:\\w+ )?отказ|отказываюсь|правила[мх]? (?:использования|сервиса)",
@@ -48,6 +48,8 @@ _START = {"refusal": (0,), "truncated": (0,)}
 #: Functions of which one has to vote: a refusal declines or asks for something else.
 _NEED = {"refusal": (0, 2)}
 _DECLINES = {k: re.compile(v) for k, v in _DECLINES.items()}
+# A letter that every wording of a language has; no wording of the others is bound to a script.
+_LETTER = {"ru": re.compile("[а-я]"), "zh": re.compile("[㐀-鿿]"), "ja": re.compile("[ぁ-ヿ]"), "ko": re.compile("[가-힣]")}
 _SYMBOL = re.compile(r"[^\W_]")
 _KEY = re.compile(r"[\W_]+")
 _NUMBER = re.compile(r"\d+(?:\.\d+)*")
@@ -91,13 +93,9 @@ def _grams(key: str) -> set[str]:
     return {key[i : i + 4] for i in range(max(1, len(key) - 3))}
 
 
-def _declines(lower: str, language: str | None) -> bool:
-    """Whether a text declines, by the patterns of its language; of all, where that is unknown or the text too short to
-    be sure of it."""
-    known = _DECLINES.get((language or "")[:2])
-    if known and known.search(lower):
-        return True
-    return (known is None or len(lower) < 120 and not _NUMBER.search(lower)) and any(p.search(lower) for p in _DECLINES.values())
+def _declines(lower: str) -> bool:
+    """Whether a text declines, by the patterns of all languages; those of a script are searched where it has a letter."""
+    return any(p.search(lower) for k, p in _DECLINES.items() if (script := _LETTER.get(k)) is None or script.search(lower))
 
 
 def signals(source: str | None, reply: str, target: str | None, of_source: dict | None, of_reply: dict | None, same_script: bool | None) -> dict[str, object]:
@@ -126,7 +124,7 @@ def signals(source: str | None, reply: str, target: str | None, of_source: dict
     cut_names = bool(lost_names) and (Counter(given_names) - Counter(names)).total() > (Counter(names) - Counter(given_names)).total()
     marks = bool(given or given_names)
     # refusal
-    declines = _declines(lower, language) and not (source and _declines(source_plain.casefold(), source_language))
+    declines = _declines(lower) and not (source and _declines(source_plain.casefold()))
     unlike = marks and len(lost) == len(set(given)) and len(lost_names) == len(set(given_names))
     refusal = _vote(declines, True) + _vote(unlike if marks else None) + _vote(bool(_ASKS.search(lower)), False)
     # copied

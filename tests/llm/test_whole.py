@@ -4,7 +4,7 @@ from __future__ import annotations
 
 import pytest
 
-from pagewright.llm import sents
+from pagewright.llm import pairs, sents
 
 # ---- 5: sentences
 
@@ -27,3 +27,24 @@ def test_positions_with_selectors_beyond_the_first_plane():
     text = "第　葛\U000e0100城。Yes. No."
     assert [text[a:b] for a, b in sents.sentences(text)] == ["第　葛\U000e0100城。", "Yes.", "No."]
     assert sents.sentence_ends("It is 葛\U000e0100.\U000e0101 Yes.") == [9, 15]
+
+
+# ---- 1: broken pairs
+
+REFUSALS = [
+    "I'm sorry, but I cannot translate section 4.2 of this text: „Das Verfahren wurde an allen Messstellen des Landes über mehrere Jahre erprobt und bewertet.“",
+    "Es tut mir leid, den Abschnitt 3 „The method was tried at all stations of the country over several years and was then assessed“ kann ich nicht übersetzen.",
+    "很抱歉，第 12 节无法翻译：“The method was tried at all stations of the country over several years, and it was then assessed by three independent groups of readers.”",
+]
+
+
+@pytest.mark.parametrize("reply", REFUSALS)
+@pytest.mark.parametrize("language", ["de", "en", "ru"])
+def test_refusals_whatever_the_language_of_the_reply(reply, language):
+    assert len(reply) >= 90 and pairs.signals("Plain words 7", reply, "fr", {"en": 1.0}, {language: 1.0}, True)["refusal"][0] == "+"
+    assert pairs.signals(reply, reply, "fr", {"en": 1.0}, {language: 1.0}, True)["refusal"][0] == "-"
+
+
+def test_words_of_another_language_that_look_like_a_refusal():
+    assert pairs.signals("Das verletzt Rechte", "Copies infringe the rights of 3 authors; infringement is rare", "en", {"de": 1.0}, {"en": 1.0}, True)["refusal"][0] == "-"
+    assert pairs.signals("Words", "Este texto infringe las normas", "es", {"en": 1.0}, {"es": 1.0}, True)["refusal"][0] == "+"
