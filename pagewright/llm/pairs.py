@@ -22,7 +22,8 @@ from pyspark.sql import functions as F
 from ..session import cut, ship
 from ._arrow import map_columns
 from .forms import normalised
-from .langs import LanguageModel, label_code
+from .langs import LanguageModel, label_code, label_units
+from .sents import sentences
 
 MODELLED = ("refusal", "copied", "wrong_language", "truncated")
 ORDER = ("missing", "empty", *MODELLED)
@@ -98,8 +99,19 @@ def _declines(lower: str) -> bool:
     return any(p.search(lower) for k, p in _DECLINES.items() if (script := _LETTER.get(k)) is None or script.search(lower))
 
 
-def signals(source: str | None, reply: str, target: str | None, of_source: dict | None, of_reply: dict | None, same_script: bool | None) -> dict[str, object]:
-    """The votes for one pair, both texts normalised, except those that need the whole table."""
+def wholly(source: str, target: str | None, model: LanguageModel, language: str | None = None) -> bool:
+    """Whether all sentences of a text that have words are in the target language; language is that of the whole text."""
+    units = [source[a:b] for a, b in sentences(source)]
+    if len(units) == 1 and language is not None:
+        return language == target
+    return all(x is None or x[0] == target for x in label_units(model.scores(units), target))
+
+
+def signals(source: str | None, reply: str, target: str | None, of_source: dict | None, of_reply: dict | None, same_script: bool | None, model: LanguageModel | None = None) -> dict[str, object]:
+    """The votes for one pair, both texts normalised, except those that need the whole table.
+
+    Without a model the language of the source as a whole says whether it is wholly in the target language.
+    """
     plain = reply
     lower = plain.casefold()
     source_plain = source or ""
@@ -128,13 +140,17 @@ def signals(source: str | None, reply: str, target: str | None, of_source: dict
     unlike = marks and len(lost) == len(set(given)) and len(lost_names) == len(set(given_names))
     refusal = _vote(declines, True) + _vote(unlike if marks else None) + _vote(bool(_ASKS.search(lower)), False)
     # copied
-    whole = words and source_language == target and (of_source is None or len(of_source) >= 1)
+    whole = words and source_language == target
     if not source_plain or not words or other:
         copied = "---"
     else:
         inside = len(source_key) >= 4 and source_key in key and len(key) <= 2 * len(source_key) + 80
         near = not inside and source_key and language in (None, source_language) and 0.8 <= len(key) / len(source_key) <= 1.5 and len(_grams(source_key) & _grams(key)) >= 0.9 * len(_grams(source_key))
-        copied = _vote(inside, True) + _vote(inside or near, True) + _vote(language == source_language != target, language is not None and language == target)
+        if model is not None and words and (inside or near):  # elsewhere nothing asks for it
+            whole = wholly(source_plain, target, model, source_language)
+        # a reply that holds all of a mixed text stays in its languages, whichever is the larger part
+        stays = language == source_language and (language != target or inside and not whole)
+        copied = _vote(inside, True) + _vote(inside or near, True) + _vote(stays, language is not None and language == target)
     # wrong language
     if target is None or not words and language is None:
         wrong = "---"
@@ -178,7 +194,7 @@ def _features(model) -> Callable[[dict[str, list]], dict[str, list]]:
                     if code == "ja" and own[4] > 8 and not own[5] or code in ("zh-CN", "zh-TW") and own[5] > 2:
                         fit = 0
                     same = fit / letters > 0.3
-            row |= {"src": None, "ratio": None, "exempt": False, **dict.fromkeys(MODELLED, "")} if row["empty"] else signals(source, reply, code, of_sources[k], of_replies[k], same)
+            row |= {"src": None, "ratio": None, "exempt": False, **dict.fromkeys(MODELLED, "")} if row["empty"] else signals(source, reply, code, of_sources[k], of_replies[k], same, lid)
             # only replies without any number or name of their own can answer many sources
             row["whole"] = None if row["empty"] or _NUMBER.search(reply) or _NAME.search(reply) else _KEY.sub("", reply.casefold())
             for name in names:

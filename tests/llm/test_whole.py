@@ -4,7 +4,9 @@ from __future__ import annotations
 
 import pytest
 
-from pagewright.llm import pairs, sents
+from pagewright.llm import langs, pairs, sents
+
+from .test_operators import TEXTS
 
 # ---- 5: sentences
 
@@ -48,3 +50,21 @@ def test_refusals_whatever_the_language_of_the_reply(reply, language):
 def test_words_of_another_language_that_look_like_a_refusal():
     assert pairs.signals("Das verletzt Rechte", "Copies infringe the rights of 3 authors; infringement is rare", "en", {"de": 1.0}, {"en": 1.0}, True)["refusal"][0] == "-"
     assert pairs.signals("Words", "Este texto infringe las normas", "es", {"en": 1.0}, {"es": 1.0}, True)["refusal"][0] == "+"
+
+
+@pytest.fixture(scope="module")
+def model():
+    rows = [(x, code) for code, x in TEXTS.items() for _ in range(3)]
+    return langs.LanguageModel().fit(rows)
+
+
+MIXED = "Das ist nicht der Weg und wir haben es auch mit dem Hund gemacht, das ist nicht der Weg. This is the way in which we have done it."
+
+
+def test_an_unchanged_mixed_source_is_copied(model):
+    one = lambda source, target: pairs.signals(source, source, target, model.scores([source])[0], model.scores([source])[0], True, model)
+    assert pairs._top(model.scores([MIXED])[0])[0] == "de"
+    assert (one(MIXED, "de")["copied"], one(MIXED, "de")["exempt"]) == ("+++", False)
+    assert one(MIXED.split(". ")[0], "de")["exempt"]
+    both = "这个问题与国家发展关系不大。这个问题与国家发展关系不大。Это не тот путь, который они выбрали."
+    assert not pairs.wholly(both, "zh-CN", model) and pairs.wholly(both.split("Э")[0], "zh-CN", model)
