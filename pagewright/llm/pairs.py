@@ -94,6 +94,14 @@ def _grams(key: str) -> set[str]:
     return {key[i : i + 4] for i in range(max(1, len(key) - 3))}
 
 
+def _lacks(text: str, other: str) -> bool:
+    """Whether a letter or digit of the other text is missing in a text."""
+    for c in other:  # noqa: SIM110 (ends soon where the scripts differ)
+        if c not in text and c.isalnum():
+            return True
+    return False
+
+
 def _declines(lower: str) -> bool:
     """Whether a text declines, by the patterns of all languages; those of a script are searched where it has a letter."""
     return any(p.search(lower) for k, p in _DECLINES.items() if (script := _LETTER.get(k)) is None or script.search(lower))
@@ -118,9 +126,11 @@ def signals(source: str | None, reply: str, target: str | None, of_source: dict
     language, margin = _top(of_reply)
     source_language, _ = _top(of_source)
     words = of_source is not None
-    # the letters and digits alone are read only where the languages leave a copy possible, or a name may be spelled apart
+    # the letters and digits alone are read only where a copy is possible, or a name may be spelled apart: in the target
+    # language a reply can only hold the source whole, and not where it lacks one of its letters
     other = language is not None and language == target != source_language and source_language is not None
-    key, source_key = ("", "") if other else (_KEY.sub("", lower), _KEY.sub("", source_plain.casefold()))
+    without = not source_plain or other and _lacks(lower, source_plain.casefold())
+    key, source_key = ("", "") if without else (_KEY.sub("", lower), _KEY.sub("", source_plain.casefold()))
     # stray number signs are noise; what is counted are numbers and names as often as they stand
     here, there = plain.replace("#", ""), source_plain.replace("#", "")
     numbers, given = [_NUMBER.findall(t.replace(",", ".")) for t in (here, _LIST.sub(" ", there))]
@@ -141,7 +151,7 @@ def signals(source: str | None, reply: str, target: str | None, of_source: dict
     refusal = _vote(declines, True) + _vote(unlike if marks else None) + _vote(bool(_ASKS.search(lower)), False)
     # copied
     whole = words and source_language == target
-    if not source_plain or not words or other:
+    if without or not words:
         copied = "---"
     else:
         inside = len(source_key) >= 4 and source_key in key and len(key) <= 2 * len(source_key) + 80

@@ -68,3 +68,9 @@ def test_an_unchanged_mixed_source_is_copied(model):
     assert one(MIXED.split(". ")[0], "de")["exempt"]
     both = "这个问题与国家发展关系不大。这个问题与国家发展关系不大。Это не тот путь, который они выбрали."
     assert not pairs.wholly(both, "zh-CN", model) and pairs.wholly(both.split("Э")[0], "zh-CN", model)
+
+
+def test_a_short_source_in_a_longer_wrap_is_compared():
+    source, wrap = "一个规则的一个部分。", "Here is the translation you asked for: "
+    assert pairs.signals(source, wrap + source, "en", {"zh-CN": 1.0}, {"en": 1.0}, True)["copied"] == "++-"
+    assert pairs.signals(source, wrap + "One part of a rule.", "en", {"zh-CN": 1.0}, {"en": 1.0}, True)["copied"] == "---"
