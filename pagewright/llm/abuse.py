@@ -9,8 +9,10 @@ what is already found. Votes weighted by similarity give the scores, the example
 
 Examples are the sentences of a bounded sample of labelled documents (LABELLED_DOCUMENTS, first by hash) and examples made
 of the lexicon by rule. Marks of a document by several annotators are settled by majority; ties and nulls are left out. A
-sentence of a harmful document is an example of the kind whose words it holds; one without such words, or one that stands
-in harmless documents as often, is none; one that quotes such a word is an example of harmless ones. Null and empty texts score 0.
+sentence of a harmful document is an example of the kind whose words it holds, unless it stands in harmless documents more
+often. One without such words is an example if it stands in significantly more harmful documents than chance has it: of the
+category of its nearest examples, or, where none is near, of harmful language in general, which counts for the score of a
+document but for no category. One that is too rare to tell is none. Null and empty texts score 0.
 """
 
 from __future__ import annotations
@@ -19,7 +21,7 @@ import re
 from collections import Counter, defaultdict
 from heapq import nlargest
 from itertools import chain
-from math import log, sqrt
+from math import exp, lgamma, log, sqrt
 
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
@@ -33,6 +35,10 @@ from .lexicon import COMMON, FRAMES, WORDS
 LABELLED_DOCUMENTS = 4000
 LABELLED_CHARS = 50_000
 CATEGORIES = ("abusive", "hateful", "sexual")
+#: The category of examples that are harmful in a way that nothing says.
+GENERAL = "harmful"
+#: Chance that any sentence of the labelled documents is taken for harmful without being so.
+LEVEL = 0.05
 KINDS = ("you", "insult", "threat", "group", "hate", "sex", "coarse", "about")
 
 #: Squared weight of a term that no example has.
@@ -313,6 +319,7 @@ class Judge:
         for mark in [t for t in idf if t.startswith("§")]:  # marks stand for whole lists of words
             idf[mark] = max(idf[mark], {"§you": 1.0, "§mention": 12.0}.get(mark, 3.0))
         self.lexicon, self.k, self.least = lexicon, k, least
+        examples = placed(examples, idf, k, least)
         made = [x for x in examples if x[2][2:4] == ": "]
         self.index = Index([*made, *edited([x for x in examples if x[2][2:4] != ": "], idf, lexicon)], idf)
         del self.index.bags  # only the editing needs them
@@ -372,7 +379,9 @@ class Judge:
             if category and not evidence:
                 evidence = self.index.name[place]
         total = sum(votes.values()) + self.least**4
-        return {c: votes[c] / total for c in CATEGORIES if c in votes}, evidence
+        general = votes.pop(GENERAL, 0.0)  # speaks neither for nor against a category
+        scores = {c: votes[c] / (total - general) for c in CATEGORIES if c in votes}
+        return scores | ({GENERAL: (general + sum(votes[c] for c in scores)) / total} if general else {}), evidence
 
     def document(self, text: str | None) -> dict[str, tuple[float, str, str]]:
         """For each category the best score, its sentence and its nearest example."""
@@ -385,26 +394,60 @@ class Judge:
         return out
 
 
+def chance(harmful: int, harmless: int, share: float) -> float:
+    """How likely it is that of so many documents this many or more are harmful, where a share of all is."""
+    n = harmful + harmless
+    if not 0 < share < 1:
+        return 1.0
+    ways = lambda i: lgamma(n + 1) - lgamma(i + 1) - lgamma(n - i + 1)
+    return sum(exp(ways(i) + i * log(share) + (n - i) * log(1 - share)) for i in range(harmful, n + 1))
+
+
 def labelled_examples(lexicon: Lexicon, rows: list[tuple[str, int]]) -> list[tuple[Counter, str, str]]:
-    """Examples of labelled documents: (text, label)."""
+    """Examples of labelled documents: (text, label). Those that only the labels say are harmful have the general category."""
     seen: dict[frozenset, list] = {}
     for text, label in rows:
+        met = set()
         for sentence in sentences(undisguised(text)):
             bag = lexicon.bag(sentence)
             key = frozenset(t for t in bag if not t.startswith("§"))
             if key:
-                row = seen.setdefault(key, [bag, 0, 0, sentence[:80]])
+                row = seen.setdefault(key, [bag, 0, 0, sentence[:80], [0, 0]])
                 row[1 + bool(label)] += 1
+                if key not in met:
+                    row[4][bool(label)] += 1
+                    met.add(key)
+    share = sum(bool(label) for _, label in rows) / max(1, len(rows))
+    kinds = {key: lexicon.kind(row[0]) if row[2] else None for key, row in seen.items()}
+    level = LEVEL / max(1, sum(row[2] > 0 and not kinds[key] for key, row in seen.items()))
     out = []
-    for bag, harmless, harmful, sentence in seen.values():
-        category = lexicon.kind(bag) if harmful else None
+    for key, (bag, harmless, harmful, sentence, documents) in seen.items():
+        category = kinds[key]
         if harmful and category and harmful >= harmless:
             out.append((bag, category, sentence))
-        elif (harmless or "§mention" in bag) and not (category and harmful):
+        elif harmful and not category and chance(documents[1], documents[0], share) < level:
+            out.append((bag, GENERAL, sentence))
+        elif (harmless >= max(1, harmful) or "§mention" in bag) and not (category and harmful):
             out.append((bag, "", sentence))
     return out
 
 
+def placed(examples: list[tuple[Counter, str, str]], idf: dict[str, float], k: int, least: float) -> list[tuple[Counter, str, str]]:
+    """The examples of the general category in that of the nearest ones that have another, where there are such."""
+    if not any(category == GENERAL for _, category, _ in examples):
+        return examples
+    index = Index([x for x in examples if x[1] in CATEGORIES], idf)
+    out = []
+    for bag, category, name in examples:
+        if category == GENERAL:
+            votes: Counter = Counter()
+            for similarity, place in index.nearest(index.vector(bag), k, least):
+                votes[index.category[place]] += similarity**4
+            category = min(votes, key=lambda c: (-votes[c], c), default=GENERAL)  # noqa: PLW2901
+        out.append((bag, category, name))
+    return out
+
+
 def edited(examples: list[tuple[Counter, str, str]], idf: dict[str, float], lexicon: Lexicon, k: int = 7, least: float = 0.5) -> list[tuple[Counter, str, str]]:
     """Labelled examples without those that most of their nearest neighbours contradict: marks are mistaken now and then.
 

@@ -117,13 +117,15 @@ def _judged(spark: SparkSession, d: str) -> DataFrame:
 
 
 def p8_found(spark: SparkSession, d: str) -> DataFrame:
-    return _judged(spark, d).where(F.col("score") >= P8_CUTOFF).select("doc_id", "category").distinct()
+    return _judged(spark, d).where((F.col("score") >= P8_CUTOFF) & (F.col("category") != abuse.GENERAL)).select("doc_id", "category").distinct()
 
 
 def p8_scores(spark: SparkSession, d: str) -> DataFrame:
-    """Every document with its score in each category, 0 where nothing speaks for it, and the evidence for the highest."""
-    scores = _judged(spark, d).groupBy("doc_id").agg(*[F.coalesce(F.max(F.when(F.col("category") == c, F.col("score"))), F.lit(0.0)).alias(c) for c in abuse.CATEGORIES], F.max_by("evidence", "score").alias("evidence"))
-    return table(spark, d, "documents", "doc_id", "source").join(scores, "doc_id", "left").fillna(0.0, list(abuse.CATEGORIES)).withColumn("score", F.greatest(*abuse.CATEGORIES))
+    """Every document with its score in each category and in general, 0 where nothing speaks for it, and the evidence for
+    the highest."""
+    every = (*abuse.CATEGORIES, abuse.GENERAL)
+    scores = _judged(spark, d).groupBy("doc_id").agg(*[F.coalesce(F.max(F.when(F.col("category") == c, F.col("score"))), F.lit(0.0)).alias(c) for c in every], F.max_by("evidence", "score").alias("evidence"))
+    return table(spark, d, "documents", "doc_id", "source").join(scores, "doc_id", "left").fillna(0.0, list(every)).withColumn("score", F.greatest(*every))
 
 
 def p8_rates(spark: SparkSession, d: str) -> DataFrame:

@@ -4,7 +4,7 @@ from __future__ import annotations
 
 import pytest
 
-from pagewright.llm import langs, pairs, sents
+from pagewright.llm import abuse, langs, pairs, sents
 
 from .test_operators import TEXTS
 
@@ -74,3 +74,23 @@ def test_a_short_source_in_a_longer_wrap_is_compared():
     source, wrap = "一个规则的一个部分。", "Here is the translation you asked for: "
     assert pairs.signals(source, wrap + source, "en", {"zh-CN": 1.0}, {"en": 1.0}, True)["copied"] == "++-"
     assert pairs.signals(source, wrap + "One part of a rule.", "en", {"zh-CN": 1.0}, {"en": 1.0}, True)["copied"] == "---"
+
+
+# ---- 8: harmful language
+
+
+def test_labels_add_wording_that_the_lexicon_does_not_have():
+    lexicon = abuse.Lexicon()
+    new, near, rare = "Zorblek snarvs grimble about quondam tarns.", "You are a glorbic idjut and everybody knows it.", "Vexlor thrimps with dandle."
+    known = "You are a stupid idiot and everybody knows it."
+    rows = [(f"{new} {known}", 1)] * 12 + [(f"{new} The list is long.", 0)] + [(near, 1)] * 12 + [(rare, 1)] + [("The paper describes the method. The list is long.", 0)] * 80
+    examples = abuse.labelled_examples(lexicon, rows)
+    assert {name: c for _, c, name in examples} == {new: abuse.GENERAL, near: abuse.GENERAL, known: "abusive", "The list is long.": "", "The paper describes the method.": ""}
+    frequency = {t: 1 for bag, _, _ in examples for t in bag}
+    judge = abuse.Judge(lexicon, [*abuse.rule_examples(lexicon), *examples], frequency, 100)
+    assert judge.document(new).keys() == {abuse.GENERAL} and judge.document(new)[abuse.GENERAL][0] > 0.5
+    assert judge.document(near)["abusive"][0] > 0.5 and judge.document(rare) == {} == judge.document("The list is long.")
+
+
+def test_chance_of_many_documents():
+    assert abuse.chance(0, 5, 0.2) == pytest.approx(1) and abuse.chance(2, 0, 0.2) == pytest.approx(0.04) and 0 <= abuse.chance(2000, 2000, 0.2) < 1e-6
