@@ -12,12 +12,17 @@ from ..sources.tables import table
 from . import abuse, forms, langs, leaks, packing, pairs, pieces, sents
 
 
+#: The language model of p1 is fitted on the replies of so many requests, first by hash, besides work items; of these
+#: replies langs.SAMPLE_ROWS count. All pairs are classified.
+SAMPLE_REQUESTS = 600
+
+
 def p1_labels(spark: SparkSession, d: str) -> DataFrame:
     """The defective pairs of requests and items, with all labels that the label model keeps."""
     requests = table(spark, d, "requests", "request_id", "target_language", "item_ids")
     items = table(spark, d, "work_items", "item_id", "text", "source_language")
     replies = table(spark, d, "translated_items", "request_id", "item_id", "translation")
-    sample = replies.join(F.broadcast(requests.orderBy(F.xxhash64("request_id"), "request_id").limit(600)), "request_id").select(F.col("translation").alias("text"), F.col("target_language").alias("label"))
+    sample = replies.join(F.broadcast(requests.orderBy(F.xxhash64("request_id"), "request_id").limit(SAMPLE_REQUESTS)), "request_id").select(F.col("translation").alias("text"), F.col("target_language").alias("label"))
     model = langs.model_of(items.select("text", "source_language"), sample)
     return pairs.defects(requests, items.select("item_id", "text"), replies, model)
 
