@@ -22,6 +22,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from ..session import cut, ship
+from ._sample import bounded
 
 # Characters that are drawn alike; the first of each row is the usual one.
 LOOK_ALIKES = (
@@ -58,6 +59,9 @@ def _table() -> dict[int, str | None]:
 
 
 _REWRITE = _table()
+# characters of the first plane stand in a class of their own, which is searched faster
+_REWRITTEN = re.compile("[" + "".join(re.escape(chr(c)) for c in _REWRITE if c < 0x10000) + "]")
+_BEYOND = re.compile("[\U00010000-\U0010ffff]")
 _CLASS = {char: row for row in LOOK_ALIKES for char in row}
 _EAST = "".join(row for row in LOOK_ALIKES if ord(row[0]) > 0x2FFF)
 #: A token of the alphabets that have look-alikes, or a stretch of ambiguous kana and ideographs with its neighbours.
@@ -69,13 +73,15 @@ _TOGETHER = ({"hiragana", "han"},)
 #: A letter of the alphabets that looks like no other; for accented letters their base counts.
 _CLEAR = re.compile("[" + "".join(chr(c) for c in [*range(0x41, 0x5B), *range(0x61, 0x7B), *range(0xC0, 0x250), *range(0x386, 0x530), *range(0x1E00, 0x2000)] if chr(c).isalpha() and unicodedata.normalize("NFD", chr(c))[0] not in _CLASS) + "]")
 _MEMO_LIMIT = 200_000
-#: Longest text of the sample for the bigrams.
-SAMPLE_CHARS = 5000
+#: Bounds of the sample for the bigrams: texts, and characters of each.
+SAMPLE_ROWS, SAMPLE_CHARS = 4000, 5000
 
 
 def normalised(text: str) -> str:
     """Width forms, joined letters, radicals, blanks, hyphens and accents in one spelling; no invisible characters."""
-    return text if text.isascii() else unicodedata.normalize("NFC", text.translate(_REWRITE))
+    if text.isascii():
+        return text
+    return unicodedata.normalize("NFC", text.translate(_REWRITE) if _REWRITTEN.search(text) or _BEYOND.search(text) else text)
 
 
 _FIRST = {ord(char): row[0] for row in LOOK_ALIKES for char in row[1:]}
@@ -196,11 +202,11 @@ class Spelling:
         return unicodedata.normalize("NFC", _TOKEN.sub(spell, text))
 
 
-def spelling_of(texts: DataFrame, rows: int = 4000) -> Spelling:
-    """A speller with bigrams of a bounded sample: the rows texts that come first by hash. Which rows they are cannot
-    change which strings come out equal, only the letters they are written with."""
-    sample = texts.toDF("text").where("text <> ''").where(F.length("text") <= SAMPLE_CHARS).orderBy(F.xxhash64("text"), "text").limit(rows).collect()
-    return Spelling().fit(r.text for r in sample)
+def spelling_of(texts: DataFrame, rows: int = SAMPLE_ROWS) -> Spelling:
+    """A speller with bigrams of a bounded sample: about rows texts by hash, of each the first SAMPLE_CHARS characters.
+    Which rows they are cannot change which strings come out equal, only the letters they are written with."""
+    kept = texts.toDF("text").select(F.left("text", F.lit(SAMPLE_CHARS)).alias("text")).where("text <> ''")
+    return Spelling().fit(r.text for r in bounded(kept, rows, "text", total=texts.count()))
 
 
 def with_canonical(df: DataFrame, column: str, speller: Spelling, to: str = "canonical") -> DataFrame:

@@ -6,7 +6,7 @@ vector machines then separate the languages of the family: words and character n
 Romance ones, characters for the two forms of Chinese. Units are joined along a path in which a change of language has a
 cost, so that a short unit without evidence goes with its neighbours.
 
-The models are fitted on a bounded sample of labelled rows (SAMPLE_ROWS of each table, first by hash); labels are noisy,
+The models are fitted on a bounded sample of labelled rows (SAMPLE_ROWS of each table, by hash); labels are noisy,
 so rows that the first fit contradicts are left out of the second. Null, empty and blank texts and texts without words
 have no language and no segment.
 """
@@ -25,13 +25,16 @@ from pyspark.sql import functions as F
 
 from ..session import ship, spread
 from ._arrow import map_columns
+from ._sample import bounded
 from .forms import _REWRITE
 from .sents import sentences
 
 #: Bound of the labelled sample, rows of each table.
 SAMPLE_ROWS = 4000
-#: Only texts up to this length are in the sample, so that it has a bound in bytes too (some 20 MB).
+#: Of each text of the sample the first characters, so that it has a bound in bytes too (some 20 MB).
 SAMPLE_CHARS = 5000
+#: Bound of the units that the linear model of the families is fitted on; six features need no more.
+FAMILY_UNITS = 4000
 #: Bound of the units of a language that one support vector machine is fitted on.
 UNITS_A_CLASS = 400
 
@@ -136,7 +139,7 @@ class LanguageModel:
         self.scripts = np.zeros((5, shares.shape[1]))
         good = shares.sum(1) > 1
         for _ in range(2):
-            some = np.flatnonzero(good)[:4000]  # six features need no more
+            some = np.flatnonzero(good)[:FAMILY_UNITS]
             for k in range(5):
                 self.scripts[k] = self._dense(shares[some], np.where(target[some] == k, 1.0, -1.0)) if len(some) else 0
             good &= (shares @ self.scripts.T).argmax(1) == target
@@ -145,6 +148,16 @@ class LanguageModel:
         self.columns = [("germanic", "romance"), *(pair for name in ("germanic", "romance") for pair in combinations(FAMILIES[name], 2))]
         latin = [(i, _WORD.findall(units[i])) for i in kept if target[i] == 0]
         latin = [(i, words) for i, words in latin if len(words) >= 3]
+        # units with the same words count once, in the language that most of them are labelled with: the bounded number of
+        # units holds many different ones, and mistaken labels are outvoted
+        votes: dict[frozenset, Counter] = {}
+        for i, words in latin:
+            votes.setdefault(frozenset(words), Counter())[codes[i]] += 1
+        first = {(codes[i], frozenset(words)): (i, words) for i, words in reversed(latin)}
+        agreed = [(votes[words][code], *row) for (code, words), row in first.items() if code == max(votes[words], key=lambda c: (votes[words][c], c))]  # noqa: B023
+        agreed.sort(key=lambda row: (-row[0], row[1]))  # those that stand most often are fitted on first
+        several = np.array([n > 1 for n, _, _ in agreed], bool)
+        latin = [row[1:] for row in agreed]
         self.known = {w for w, n in Counter(chain.from_iterable(words for _, words in latin)).items() if n >= 3}
         grams = {w: _grams(w) for w in {w for _, words in latin for w in words}}
         features = [np.fromiter(chain.from_iterable(grams[w] for w in dict.fromkeys(words)), int) for _, words in latin]
@@ -162,7 +175,8 @@ class LanguageModel:
             if not again:
                 self._start()
                 guesses = self._latin_scores(self.table_sum([words for _, words in latin])) if len(own) else []
-                use = np.array([max(g, key=g.get) == code for g, code in zip(guesses, own, strict=True)], bool) if len(own) else use
+                # a label that several copies bear is not taken for mistaken because the first fit contradicts it
+                use = several | np.array([max(g, key=g.get) == code for g, code in zip(guesses, own, strict=True)], bool) if len(own) else use
         # characters of the two forms of Chinese
         han = [i for i in kept if target[i] == 2]
         rows = [self._characters(units[i]) for i in han]
@@ -382,12 +396,18 @@ def lines(text: str) -> list[tuple[int, int]]:
     return out
 
 
-def model_of(items: DataFrame, documents: DataFrame, rows: int = SAMPLE_ROWS) -> LanguageModel:
-    """Fit on bounded samples of items(text, label) and documents(text, label)."""
+def sample_of(df: DataFrame, rows: int = SAMPLE_ROWS) -> list[tuple[str, str]]:
+    """A bounded sample of df(text, label): rows with a label, their texts to the first SAMPLE_CHARS characters."""
+    labelled = df.toDF("text", "label").where("label <> ''")
+    kept = labelled.select(F.left("text", F.lit(SAMPLE_CHARS)).alias("text"), "label").where("text <> ''")
+    return [(r.text, r.label) for r in bounded(kept, rows, "text", "label", total=labelled.count())]
+
+
+def model_of(items: list[tuple[str, str]], documents: list[tuple[str, str]]) -> LanguageModel:
+    """Fit on samples of items and of documents, whose lines count one by one."""
     samples = []
-    for df, cut in ((items, lambda t: [t]), (documents, lambda t: t.split("\n"))):
-        df = df.toDF("text", "label").where("text <> '' and label <> ''").where(F.length("text") <= SAMPLE_CHARS)
-        for text, label in df.orderBy(F.xxhash64("text", "label"), "text", "label").limit(rows).collect():
+    for rows, cut in ((items, lambda t: [t]), (documents, lambda t: t.split("\n"))):
+        for text, label in rows:
             code = label_code(label)
             if code:
                 samples += [(unit, code) for unit in cut(text)]

@@ -10,11 +10,14 @@ from pyspark.sql import functions as F
 from ..session import spread
 from ..sources.tables import table
 from . import abuse, forms, langs, leaks, packing, pairs, pieces, sents
+from ._sample import thinned
 
 
-#: The language model of p1 is fitted on the replies of so many requests, first by hash, besides work items; of these
-#: replies langs.SAMPLE_ROWS count. All pairs are classified.
-SAMPLE_REQUESTS = 600
+def _replies(requests: DataFrame, replies: DataFrame, rows: int = langs.SAMPLE_ROWS) -> list[tuple[str, str]]:
+    """A bounded sample of replies with the language that was asked for: about rows of them by hash."""
+    kept = thinned(replies, rows, replies.count(), "request_id", "item_id").select("request_id", F.left("translation", F.lit(langs.SAMPLE_CHARS)).alias("text")).where("text <> ''").distinct()
+    found = requests.join(F.broadcast(kept), "request_id").where("target_language <> ''").select("text", "target_language").distinct()
+    return [tuple(r) for r in found.orderBy(F.xxhash64("text"), "text", "target_language").collect()]
 
 
 def p1_labels(spark: SparkSession, d: str) -> DataFrame:
@@ -22,8 +25,7 @@ def p1_labels(spark: SparkSession, d: str) -> DataFrame:
     requests = table(spark, d, "requests", "request_id", "target_language", "item_ids")
     items = table(spark, d, "work_items", "item_id", "text", "source_language")
     replies = table(spark, d, "translated_items", "request_id", "item_id", "translation")
-    sample = replies.join(F.broadcast(requests.orderBy(F.xxhash64("request_id"), "request_id").limit(SAMPLE_REQUESTS)), "request_id").select(F.col("translation").alias("text"), F.col("target_language").alias("label"))
-    model = langs.model_of(items.select("text", "source_language"), sample)
+    model = langs.model_of(langs.sample_of(items.select("text", "source_language")), _replies(requests, replies))
     return pairs.defects(requests, items.select("item_id", "text"), replies, model)
 
 
@@ -49,7 +51,7 @@ def _labelled(spark: SparkSession, d: str) -> tuple[DataFrame, DataFrame]:
 
 def _languages(spark: SparkSession, d: str, cases_only: bool) -> DataFrame:
     items, documents = _labelled(spark, d)
-    model = langs.model_of(items.select("text", "label"), documents.select("text", "label"))
+    model = langs.model_of(langs.sample_of(items.select("text", "label")), langs.sample_of(documents.select("text", "label")))
     parts = [langs.languages(df, model, by_line, cases_only).withColumn("tbl", F.lit(name)) for df, by_line, name in ((items, False, "work_items"), (documents, True, "documents"))]
     return parts[0].unionByName(parts[1])
 
