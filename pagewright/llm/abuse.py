@@ -3,35 +3,42 @@
 A document is undisguised (invisible and look-alike characters, letters set apart, digits and signs for letters, drawn-out
 letters, masked letters) and cut into sentences. A sentence is a TF-IDF vector over the terms of the labelled examples:
 words, their stems, character pairs of spaceless scripts, and marks for kinds of words. Document frequencies are counted
-over all documents. The nearest examples by exact cosine come from a block-max inverted index: examples stand in blocks,
-each term has its greatest weight in each block, and a block is opened only if the sum of these for the sentence can beat
-what is already found. Votes weighted by similarity give the scores, the examples the evidence.
-
-Examples are the sentences of a bounded sample of labelled documents (LABELLED_DOCUMENTS, first by hash) and examples made
-of the lexicon by rule. Marks of a document by several annotators are settled by majority; ties and nulls are left out. A
-sentence of a harmful document is an example of the kind whose words it holds, unless it stands in harmless documents more
-often. One without such words is an example if it stands in significantly more harmful documents than chance has it: of the
-category of its nearest examples, or, where none is near, of harmful language in general, which counts for the score of a
-document but for no category. One that is too rare to tell is none. Null and empty texts score 0.
+over all documents, by column expressions, of words as they are written. The nearest examples by exact cosine come from a
+block-max inverted index: examples stand in blocks, each term has its greatest weight in each block, and a block is opened
+only if the sum of these for the sentence can beat what is already found. Sentences without a term that a harmful example
+within reach must share are passed, which is exact too. Votes weighted by similarity give the scores, the examples the
+evidence.
+
+Examples are the sentences of a bounded sample of labelled documents (LABELLED_DOCUMENTS, by hash), of each the first
+LABELLED_CHARS characters. Marks of a document by several annotators are settled by majority; ties and nulls are left out.
+The labels say which documents are harmful, not by which sentence nor in which way: labelled_examples says how sentences
+are chosen; the kinds of words in it give the category of an example, else its nearest examples do. One that nothing is
+near to is of harmful language in general, which counts for the score of a document but for no category. Scores are
+chances that a reviewer marks such a document: a logistic curve through the scores of the labelled documents, each judged
+by the examples of the others. Null and empty texts score 0; without labelled documents all do.
 """
 
 from __future__ import annotations
 
 import re
 from collections import Counter, defaultdict
+from collections.abc import Callable
+from dataclasses import dataclass
 from heapq import nlargest
 from itertools import chain
 from math import exp, lgamma, log, sqrt
+from operator import add
 
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from ..session import ship, spread
 from ._arrow import map_columns
+from ._sample import bounded
 from .forms import normalised, skeleton
-from .lexicon import COMMON, FRAMES, WORDS
+from .lexicon import COMMON, WORDS
 
-#: Bound of the sample of labelled documents, and of the length of one.
+#: Bound of the sample of labelled documents, and of the characters of each that examples are taken from.
 LABELLED_DOCUMENTS = 4000
 LABELLED_CHARS = 50_000
 CATEGORIES = ("abusive", "hateful", "sexual")
@@ -39,6 +46,11 @@ CATEGORIES = ("abusive", "hateful", "sexual")
 GENERAL = "harmful"
 #: Chance that any sentence of the labelled documents is taken for harmful without being so.
 LEVEL = 0.05
+#: Examples that vote on a sentence, and the cosine that they must reach.
+NEIGHBOURS, LEAST = 9, 0.4
+#: Slope and offset of the logistic curve of scores where there are too few labels to fit one.
+PLATT = (8.0, -4.0)
+_MEMO_LIMIT = 300_000
 KINDS = ("you", "insult", "threat", "group", "hate", "sex", "coarse", "about")
 
 #: Squared weight of a term that no example has.
@@ -149,7 +161,7 @@ class Lexicon:
                         marks |= self.stems.get(word[:n], set())
                 name = any(c.isdigit() for c in word) or re.search(r"[a-z][A-Z]", token)
                 found = (() if name else (word,) if len(word) <= 6 else (word, word[:6] + "~"), tuple(sorted(marks)), tuple(self.common.get(word, ())), word, bool(marks) or word in self.phrases)
-            if len(self.memo) > 300_000:
+            if len(self.memo) > _MEMO_LIMIT:
                 self.memo.clear()
             self.memo[token] = found
         return found
@@ -186,32 +198,6 @@ class Lexicon:
     def row(self, token: str) -> tuple[tuple[str, ...], tuple[tuple[str, str], ...], tuple[str, ...], str, bool]:
         return self.memo.get(token) or self.terms(token)
 
-    def is_plain(self, rows: list) -> bool:
-        """Whether no word of a sentence has a mark or begins a phrase that stands there: its terms are those of its words."""
-        if not any([r[4] for r in rows]):
-            return True
-        phrases = self.phrases
-        for k, r in enumerate(rows):
-            if r[1] or r[4] and any(all(k + i < len(rows) and rows[k + i][3] == part for i, part in enumerate(parts)) for parts, _ in phrases.get(r[3], ())):
-                return False
-        return True
-
-    def all_terms(self, text: str) -> set[str]:
-        """The terms of all sentences of a text, without counts."""
-        plain: set[str] = set()
-        out: set[str] = set()
-        held, terms = self.memo.get, self.terms
-        east = _HAS_CJK.search(text) is not None
-        for sentence in sentences(text):
-            tokens = _TOKEN.findall(sentence)
-            if not (east and _HAS_CJK.search(sentence)) and self.is_plain([held(t) or terms(t) for t in tokens]):
-                plain.update(tokens)
-            else:
-                out.update(self.bag(sentence))
-        for token in plain:
-            out.update(self.row(token)[0])
-        return out
-
     def mentions(self, quoted: str) -> bool:
         """Whether a quotation of a word or two is one of the words above."""
         return bool(self.find_east.search(quoted)) or any(kind in ("insult", "sex", "threat") for token in _TOKEN.findall(quoted) for _, kind in self.terms(token)[1])
@@ -229,43 +215,20 @@ class Lexicon:
         return name if score >= 1.2 else None
 
 
-def rule_examples(lexicon: Lexicon, each: int = 6) -> list[tuple[Counter, str, str]]:
-    """Examples made of the words of each language by the frames: terms, category, what they are."""
-    out = []
-    for language, kinds in WORDS.items():
-        words = {k: [w.rstrip("*").replace("_", " ") for w in v.split()] for k, v in kinds.items()}
-        for f, (frame, category) in enumerate(FRAMES):
-            for n in range(each):
-                used: Counter = Counter()
-                harmless: list[str] = []
-
-                def pick(m: re.Match, n=n, f=f, words=words, used=used, harmless=harmless) -> str:
-                    row = words[m[1]]
-                    used[m[1]] += 1
-                    word = row[(n + f + (used[m[1]] - 1) * 3) % len(row)]
-                    if m[1] == "you":
-                        harmless.append(word)
-                    return word
-
-                text = re.sub(r"\{(\w+)\}", pick, frame)
-                bag = lexicon.bag(text.replace(" ", "") if language in ("zh", "ja") else text)
-                # of words for the person addressed only the mark counts
-                for term in {t for word in harmless for t in lexicon.bag(word) if not t.startswith("§")}:
-                    bag.pop(term, None)
-                out.append((bag, category, f"{language}: {frame}"))
-    return out
-
-
 class Index:
     """Exact nearest neighbours by cosine, with a block-max inverted index."""
 
     def __init__(self, examples: list[tuple[Counter, str, str]], idf: dict[str, float], block: int = 64):
         self.idf = idf
-        # examples of one category stand together, so that whole blocks of harmless ones can be passed
-        order = sorted(range(len(examples)), key=lambda i: (examples[i][1], i))
+        # examples of one category stand together, so that whole blocks of harmless ones can be passed, and in it those that
+        # begin alike, so that the bounds of a block are close
+        order = sorted(range(len(examples)), key=lambda i: (examples[i][1], examples[i][2], i))
+        self.order = order
         self.category = [examples[i][1] for i in order]
         self.name = [examples[i][2] for i in order]
         self.bags = [examples[i][0] for i in order]
+        #: Where the examples that are not harmless begin.
+        self.harmful_from = sum(not c for c in self.category)
         self.postings: dict[str, dict[int, list[tuple[int, float]]]] = {}
         self.top: dict[str, dict[int, float]] = {}
         self.harm: dict[str, float] = {}
@@ -283,12 +246,26 @@ class Index:
         idf = self.idf
         raw = {t: (1 + log(n)) * idf[t] for t, n in bag.items() if t in idf}
         # terms that no example has are part of the length, not of the sum
-        norm = sqrt(sum(w * w for w in raw.values()) + _UNKNOWN * sum(t not in idf and not t.endswith("~") for t in bag))
+        norm = sqrt(sum(w * w for w in raw.values()) + _UNKNOWN * sum(t not in idf and t[-1] != "~" for t in bag))
         return {t: w / norm for t, w in raw.items()} if norm else {}
 
+    def reached(self, vector: dict[str, float], least: float) -> bool:
+        """Whether an example that is not harmless has a cosine of at least least."""
+        harm = self.harm
+        if sum([w * harm[t] for t, w in vector.items() if t in harm]) < least:
+            return False
+        sums: dict[int, float] = defaultdict(float)
+        for term, w in vector.items():
+            if term in harm:
+                for b, rows in self.postings[term].items():
+                    if (b + 1) * self.block > self.harmful_from:
+                        for place, weight in rows:
+                            sums[place] += w * weight
+        return any(s >= least for place, s in sums.items() if place >= self.harmful_from)
+
     def nearest(self, vector: dict[str, float], k: int, least: float, harmless: bool = False) -> list[tuple[float, int]]:
         """The k nearest examples with a cosine of at least least, if one that is not harmless can reach it; exact."""
-        if not harmless and sum(w * self.harm.get(t, 0.0) for t, w in vector.items()) < least:
+        if not harmless and not self.reached(vector, least):
             return []
         bounds: dict[int, float] = defaultdict(float)
         for term, w in vector.items():
@@ -309,68 +286,84 @@ class Index:
                 bar = max(bar, found[-1][0])
         return [(s, -p) for s, p in nlargest(k, found)]
 
+    def triggers(self, least: float) -> set[str]:
+        """Terms of which a vector has one at least if its cosine with an example that is not harmless reaches least.
+
+        Of each such example the most frequent terms are left out as long as their length together is below least: by the
+        inequality of Cauchy and Schwarz no vector of length one reaches least by them alone.
+        """
+        out: set[str] = set()
+        for category, bag in zip(self.category, self.bags, strict=True):
+            if category:
+                vector, held = self.vector(bag), 0.0
+                for term in sorted(vector, key=lambda t: (self.idf[t], t)):
+                    held += vector[term] ** 2
+                    if sqrt(held) >= least - 1e-9:
+                        out.add(term)
+        return out
+
 
 class Judge:
     """Scores of sentences and documents."""
 
-    def __init__(self, lexicon: Lexicon, examples: list[tuple[Counter, str, str]], frequency: dict[str, int], documents: int, k: int = 9, least: float = 0.3):
-        terms = {t for bag, _, _ in examples for t in bag}
-        idf = {t: log((documents + 1) / (frequency.get(t, 0) + 1)) + 0.1 for t in terms}
-        for mark in [t for t in idf if t.startswith("§")]:  # marks stand for whole lists of words
-            idf[mark] = max(idf[mark], {"§you": 1.0, "§mention": 12.0}.get(mark, 3.0))
+    def __init__(self, lexicon: Lexicon, examples: list[tuple[Counter, str, str]], idf: dict[str, float], k: int = NEIGHBOURS, least: float = LEAST):
         self.lexicon, self.k, self.least = lexicon, k, least
-        examples = placed(examples, idf, k, least)
-        made = [x for x in examples if x[2][2:4] == ": "]
-        self.index = Index([*made, *edited([x for x in examples if x[2][2:4] != ": "], idf, lexicon)], idf)
-        del self.index.bags  # only the editing needs them
-        self.bounds: dict[str, tuple[float, float, bool, str]] = {}
+        self.index = Index(examples, idf)
+        self.order = self.index.order
+        triggers = self.index.triggers(least)
+        self.words = triggers
+        self.pairs = {t for t in triggers if _HAS_CJK.match(t)}
+        self.east = {word for word, kinds in lexicon.east.items() if any(f"§{kind}" in triggers for kind in kinds)}
+        self.find_east = re.compile("|".join(sorted(map(re.escape, self.east), key=len, reverse=True))) if self.east else None
+        self.phrases: dict[str, list[tuple[str, ...]]] = defaultdict(list)
+        for first, rows in lexicon.phrases.items():
+            for parts, (_, kind) in rows:
+                if "_".join(parts) in triggers or f"§{kind}" in triggers:
+                    self.phrases[first].append(parts)
+        self.slope, self.offset = PLATT
+        self.pure: set[str] = set()
+        self.starts: set[str] = set()
 
     def __getstate__(self) -> dict:
-        return self.__dict__ | {"bounds": {}}
-
-    def _parts(self, token: str) -> tuple[float, float, bool, str]:
-        """Of a word: the most it and its marks can add to a product with a harmful example, the least to the squared
-        length of the sentence, whether it begins a phrase, and its plain form."""
-        terms, marks, _, plain, _ = self.lexicon.row(token)
-        idf = self.index.idf
-        least = sum(idf[t] ** 2 if t in idf else _UNKNOWN for t in terms if not t.endswith("~"))
-        if len(self.bounds) > 300_000:
-            self.bounds.clear()
-        most = self._most([*terms, *{f"§{kind}" for _, kind in marks}])
-        found = self.bounds[token] = (most, least, plain in self.lexicon.phrases, plain)
-        return found
-
-    def _most(self, terms: list[str]) -> float:
-        idf, harm = self.index.idf, self.index.harm
-        return sum(idf[t] * harm[t] for t in terms if t in harm)
-
-    def hopeless(self, sentence: str) -> bool:
-        """Whether no harmful example can be near enough, by a bound that needs no vector; false where it cannot tell.
-
-        A term that stands n times adds less than n times itself, and marks count at most where they can.
-        """
-        if _HAS_CJK.search(sentence):
-            return False
-        held = self.bounds.get
-        rows = [held(token) or self._parts(token) for token in _TOKEN.findall(sentence)]
-        most = sum([r[0] for r in rows])
-        bar = self.least * sqrt(sum({r[3]: r[1] for r in rows}.values()))
-        if most >= bar:
-            return False
-        for k, r in enumerate(rows):
-            if r[2]:
-                for parts, (_, kind) in self.lexicon.phrases[r[3]]:
-                    if all(k + i < len(rows) and rows[k + i][3] == part for i, part in enumerate(parts)):
-                        most += self._most(["_".join(parts), f"§{kind}"])
-        return most < bar
-
-    def sentence(self, sentence: str) -> tuple[dict[str, float], str]:
-        """Score of each category and the name of the nearest harmful example."""
-        if self.hopeless(sentence):
-            return {}, ""
-        near = self.index.nearest(self.index.vector(self.lexicon.bag(sentence)), self.k, self.least)
-        if not near:
-            return {}, ""
+        return self.__dict__ | {"pure": set(), "starts": set()}
+
+    def slim(self) -> Judge:
+        """Without what only the fit needs, to be sent to the executors."""
+        self.index.bags, self.index.order, self.order = [], [], []
+        return self
+
+    def _speaks(self, token: str) -> bool:
+        terms, marks, _, _, _ = self.lexicon.row(token)
+        words = self.words
+        return any([t in words for t in terms]) or any([f"§{kind}" in words for _, kind in marks])
+
+    def may_hold(self, text: str) -> bool:
+        """False only where no example that is not harmless can be near to any sentence of an undisguised text; exact."""
+        tokens = set(_TOKEN.findall(text))
+        fresh = tokens - self.pure
+        for token in fresh:
+            if self._speaks(token):
+                return True
+        if len(self.pure) > _MEMO_LIMIT:
+            self.pure, self.starts, fresh = set(), set(), tokens
+        self.pure |= fresh
+        self.starts.update(token for token in fresh if self.lexicon.row(token)[3] in self.phrases)
+        if begun := tokens & self.starts:
+            plain = {self.lexicon.row(token)[3] for token in tokens}
+            if any(plain.issuperset(parts) for token in begun for parts in self.phrases[self.lexicon.row(token)[3]]):
+                return True
+        if _HAS_CJK.search(text):
+            if not self.pairs.isdisjoint(map(add, text, text[1:])):
+                return True
+            if self.find_east is not None and self.find_east.search(text.lower()):
+                return True
+        return "§mention" in self.words and _QUOTED.search(text) is not None
+
+    def votes(self, sentence: str, other: Callable[[int], bool] | None = None) -> tuple[dict[str, float], str]:
+        """Raw score of each category and the name of the nearest harmful example; of the examples that other lets pass."""
+        near = self.index.nearest(self.index.vector(self.lexicon.bag(sentence)), self.k if other is None else 4 * self.k, self.least)
+        if other is not None:
+            near = [x for x in near if other(self.order[x[1]])][: self.k]
         votes: dict[str, float] = defaultdict(float)
         evidence = ""
         for similarity, place in near:
@@ -378,21 +371,34 @@ class Judge:
             votes[category] += similarity**4
             if category and not evidence:
                 evidence = self.index.name[place]
+        if not evidence:
+            return {}, ""
         total = sum(votes.values()) + self.least**4
         general = votes.pop(GENERAL, 0.0)  # speaks neither for nor against a category
         scores = {c: votes[c] / (total - general) for c in CATEGORIES if c in votes}
         return scores | ({GENERAL: (general + sum(votes[c] for c in scores)) / total} if general else {}), evidence
 
-    def document(self, text: str | None) -> dict[str, tuple[float, str, str]]:
-        """For each category the best score, its sentence and its nearest example."""
+    def chance_of(self, score: float) -> float:
+        """The chance that a reviewer marks a document with such a score."""
+        return 1 / (1 + exp(-max(-40.0, min(40.0, self.slope * score + self.offset))))
+
+    def raw(self, text: str | None, other: Callable[[int], bool] | None = None) -> dict[str, tuple[float, str, str]]:
+        """For each category the share of votes of the best sentence, the sentence and its nearest example."""
         out: dict[str, tuple[float, str, str]] = {}
-        for sentence in sentences(undisguised(text)) if text else ():
-            scores, evidence = self.sentence(sentence)
-            for category, score in scores.items():
-                if score > out.get(category, (0.0,))[0]:
-                    out[category] = (score, sentence, evidence)
+        if not text or not self.may_hold(text := undisguised(text)):
+            return out
+        for sentence in sentences(text):
+            if self.may_hold(sentence):
+                scores, evidence = self.votes(sentence, other)
+                for category, score in scores.items():
+                    if score > out.get(category, (0.0,))[0]:
+                        out[category] = (score, sentence, evidence)
         return out
 
+    def document(self, text: str | None) -> dict[str, tuple[float, str, str]]:
+        """For each category the score, its sentence and its nearest example; nothing where no example is near."""
+        return {c: (self.chance_of(share), sentence, evidence) for c, (share, sentence, evidence) in self.raw(text).items()}
+
 
 def chance(harmful: int, harmless: int, share: float) -> float:
     """How likely it is that of so many documents this many or more are harmful, where a share of all is."""
@@ -403,36 +409,100 @@ def chance(harmful: int, harmless: int, share: float) -> float:
     return sum(exp(ways(i) + i * log(share) + (n - i) * log(1 - share)) for i in range(harmful, n + 1))
 
 
-def labelled_examples(lexicon: Lexicon, rows: list[tuple[str, int]]) -> list[tuple[Counter, str, str]]:
-    """Examples of labelled documents: (text, label). Those that only the labels say are harmful have the general category."""
-    seen: dict[frozenset, list] = {}
-    for text, label in rows:
-        met = set()
-        for sentence in sentences(undisguised(text)):
-            bag = lexicon.bag(sentence)
-            key = frozenset(t for t in bag if not t.startswith("§"))
-            if key:
-                row = seen.setdefault(key, [bag, 0, 0, sentence[:80], [0, 0]])
-                row[1 + bool(label)] += 1
-                if key not in met:
-                    row[4][bool(label)] += 1
-                    met.add(key)
-    share = sum(bool(label) for _, label in rows) / max(1, len(rows))
-    kinds = {key: lexicon.kind(row[0]) if row[2] else None for key, row in seen.items()}
-    level = LEVEL / max(1, sum(row[2] > 0 and not kinds[key] for key, row in seen.items()))
-    out = []
-    for key, (bag, harmless, harmful, sentence, documents) in seen.items():
-        category = kinds[key]
-        if harmful and category and harmful >= harmless:
-            out.append((bag, category, sentence))
-        elif harmful and not category and chance(documents[1], documents[0], share) < level:
-            out.append((bag, GENERAL, sentence))
-        elif (harmless >= max(1, harmful) or "§mention" in bag) and not (category and harmful):
-            out.append((bag, "", sentence))
-    return out
+@dataclass(slots=True)
+class Labelled:
+    """Sentences of labelled documents with the same terms."""
 
+    bag: Counter
+    text: str
+    documents: tuple[set[int], set[int]]  # harmless and harmful ones, by place in the sample
 
-def placed(examples: list[tuple[Counter, str, str]], idf: dict[str, float], k: int, least: float) -> list[tuple[Counter, str, str]]:
+
+def gathered(lexicon: Lexicon, rows: list[tuple[str, int]]) -> tuple[list[Labelled], dict[str, set[str]]]:
+    """The sentences of documents (text, label), equal ones together; and the words met that each mark stands for."""
+    seen: dict[frozenset, Labelled] = {}
+    words: dict[str, set[str]] = defaultdict(set)
+    for n, (text, label) in enumerate(rows):
+        text = undisguised(text)  # noqa: PLW2901
+        for sentence in sentences(text):
+            bag = lexicon.bag(sentence)
+            key = frozenset(t for t in bag if t[0] != "§")
+            if key:
+                seen.setdefault(key, Labelled(bag, sentence[:80], (set(), set()))).documents[bool(label)].add(n)
+        for token in set(_TOKEN.findall(text)):
+            for _, kind in lexicon.row(token)[1]:
+                words[f"§{kind}"].add(lexicon.row(token)[3])
+        for m in lexicon.find_east.finditer(text.lower()) if _HAS_CJK.search(text) else ():
+            for kind in lexicon.east[m[0]]:
+                words[f"§{kind}"].add(m[0])
+    return list(seen.values()), words
+
+
+def _parts(term: str) -> list[str]:
+    """The counted terms that a term is made of: words of a phrase, character pairs of a word of a spaceless script."""
+    if "_" in term:
+        return term.split("_")
+    return [term[i : i + 2] for i in range(len(term) - 1)] if len(term) > 1 and _HAS_CJK.match(term) else [term]
+
+
+def idf_of(found: list[Labelled], words: dict[str, set[str]], frequency: dict[str, int]) -> dict[str, float]:
+    """Weights of the terms of the labelled sentences. What is made of several counted terms is as frequent as the rarest
+    of them at most; a mark stands for all words of its kind, which are counted together."""
+    documents = frequency.get("", 0)
+    count = lambda term: min((frequency.get(p, 0) for p in _parts(term)), default=0)
+    counts = {t: count(t) for x in found for t in x.bag if t[0] != "§"}
+    for mark in {t for x in found for t in x.bag if t[0] == "§"}:
+        counts[mark] = sum(map(count, words[mark])) if mark in words else sum(mark in x.bag for x in found)
+    return {t: log((documents + 1) / (min(documents, n) + 1)) + 0.1 for t, n in counts.items()}
+
+
+def labelled_examples(lexicon: Lexicon, found: list[Labelled], labels: list[int], idf: dict[str, float], k: int = 25, alike: float = 0.6) -> tuple[list[tuple[Counter, str, str]], list[int]]:
+    """Examples, and of each the place of its sentence in found.
+
+    The documents that hold a sentence, or one like it, are counted by label. A sentence of a harmful document is harmful
+    if it holds words of a kind and not more of these documents are harmless than harmful, or if significantly more are
+    harmful than chance has it. A harmful document without such a sentence must have one: those of its sentences that no
+    harmless document has anything near to. Sentences of harmless documents are harmless examples, unless they hold words of a
+    kind and most of those like them are in harmful documents: marks are mistaken now and then.
+    """
+    index = Index([(x.bag, "", x.text) for x in found], idf)
+    share = sum(labels) / max(1, len(labels))
+    kinds = [lexicon.kind(x.bag) for x in found]
+    counts: list[tuple[int, int]] = []
+    for x, kind in zip(found, kinds, strict=True):
+        if kind is None and len(x.documents[0]) >= len(x.documents[1]):
+            counts.append((len(x.documents[0]), len(x.documents[1])))
+            continue
+        near: tuple[set[int], set[int]] = (set(), set())
+        for _, place in index.nearest(index.vector(x.bag), k, alike, harmless=True):
+            other = found[index.order[place]]
+            near[0].update(other.documents[0])
+            near[1].update(other.documents[1])
+        near[0].update(x.documents[0])
+        near[1].update(x.documents[1])
+        counts.append((len(near[0]), len(near[1])))
+    level = LEVEL / max(1, sum(bool(x.documents[1]) and kind is None for x, kind in zip(found, kinds, strict=True)))
+    category: list[str | None] = []
+    for x, kind, n in zip(found, kinds, counts, strict=True):
+        if x.documents[1] and kind is not None and n[1] >= n[0]:
+            category.append(kind)
+        elif x.documents[1] and kind is None and chance(n[1], n[0], share) < level:
+            category.append(GENERAL)
+        elif x.documents[0] and not (kind is not None and n[1] > n[0]):
+            category.append("")
+        else:
+            category.append(None)
+    explained = {d for x, c in zip(found, category, strict=True) if c for d in x.documents[1]}
+    for i, (x, n) in enumerate(zip(found, counts, strict=True)):
+        if category[i] is None and x.documents[1] - explained and n[0] == 0:
+            near_by = index.nearest(index.vector(x.bag), k, LEAST, harmless=True)
+            if not any(found[index.order[place]].documents[0] for _, place in near_by):
+                category[i] = GENERAL
+    kept = [i for i, c in enumerate(category) if c is not None]
+    return [(found[i].bag, category[i], found[i].text) for i in kept], kept
+
+
+def placed(examples: list[tuple[Counter, str, str]], idf: dict[str, float], k: int = NEIGHBOURS, least: float = LEAST) -> list[tuple[Counter, str, str]]:
     """The examples of the general category in that of the nearest ones that have another, where there are such."""
     if not any(category == GENERAL for _, category, _ in examples):
         return examples
@@ -448,57 +518,79 @@ def placed(examples: list[tuple[Counter, str, str]], idf: dict[str, float], k: i
     return out
 
 
-def edited(examples: list[tuple[Counter, str, str]], idf: dict[str, float], lexicon: Lexicon, k: int = 7, least: float = 0.5) -> list[tuple[Counter, str, str]]:
-    """Labelled examples without those that most of their nearest neighbours contradict: marks are mistaken now and then.
-
-    One that is marked harmless against its words stays only if others like it are harmless too.
-    """
-    if not examples:
-        return examples
-    index = Index(examples, idf)
-    out = []
-    for place, category in enumerate(index.category):
-        bag = index.bags[place]
-        keep = True
-        if category or any(f"§{kind}" in bag for kind in ("insult", "threat", "hate", "sex")):
-            votes: Counter = Counter()
-            for similarity, other in index.nearest(index.vector(bag), k + 1, least, harmless=True):
-                if other != place:
-                    votes[index.category[other]] += similarity**4
-            doubtful = not category and lexicon.kind(bag) is not None
-            keep = 2 * votes[category] > votes.total() if doubtful else 2 * votes[category] >= votes.total()
-        if keep:
-            out.append((bag, category, index.name[place]))
-    return out
+def platt(scores: list[float], labels: list[int], rounds: int = 50) -> tuple[float, float]:
+    """Slope and offset of the logistic curve through scores and labels, by Newton steps on targets that are never 0 or 1;
+    PLATT where there are fewer than ten of a label."""
+    harmful = sum(labels)
+    if min(harmful, len(labels) - harmful) < 10 or len(set(scores)) < 2:
+        return PLATT
+    high, low = (harmful + 1) / (harmful + 2), 1 / (len(labels) - harmful + 2)
+    a, b = PLATT
+    for _ in range(rounds):
+        ga = gb = 0.0
+        haa = hbb = 1e-3
+        hab = 0.0
+        for s, y in zip(scores, labels, strict=True):
+            p = 1 / (1 + exp(-max(-40.0, min(40.0, a * s + b))))
+            d, w = p - (high if y else low), p * (1 - p)
+            ga, gb, haa, hab, hbb = ga + d * s, gb + d, haa + w * s * s, hab + w * s, hbb + w
+        det = haa * hbb - hab * hab
+        if det < 1e-12:
+            break
+        da, db = (hbb * ga - hab * gb) / det, (haa * gb - hab * ga) / det
+        a, b = a - da, b - db
+        if abs(da) + abs(db) < 1e-9:
+            break
+    return (a, b) if a > 0 else PLATT
+
+
+def fitted(lexicon: Lexicon, rows: list[tuple[str, int]], count: Callable[[set[str]], dict[str, int]]) -> Judge:
+    """A judge from labelled documents (text, label); count gives the number of documents that hold each term, and of all
+    under the empty string. Scores are fitted to the labels with each document judged by the examples of the others."""
+    (found, words), labels = gathered(lexicon, rows), [label for _, label in rows]
+    terms = {p for x in found for t in x.bag if t[0] != "§" for p in _parts(t)} | {p for held in words.values() for t in held for p in _parts(t)}
+    idf = idf_of(found, words, count(terms))
+    examples, kept = labelled_examples(lexicon, found, labels, idf)
+    judge = Judge(lexicon, placed(examples, idf), idf)
+    scores = []
+    for n, (text, _) in enumerate(rows):
+        own = lambda i, n=n: (docs := found[kept[i]].documents)[0] | docs[1] != {n}
+        scores.append(max((share for share, _, _ in judge.raw(text, own).values()), default=0.0))
+    judge.slope, judge.offset = platt(scores, labels)
+    return judge.slim()
+
+
+#: Letters whose form in terms is another, by the rule of forms.skeleton; Greek and Cyrillic ones.
+_LETTERS = {chr(c): key for c in range(0x370, 0x530) if chr(c).islower() and len(key := skeleton(chr(c))) == 1 and key != chr(c)}
+
+
+def document_frequency(documents: DataFrame, terms: set[str]) -> dict[str, int]:
+    """In how many documents each term stands as a word, a stem or a character pair, in plain spelling; and under the empty
+    string the number of documents with text. Column expressions; what is joined and collected has no more rows than terms."""
+    wanted = F.broadcast(documents.sparkSession.createDataFrame([(t,) for t in sorted({*terms, ""})], "term string"))
+    low = F.lower("text")
+    low = F.when(low.rlike("[\u0370-\u052f]"), F.translate(low, "".join(_LETTERS), "".join(_LETTERS.values()))).otherwise(low)
+    pairs = F.when(F.col("text").rlike(f"[{_CJK}]"), F.array_distinct(F.regexp_extract_all("text", F.lit(f"(?=([{_CJK}]{{2}}))"), 1)))
+    rows = spread(documents.select("text").where("text <> ''")).select(low.alias("low"), pairs.alias("pairs"))
+    rows = rows.select(F.array_distinct(F.split("low", f"[^\\p{{L}}\\p{{N}}\\p{{M}}_]+|[{_CJK}]+")).alias("words"), "pairs")
+    stems = F.array_distinct(F.transform(F.filter("words", lambda w: F.length(w) > 6), lambda w: F.concat(F.left(w, F.lit(6)), F.lit("~"))))
+    every = F.concat(F.array_remove("words", ""), stems, F.coalesce("pairs", F.array().cast("array<string>")), F.array(F.lit("")))
+    rows = rows.select(F.explode(every).alias("term"))
+    return {r["term"]: r["count"] for r in rows.join(wanted, "term", "left_semi").groupBy("term").count().collect()}
 
 
 def judge_of(documents: DataFrame, labels: DataFrame, limit: int = LABELLED_DOCUMENTS) -> Judge:
     """Fit on documents(doc_id, text) and labels(doc_id, label); frequencies are counted over all documents."""
-    spark = documents.sparkSession
-    ship(spark)
-    lexicon = Lexicon()
-    marks = labels.where("label is not null").distinct().groupBy("doc_id").agg(F.avg(F.col("label").cast("double")).alias("share")).where("share <> 0.5")
-    marks = marks.orderBy(F.xxhash64("doc_id"), "doc_id").limit(limit)
-    rows = documents.join(F.broadcast(marks), "doc_id").where("text <> ''").where(F.length("text") <= LABELLED_CHARS).select("doc_id", "text", "share").distinct().orderBy("doc_id").toLocalIterator()
-    examples = [*rule_examples(lexicon), *labelled_examples(lexicon, [(r.text, int(r.share > 0.5)) for r in rows])]
-    terms = frozenset(t for bag, _, _ in examples for t in bag)
-    shared = spark.sparkContext.broadcast((lexicon, terms))
-
-    def count(columns: dict[str, list]) -> dict[str, list]:
-        lexicon, terms = shared.value
-        total: Counter = Counter()
-        for text in columns["text"]:
-            total.update(terms & lexicon.all_terms(undisguised(text)))
-            total[""] += 1
-        return {"term": list(total), "n": list(total.values())}
-
-    counts = map_columns(spread(documents.select("text").where("text <> ''")), count, "term string, n bigint").groupBy("term").agg(F.sum("n").alias("n"))
-    frequency = {r.term: r.n for r in counts.collect()}  # at most the terms of the examples
-    return Judge(lexicon, examples, frequency, frequency.get("", 0))
+    ship(documents.sparkSession)
+    marks = labels.where("label is not null and doc_id is not null").distinct().groupBy("doc_id").agg(F.avg(F.col("label").cast("double")).alias("share")).where("share <> 0.5")
+    marks = documents.sparkSession.createDataFrame([(r.doc_id, r.share) for r in bounded(marks, limit, "doc_id")], "doc_id bigint, share double")
+    texts = documents.select("doc_id", F.left("text", F.lit(LABELLED_CHARS)).alias("text")).where("text <> ''")
+    rows = texts.join(F.broadcast(marks), "doc_id").distinct().orderBy("doc_id", "text").toLocalIterator()
+    return fitted(Lexicon(), [(r.text, int(r.share > 0.5)) for r in rows], lambda terms: document_frequency(documents, terms))
 
 
 def judged(documents: DataFrame, judge: Judge) -> DataFrame:
-    """(doc_id, category, score, evidence, example) of every document and category with a score above 0."""
+    """(doc_id, category, score, evidence, example) of every document and category that an example is near to."""
     spark = documents.sparkSession
     shared = spark.sparkContext.broadcast(judge)
 

@@ -1,7 +1,8 @@
 """Words of abusive, hateful and sexual language in the eleven languages, for problem 8.
 
-They serve moderation only: examples are made of them by rule, and sentences get a mark for each kind they hold. Stems
-match the start of a word; phrases of spaceless scripts match anywhere.
+They serve moderation only: sentences get a mark for each kind they hold, which says of what category a labelled example
+is and makes sentences with other words of a kind alike. Stems match the start of a word; phrases of spaceless scripts
+match anywhere.
 """
 
 from __future__ import annotations
@@ -13,10 +14,10 @@ WORDS: dict[str, dict[str, str]] = {
     "en": {
         "you": "you your yours yourself u",
         "insult": "idiot* moron* imbecil* scumbag* bastard* asshole* arsehole* halfwit* dumbass* loser* jerk* bitch* prick* cunt* dickhead* pathetic worthless brainless stupid dumb retard* coward* clown* dimwit* nitwit* whore* slut* douchebag* motherfucker* pig",
-        "threat": "kill* neck rot hell beat* beating strangle* stab* shoot* punch* smash* choke* you_die should_die must_die to_die regret shut_up break_your where_you watch_your go_to_hell nobody_asked",
-        "group": "foreigner* immigrant* migrant* refugee* women woman men jew* muslim* christian* arab* black* gypsies gypsy gay* lesbian* disabled cripple* elderly old_people natives asian* african* mexican* they_people these_people",
-        "hate": "vermin parasite* subhuman* filthy plague animals scum thrown_out throw_out wiped_out wipe_out exterminat* deport* thieves liar* inferior kitchen rats cockroach* not_human even_human go_back not_belong in_their_blood do_not_deserve pretending_they",
-        "sex": "porn* naked nude* sex sexy horny lick* moan* orgasm* blowjob* masturbat* tits pussy cock dick* erotic* undress* strip* breasts bed_with clothes hardcore xxx cum",
+        "threat": "kill* neck rot hell beat* beating strangle* stab* shoot* punch* smash* choke* you_die should_die must_die to_die regret shut_up break_your where_you watch_your go_to_hell",
+        "group": "foreigner* immigrant* migrant* refugee* women woman men jew* muslim* christian* arab* black* gypsies gypsy gay* lesbian* disabled cripple* elderly old_people natives asian* african* mexican*",
+        "hate": "vermin parasite* subhuman* filthy plague animals scum thrown_out throw_out wiped_out wipe_out exterminat* deport* thieves liar* inferior rats cockroach* not_human even_human go_back not_belong do_not_deserve",
+        "sex": "porn* naked nude* sex sexy horny lick* moan* orgasm* blowjob* masturbat* tits pussy cock dick* erotic* undress* strip* breasts hardcore xxx cum",
         "coarse": "fuck* shit* damn* crap* bloody",
         "about": "word* comment* class classes classifier* filter* list* argument* evaluation paper* analysis process* children* queue terminal setup cell* tissue* age gender* figure* data definition* study term* method* detect* dictionary",
     },
@@ -24,9 +25,9 @@ WORDS: dict[str, dict[str, str]] = {
         "you": "du dich dir dein* euch ihr",
         "insult": "idiot* vollidiot* schwachkopf* arschl* wichser* trottel* depp* blödmann* hurens* drecksk* penner* misst* elend* dumm* blöd* hirn* schlamp* mistkerl* spast* versager*",
         "threat": "fresse maul sterben verreck* umbring* schlag* prügel* töte* halt_die geh_sterben krepier* bring_dich",
-        "group": "ausländer* frauen juden muslim* behindert* flüchtling* zigeuner* schwarze* schwule* migrant* männer türken ostrier*",
-        "hate": "ungeziefer* parasit* dreckig* minderwertig* abschaum* untermensch* gejagt verloren küche vergas* lügner* diebe ausrott* raus_mit aus_dem_land keine_menschen abschieb* sperrt",
-        "sex": "porno* nackt* geil* fick* sex* brüste titten schwanz muschi stöhn* blasen leib kleider bumsen lecken",
+        "group": "ausländer* frauen juden muslim* behindert* flüchtling* zigeuner* schwarze* schwule* migrant* männer türken",
+        "hate": "ungeziefer* parasit* dreckig* minderwertig* abschaum* untermensch* gejagt küche vergas* lügner* diebe ausrott* raus_mit aus_dem_land keine_menschen abschieb* sperrt",
+        "sex": "porno* nackt* geil* fick* sex* brüste titten schwanz muschi stöhn* blasen bumsen lecken",
         "coarse": "scheiß* scheiss* verdammt* kacke",
         "about": "wort wörter kommentar* klasse* filter* liste* argument* auswertung* unsinn alter geschlecht leser* prozess* zelle* gewebe* studie* begriff* methode*",
     },
@@ -44,7 +45,7 @@ WORDS: dict[str, dict[str, str]] = {
         "you": "tú tu te ti eres tus vos",
         "insult": "imbécil* gilipoll* idiota* cabrón* cabrones estúpid* inútil* pendej* basura hijo_de puta* tont* capull* payas* zorra*",
         "threat": "cállate callate pudras mato matar romper* muérete vete ojalá partir* golpe*",
-        "group": "extranjer* inmigrant* mujeres judí* musulman* negros gitan* discapacitad* viejos ancianos ostrios moros",
+        "group": "extranjer* inmigrant* mujeres judí* musulman* negros gitan* discapacitad* viejos ancianos moros",
         "hate": "plaga* parásit* echarl* escoria* ladron* mentiros* suci* inferior* cocina extermin* merecen_vivir no_merecen no_son_humanos expuls* ratas",
         "sex": "porno* desnud* foll* caliente* sexo polla coño tetas chupar gemir correrse cama cachond*",
         "coarse": "mierda* joder coño hostia",
@@ -83,8 +84,8 @@ WORDS: dict[str, dict[str, str]] = {
     "zh": {
         "you": "你 妳 你们 你們",
         "insult": "白痴 白癡 蠢货 蠢貨 废物 廢物 混蛋 傻逼 傻瓜 贱人 賤人 王八蛋 脑残 腦殘 笨蛋 畜生",
-        "threat": "闭嘴 閉嘴 去死 滚出去 滾出去 打断 打斷 杀了你 殺了你 打死 弄死 没人问你 沒人問你",
-        "group": "外国人 外國人 外地人 女人 移民 犹太人 猶太人 黑人 残疾人 殘疾人 老人 那些 西人",
+        "threat": "闭嘴 閉嘴 去死 滚出去 滾出去 打断 打斷 杀了你 殺了你 打死 弄死",
+        "group": "外国人 外國人 外地人 女人 移民 犹太人 猶太人 黑人 残疾人 殘疾人 老人",
         "hate": "不算人 不是人 早该死 早該死 赶出去 趕出去 寄生虫 寄生蟲 害虫 害蟲 天生就 不配 滚回 滾回 消灭 消滅 小偷 骗子 騙子 都是垃圾 垃圾",
         "sex": "黄片 黃片 裸照 做爱 做愛 上床 色情片 性交 脱光 脫光 呻吟 成人视频 成人影片 乳房 裸体 裸體",
         "coarse": "他妈的 他媽的 操你 妈的 狗屁",
@@ -122,25 +123,3 @@ COMMON: dict[str, str] = {
     "it": "a tu tuo se tutto tutti questo questa il lo la i gli le e è un una di in che per con non si del della dei delle al alla nel sono più ma come da ha hanno ti mi tutti già molto",
     "ru": "и в не на с что по из у к за от как для это мы они он она все но или же бы так был была было его их я со о а",
 }
-
-# Patterns of examples by kind; the words of a language are put in. The last column is the kind.
-FRAMES = (
-    ("{you} {insult}", "abusive"),
-    ("{threat} {you} {insult}", "abusive"),
-    ("{threat} {you} {threat}", "abusive"),
-    ("{threat} {you} {coarse}", "abusive"),
-    ("{group} {hate}", "hateful"),
-    ("{group} {hate} {hate}", "hateful"),
-    ("{hate} {hate} {hate}", "hateful"),
-    ("{sex} {sex}", "sexual"),
-    ("{you} {sex} {sex}", "sexual"),
-    ("“{insult}” {about} {about}", ""),
-    ("{about} “{insult}” “{insult}” {about}", ""),
-    ("{insult} {about} {about}", ""),
-    ("{insult} {insult} {about} {group} {about}", ""),
-    ("{sex} {about}", ""),
-    ("{sex} {about} {about}", ""),
-    ("{hate} {about} {threat} {about}", ""),
-    ("{group} {about} {about}", ""),
-    ("{coarse} {about} {about}", ""),
-)

@@ -145,7 +145,7 @@ TEXTS = {
 def lid(spark):
     items = spark.read.parquet("/root/testdata/sf0.01/work_items.parquet").select("text", "source_language")
     documents = spark.read.parquet("/root/testdata/sf0.01/documents.parquet").select("text", "lang")
-    return langs.model_of(items, documents)
+    return langs.model_of(langs.sample_of(items), langs.sample_of(documents))
 
 
 def test_labels():
@@ -369,23 +369,44 @@ def test_judge(spark):
     found = {(r.doc_id, r.category) for r in abuse.judged(documents, judge).where(F.col("score") >= 0.5).collect()}
     expected = {(i, c) for i, t in rows if t for h, c in zip(harmful, abuse.CATEGORIES, strict=True) if t == h} | {(102, "abusive"), (103, "hateful")}
     assert found == expected
-    alone = abuse.judge_of(documents, labels.limit(0))
-    assert alone.document("You are a pathetic idiot.")["abusive"][0] > 0.5 and alone.document(None) == {}
+    none = abuse.judge_of(documents, labels.limit(0))
+    assert none.document("You are a pathetic idiot.") == {} == none.document(None) and abuse.judged(documents.limit(0), judge).count() == 0
 
 
-def test_hopeless_sentences_have_no_near_example(spark):
+def test_passed_texts_have_no_near_example(spark):
     documents = spark.read.parquet("/root/testdata/sf0.01/documents.parquet")
     judge = abuse.judge_of(documents, spark.read.parquet("/root/testdata/sf0.01/review_labels.parquet"))
-    passed = 0
-    for r in spark.read.parquet(f"{D}/documents.parquet").collect():
+    passed = opened = 0
+    for r in documents.collect():
         text = abuse.undisguised(r.text)
-        cut = abuse.sentences(text)
-        assert judge.lexicon.all_terms(text) == {t for s in cut for t in judge.lexicon.bag(s)}
-        for sentence in cut:
-            if judge.hopeless(sentence):
+        for sentence in abuse.sentences(text):
+            vector = judge.index.vector(judge.lexicon.bag(sentence))
+            every = judge.index.nearest(vector, 9, judge.least, harmless=True)
+            if not judge.may_hold(sentence):
                 passed += 1
-                assert judge.index.nearest(judge.index.vector(judge.lexicon.bag(sentence)), 9, judge.least) == []
-    assert passed > 1000
+                assert not any(judge.index.category[place] for _, place in every)
+            else:
+                opened += 1
+                assert judge.index.nearest(vector, 9, judge.least) in ([], every)
+            assert judge.may_hold(text) or not judge.may_hold(sentence)
+    assert passed > 1000 and opened > 10
+
+
+def test_document_frequency(spark):
+    texts = ["The Threshold of thresholds, the end.", "ТВАРЬ und Größe_3", "这个问题，问题", None, "", "no"]
+    documents = spark.createDataFrame([(t,) for t in texts], "text string")
+    terms = {"the", "threshold", "thresh~", "thresholds", "größe_3", forms.skeleton("тварь"), "问题", "个问", "题问", "absent"}
+    assert abuse.document_frequency(documents, terms) == {"": 4, "the": 1, "threshold": 1, "thresh~": 1, "thresholds": 1, "größe_3": 1, forms.skeleton("тварь"): 1, "问题": 1, "个问": 1}
+
+
+def test_bounded_sample(spark):
+    from pagewright.llm._sample import bounded, thinned
+
+    df = spark.range(20_000).selectExpr("id % 5000 AS k", "repeat('x', 10) AS t")
+    rows = bounded(df, 300, "k")
+    assert 40 <= len(rows) <= 300 and len({r.k for r in rows}) == len(rows) and rows == bounded(df.repartition(7), 300, "k")
+    assert thinned(df, 300, 20_000, "k").count() < 1000 and len(bounded(df.limit(10), 300, "k")) == df.limit(10).distinct().count()
+    assert bounded(df.limit(0), 300, "k") == []
 
 
 # ---- all queries, on the smallest tables
@@ -394,7 +415,7 @@ def test_hopeless_sentences_have_no_near_example(spark):
 @pytest.mark.parametrize("name", sorted(queries.queries()))
 def test_queries_run(spark, name):
     frame = queries.queries()[name](spark, D)
-    assert frame.count() >= 0
+    assert frame.count() > 0
     columns = {"p1_found": "request_id item_id defect", "p2_found": "block_no", "p3_found": "tbl rec_id seg_no lang", "p4_found": "tbl id_a id_b", "p5_found": "tbl rec_id end_pos", "p7_found": "doc_id item_id", "p8_found": "doc_id category"}
     if name in columns:
         assert frame.columns == columns[name].split()

@@ -83,13 +83,34 @@ def test_labels_add_wording_that_the_lexicon_does_not_have():
     lexicon = abuse.Lexicon()
     new, near, rare = "Zorblek snarvs grimble about quondam tarns.", "You are a glorbic idjut and everybody knows it.", "Vexlor thrimps with dandle."
     known = "You are a stupid idiot and everybody knows it."
-    rows = [(f"{new} {known}", 1)] * 12 + [(f"{new} The list is long.", 0)] + [(near, 1)] * 12 + [(rare, 1)] + [("The paper describes the method. The list is long.", 0)] * 80
-    examples = abuse.labelled_examples(lexicon, rows)
-    assert {name: c for _, c, name in examples} == {new: abuse.GENERAL, near: abuse.GENERAL, known: "abusive", "The list is long.": "", "The paper describes the method.": ""}
-    frequency = {t: 1 for bag, _, _ in examples for t in bag}
-    judge = abuse.Judge(lexicon, [*abuse.rule_examples(lexicon), *examples], frequency, 100)
+    rows = [(f"{new} {known}", 1)] * 12 + [(f"{new} The list is long.", 0)] + [(near, 1)] * 12 + [(f"{rare} The list is long.", 1)] + [("The paper describes the method. The list is long.", 0)] * 80
+    found, words = abuse.gathered(lexicon, rows)
+    frequency = {"": 1000} | {t: 1 for x in found for t in x.bag}
+    idf = abuse.idf_of(found, words, frequency)
+    examples, kept = abuse.labelled_examples(lexicon, found, [label for _, label in rows], idf)
+    # of a harmful document without another harmful sentence, what no harmless document has the like of is an example
+    assert {name: c for _, c, name in examples} == {new: abuse.GENERAL, near: abuse.GENERAL, known: "abusive", rare: abuse.GENERAL, "The list is long.": "", "The paper describes the method.": ""}
+    assert [found[i].text for i in kept] == [name for _, _, name in examples]
+    judge = abuse.fitted(lexicon, rows, lambda terms: {"": 1000} | dict.fromkeys(terms, 1))
     assert judge.document(new).keys() == {abuse.GENERAL} and judge.document(new)[abuse.GENERAL][0] > 0.5
-    assert judge.document(near)["abusive"][0] > 0.5 and judge.document(rare) == {} == judge.document("The list is long.")
+    assert judge.document(near)["abusive"][0] > 0.5 and judge.document("The list is long.") == {}
+
+
+def test_a_label_against_all_others_is_no_example():
+    lexicon = abuse.Lexicon()
+    bad = "You are a stupid idiot and everybody knows it."
+    rows = [(f"{bad} Number {n} of the list.", 1) for n in range(9)] + [(bad, 0)] + [("The list is long.", 0)] * 20 + [("The list is long.", 1)]
+    found, words = abuse.gathered(lexicon, rows)
+    examples, _ = abuse.labelled_examples(lexicon, found, [label for _, label in rows], abuse.idf_of(found, words, {"": 1000}))
+    assert {name: c for _, c, name in examples} == {bad: "abusive", "The list is long.": ""}
+
+
+def test_scores_follow_the_labels():
+    scores, labels = [0.0] * 900 + [0.9] * 100, [0] * 880 + [1] * 20 + [1] * 90 + [0] * 10
+    a, b = abuse.platt(scores, labels)
+    curve = lambda s: 1 / (1 + abuse.exp(-(a * s + b)))
+    assert curve(0.0) == pytest.approx(20 / 900, abs=0.01) and curve(0.9) == pytest.approx(0.9, abs=0.02)
+    assert abuse.platt([0.1, 0.9], [0, 1]) == abuse.PLATT
 
 
 def test_chance_of_many_documents():
