@@ -70,6 +70,11 @@ _HAS_CJK = re.compile(f"[{_CJK}]")
 _CJK_RUN = re.compile(f"[{_CJK}]+")
 
 
+def tokens_of(text: str) -> list[str]:
+    """Words outside the runs of spaceless scripts, whose terms are character pairs."""
+    return _TOKEN.findall(_CJK_RUN.sub(" ", text) if _HAS_CJK.search(text) else text)
+
+
 def undisguised(text: str) -> str:
     """A text with letters set apart joined, blanks between ideographs removed, and one form of each character."""
     text = normalised(text)
@@ -169,7 +174,7 @@ class Lexicon:
     def bag(self, sentence: str) -> Counter:
         """Terms of a sentence and how often they stand in it; marks count in the language of the sentence only."""
         held, phrases = self.memo.get, self.phrases
-        rows = [held(token) or self.terms(token) for token in _TOKEN.findall(sentence)]
+        rows = [held(token) or self.terms(token) for token in tokens_of(sentence)]
         bag = Counter(chain.from_iterable([r[0] for r in rows]))
         marked = [r[1] for r in rows if r[1]]
         for k, row in enumerate(rows):
@@ -189,7 +194,6 @@ class Lexicon:
                 for kind in self.east[m[0]]:
                     bag[f"§{kind}"] += 1
             for run in _CJK_RUN.findall(sentence):
-                bag.pop(run, None)
                 bag.update(run[i : i + 2] for i in range(len(run) - 1))
         if ("§insult" in bag or "§sex" in bag) and any(self.mentions(m[1]) for m in _QUOTED.finditer(sentence)):
             bag["§mention"] += 1
@@ -200,7 +204,7 @@ class Lexicon:
 
     def mentions(self, quoted: str) -> bool:
         """Whether a quotation of a word or two is one of the words above."""
-        return bool(self.find_east.search(quoted)) or any(kind in ("insult", "sex", "threat") for token in _TOKEN.findall(quoted) for _, kind in self.terms(token)[1])
+        return bool(self.find_east.search(quoted)) or any(kind in ("insult", "sex", "threat") for token in tokens_of(quoted) for _, kind in self.terms(token)[1])
 
     def kind(self, bag: Counter) -> str | None:
         """The category that the marks of a harmful sentence speak for."""
@@ -339,7 +343,8 @@ class Judge:
 
     def may_hold(self, text: str) -> bool:
         """False only where no example that is not harmless can be near to any sentence of an undisguised text; exact."""
-        tokens = set(_TOKEN.findall(text))
+        east = _HAS_CJK.search(text) is not None
+        tokens = set(_TOKEN.findall(_CJK_RUN.sub(" ", text) if east else text))
         fresh = tokens - self.pure
         for token in fresh:
             if self._speaks(token):
@@ -352,7 +357,7 @@ class Judge:
             plain = {self.lexicon.row(token)[3] for token in tokens}
             if any(plain.issuperset(parts) for token in begun for parts in self.phrases[self.lexicon.row(token)[3]]):
                 return True
-        if _HAS_CJK.search(text):
+        if east:
             if not self.pairs.isdisjoint(map(add, text, text[1:])):
                 return True
             if self.find_east is not None and self.find_east.search(text.lower()):
@@ -429,7 +434,7 @@ def gathered(lexicon: Lexicon, rows: list[tuple[str, int]]) -> tuple[list[Labell
             key = frozenset(t for t in bag if t[0] != "§")
             if key:
                 seen.setdefault(key, Labelled(bag, sentence[:80], (set(), set()))).documents[bool(label)].add(n)
-        for token in set(_TOKEN.findall(text)):
+        for token in set(tokens_of(text)):
             for _, kind in lexicon.row(token)[1]:
                 words[f"§{kind}"].add(lexicon.row(token)[3])
         for m in lexicon.find_east.finditer(text.lower()) if _HAS_CJK.search(text) else ():
