@@ -1,4 +1,4 @@
-"""Table functions for SQL: sentences_of(text) and segment_page(page)."""
+"""Table functions for SQL: sentences_of(text). Pages are segmented by views, see layout.register_views."""
 
 from __future__ import annotations
 
@@ -23,17 +23,4 @@ def register(spark: SparkSession) -> None:
                     yield idx, begin + lead, begin + len(piece.rstrip()), piece.strip()
                 begin = end
 
-    @udtf(returnType="block_idx int, block_id string, kind string, text string")
-    class SegmentPage:
-        def eval(self, page: int, view_box: list, styles: dict, text_items: list):
-            from pagewright.operators import layout
-
-            items = [i.asDict(True) if hasattr(i, "asDict") else i for i in text_items or []]
-            fonts = {k: v.asDict(True) if hasattr(v, "asDict") else v for k, v in (styles or {}).items()}
-            for k, block in enumerate(layout.blocks_of(layout.lines_of(layout.runs_of(items, view_box, fonts)))):
-                code = 2 * sum(line.mono for line in block) > len(block)
-                text = "\n".join(layout.glyphs_of([line]).text for line in block) if code else layout.glyphs_of(block).text
-                yield k, f"p{page}-b{k + 1}", "code" if code else "text", text
-
     spark.udtf.register("sentences_of", SentencesOf)
-    spark.udtf.register("segment_page", SegmentPage)

@@ -129,4 +129,8 @@ def test_table_functions(spark):
     got = spark.sql("SELECT id, s.idx, s.start_pos, s.end_pos, s.sentence FROM texts, LATERAL sentences_of(text) s ORDER BY id, idx").collect()
     assert [tuple(r) for r in got] == [(1, 1, 0, 9, "One here."), (1, 2, 10, 20, "Two there.")]
     spark.read.parquet("/root/testdata/sf0.001/page_texts.parquet").limit(3).createOrReplaceTempView("some_pages")
-    assert spark.sql("SELECT b.* FROM some_pages p, LATERAL segment_page(p.page, p.view_box, p.styles, p.text_items) b").count() > 3
+    from pagewright.operators import layout
+
+    layout.register_views(spark.table("some_pages"))
+    assert spark.sql("SELECT b.text FROM page_blocks b JOIN page_sentences s USING (paper_id, page, block_id)").count() > 3
+    assert spark.sql("SELECT max(line_idx) FROM page_lines").first()[0] > 3
