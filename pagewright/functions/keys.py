@@ -19,8 +19,19 @@ def key_of_normalized(text: Column, model: Column, target: Column, glossary_hash
 
 
 def glossary_hash(glossary: Column) -> Column:
-    """The first 12 digits of the hash of a map of terms; the order of its entries does not matter."""
-    return F.left(F.sha1(F.to_json(F.array_sort(F.map_entries(glossary)))), F.lit(12))
+    """The first 12 digits of the hash of a map of terms; the order of its entries does not matter.
+
+    What is hashed is a JSON array of pairs of term and rendering, in the order of a dictionary: by the terms' letters
+    without case and accents, then by accents, then lower case first.
+    """
+    collated = lambda name: F.collate(name, "UNICODE")
+    ordered = F.array_sort(F.map_entries(glossary), lambda a, b: F.when(collated(a["key"]) < collated(b["key"]), -1).when(collated(a["key"]) > collated(b["key"]), 1).otherwise(0))
+    return F.left(F.sha1(F.to_json(F.transform(ordered, lambda e: F.array(e["key"], e["value"])))), F.lit(12))
+
+
+def glossary_of(terms: dict[str, str]) -> Column:
+    """A glossary as a map column."""
+    return F.create_map(*[F.lit(x) for pair in terms.items() for x in pair]).cast("map<string,string>")
 
 
 def shard(key: Column) -> Column:

@@ -14,6 +14,7 @@ import time
 import urllib.error
 import urllib.request
 from collections.abc import Callable, Iterator
+from concurrent.futures import ThreadPoolExecutor
 from dataclasses import dataclass, field
 from typing import Any, Protocol
 
@@ -23,7 +24,7 @@ from pyspark.sql import functions as F
 
 from ..functions import keys, language, patterns as P
 from ..session import cut, ship
-from . import batching, settings as S
+from . import batching, reply, settings as S
 
 
 class ApiError(Exception):
@@ -111,27 +112,6 @@ def _send(url: str, headers: dict[str, str], body: bytes, timeout: float) -> tup
         return error.code, {k.lower(): v for k, v in error.headers.items()}, error.read()
 
 
-def read_reply(content: str, expected: list[str]) -> dict[str, str]:
-    """What reply.parse does, for one reply inside a kernel."""
-    text = content.strip()
-    if text.startswith("```"):
-        text = text[7:] if text[:7].lower() == "```json" else text[3:]
-    text = text.strip().removesuffix("```")
-    try:
-        rows = json.loads(text)
-    except ValueError:
-        return {}
-    if isinstance(rows, dict):
-        rows = rows.get("translations")
-    out = {}
-    for row in rows if isinstance(rows, list) else []:
-        if isinstance(row, dict) and isinstance(row.get("id"), str) and row["id"] in expected:
-            text = row["translation"] if isinstance(row.get("translation"), str) else row.get("zh")
-            if isinstance(text, str) and text.strip():
-                out[row["id"]] = text.strip()
-    return out
-
-
 @dataclass(frozen=True)
 class Options:
     target: str = P.DEFAULT_TARGET
@@ -140,6 +120,7 @@ class Options:
     glossary: dict[str, str] = field(default_factory=dict)
     max_chars: int = batching.MAX_CHARS
     max_sentences: int = batching.MAX_SENTENCES
+    #: Calls in flight of one task; how many tasks there are is left to the plan.
     concurrency: int = 2
 
 
@@ -154,7 +135,7 @@ def _caller(client: Client, options: Options):
         chars = sum(map(len, texts)) * (batching.TOKENS_DENSE if dense else batching.TOKENS_A_CHAR)
         budget = min(batching.MAX_TOKENS, int(-(-chars // 1)) + batching.TOKENS_A_SENTENCE * len(texts) + batching.TOKENS_FIXED)
         content, usage = client.complete([{"role": "system", "content": S.system_prompt(options.glossary, options.target, source)}, {"role": "user", "content": message}], budget)
-        found = read_reply(content, ids)
+        found = reply.read(content, ids)
         return {i: found[x] for i, x in enumerate(ids) if x in found}, usage
 
     def request(row: dict) -> Iterator[dict]:
@@ -193,7 +174,8 @@ def _caller(client: Client, options: Options):
 
         schema = to_arrow_schema(answer)
         for batch in batches:
-            out = [o for row in batch.to_pylist() for o in request(row)]
+            with ThreadPoolExecutor(max(1, options.concurrency)) as calls:
+                out = [o for rows in calls.map(lambda row: list(request(row)), batch.to_pylist()) for o in rows]
             if out:
                 yield pa.RecordBatch.from_pylist(out, schema=schema)
 
@@ -214,7 +196,7 @@ def translate(sentences: DataFrame, store: DataFrame, client: Client, options: O
     text = F.col("text")
     rows = sentences.select("doc", "ord", "id", "text", "grp")
     passes = F.coalesce(language.is_already_in(text, F.lit(options.target), F.lit(options.source)), F.lit(False))
-    key = keys.cache_key(F.coalesce(text, F.lit("")), F.lit(options.model), F.lit(options.target), F.lit(S.glossary_hash(options.glossary)))
+    key = keys.cache_key(F.coalesce(text, F.lit("")), F.lit(options.model), F.lit(options.target), keys.glossary_hash(keys.glossary_of(options.glossary)))
     # both are needed twice, for what is asked and for the results: worked out once and held
     rows = cut(rows.withColumn("passes", passes).withColumn("key", F.when(~F.col("passes"), key)))
     # equal keys are asked once: the first by document and place stands for all; a partial aggregate meets hot keys early
@@ -225,7 +207,7 @@ def translate(sentences: DataFrame, store: DataFrame, client: Client, options: O
     requests = batched.groupBy("doc", "section", "batch").agg(F.sort_array(F.collect_list(F.struct("seq", "key", "text"))).alias("rows"))
     whole = F.array_join(F.transform("rows", lambda r: r["text"]), " ")
     source = F.lit(options.source) if options.source != P.AUTO else F.coalesce(language.detect_language(whole), F.lit(P.AUTO))
-    requests = requests.select("rows", source.alias("source")).repartition(options.concurrency)
+    requests = requests.select("rows", source.alias("source"))
     answers = cut(requests.mapInArrow(_caller(client, options), _ANSWER))
     known = answers.select("key", "translation", "code", "args").unionByName(held.withColumnRenamed("held", "translation"), allowMissingColumns=True)
     results = rows.join(known, "key", "left").select(

@@ -2,10 +2,13 @@
 
 from __future__ import annotations
 
+import json
+
+import regex
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from ..functions import text as T
+from ..functions import ends, patterns as P, text as T
 
 
 def unfenced(content: Column) -> Column:
@@ -14,6 +17,24 @@ def unfenced(content: Column) -> Column:
     return F.regexp_replace(F.regexp_replace(text, r"(?i)^```(?:json)?\s*", ""), r"\s*```$", "")
 
 
+def read(content: str, expected: list[str]) -> dict[str, str]:
+    """What parse() does, for one reply inside a kernel: translations by id."""
+    blank = ends.python(P.BLANK)
+    text = regex.sub(r"(?i)^```(?:json)?\s*|\s*```$", "", regex.sub(f"^[{blank}]+|[{blank}]+$", "", content))
+    try:
+        rows = json.loads(text)
+    except ValueError:
+        return {}
+    rows = rows.get("translations") if isinstance(rows, dict) else rows
+    out = {}
+    for row in rows if isinstance(rows, list) else []:
+        if isinstance(row, dict) and isinstance(row.get("id"), str) and row["id"] in expected:
+            given = next((v for v in (row.get("translation"), row.get("zh")) if isinstance(v, str)), "")
+            if given := regex.sub(f"^[{blank}]+|[{blank}]+$", "", given):
+                out[row["id"]] = given
+    return out
+
+
 def entries(content: Column) -> Column:
     """The entries of a reply, as an array of variants: of a bare array, or of its field translations. None for anything else."""
     parsed = F.try_parse_json(unfenced(content))

@@ -47,7 +47,7 @@ _BATCH_SQL = f"""
 
 
 def _batched(spark, d) -> DataFrame:
-    work = items(spark, d, "paper_id", "grp", "text").where("text is not null and paper_id is not null")
+    work = items(spark, d, "paper_id", "grp", "text").where("text is not null and paper_id is not null").distinct()
     work = work.select(F.col("paper_id").alias("doc"), F.col("item_id").alias("ord"), "grp", "text", F.length("text").cast("long").alias("n_chars"))
     batched = batching.batches(work, _BUDGET, _MOST)
     return batched.withColumn("doc", F.concat_ws("#", "doc", F.col("section").cast("string")))
@@ -118,7 +118,7 @@ _RANGE = "CASE WHEN block_no % 3 = 0 THEN 'page' WHEN block_no % 3 = 1 THEN 'nea
         SELECT b.block_no, n.n_pages, unnest(CASE {_RANGE} WHEN 'page' THEN [page] WHEN 'nearby' THEN [page, page + 1, page - 1] ELSE [] END) AS wanted FROM b JOIN n USING (paper_id))
     WHERE wanted BETWEEN 1 AND n_pages""")
 def q22_pages_in_range(spark, d):
-    rows = blocks(spark, d, "paper_id", "page")
+    rows = blocks(spark, d, "paper_id", "page").distinct()
     last = rows.groupBy("paper_id").agg(F.max("page").alias("n_pages"))
     kind = F.when(F.col("block_no") % 3 == 0, "page").when(F.col("block_no") % 3 == 1, "nearby").otherwise("manual")
     return probe.pages_in_range(rows.withColumn("rng", kind).join(last, "paper_id")).select("block_no", "wanted")
@@ -130,7 +130,7 @@ def q22_pages_in_range(spark, d):
     SELECT doc, page, min(idx) AS first_idx, min(role) AS role, count(*) AS n_blocks, CASE WHEN min(role) <> 'figure' THEN string_agg(text, chr(10) ORDER BY idx) END AS text
     FROM r GROUP BY doc, page, CASE role WHEN 'figure' THEN 'f' || run WHEN 'code' THEN 'c' || listing ELSE 'b' || idx END""")
 def q24_sections(spark, d):
-    rows = blocks(spark, d, "paper_id", "page", "block_idx", "block_role", "text").where("paper_id is not null")
+    rows = blocks(spark, d, "paper_id", "page", "block_idx", "block_role", "text").where("paper_id is not null").distinct()
     return render.sections(rows.select(F.col("paper_id").alias("doc"), "page", F.col("block_idx").alias("idx"), F.col("block_role").alias("role"), "text"))
 
 
@@ -146,38 +146,100 @@ def _fragments(spark, d) -> DataFrame:
     return layout.fragments(pages(spark, d).dropDuplicates(["paper_id", "page"]))
 
 
-@query(f"""
-    SELECT paper_id, page, arg_max(size, n * 1000000 - first_item) AS body_size FROM (
-        SELECT paper_id, page, floor(size * 2 + 0.5) / 2 AS size, sum(length(str)) AS n, min(item) AS first_item FROM {_FRAGMENTS} WHERE NOT mono AND NOT blank GROUP BY ALL)
-    GROUP BY paper_id, page""")
-def q25_dominant_size(spark, d):
-    """The size most characters of a page have, by runs."""
-    rows = _fragments(spark, d).where("not mono and not blank")
-    sizes = rows.groupBy("paper_id", "page", (F.floor(F.col("size") * 2 + 0.5) / 2).alias("size")).agg(F.sum(F.length("str")).alias("n"), F.min("item").alias("first_item"))
-    return sizes.groupBy("paper_id", "page").agg(F.max_by("size", F.struct("n", -F.col("first_item"))).alias("body_size"))
-
-
 @query(f"SELECT paper_id, page, item::BIGINT AS item, run_id, str, x, y, w, size, mono, blank FROM {_FRAGMENTS}")
 def q26_fragments(spark, d):
     return _fragments(spark, d).withColumn("item", F.col("item").cast("long"))
 
 
-@query(f"""
-    WITH RECURSIVE f AS (SELECT *, row_number() OVER (PARTITION BY paper_id, page ORDER BY item) AS i FROM {_FRAGMENTS}),
+# lines of pages; holds for pages without blank runs between lines, as these are
+_LINES = f"""
+    RECURSIVE f AS (SELECT *, row_number() OVER (PARTITION BY paper_id, page ORDER BY item) AS i FROM {_FRAGMENTS}),
     fold AS (
-        SELECT paper_id, page, i, item, str, 0::BIGINT AS line_idx, x + w AS x1, y, size, x AS x0 FROM f WHERE i = 1 AND NOT blank
+        SELECT paper_id, page, i, item, str, mono, blank, 0::BIGINT AS line_idx, x + w AS x1, y, size, x AS x0 FROM f WHERE i = 1 AND NOT blank
         UNION ALL
-        SELECT paper_id, page, i, item, str,
+        SELECT paper_id, page, i, item, str, mono, blank,
             CASE WHEN same THEN line_idx ELSE line_idx + 1 END, CASE WHEN NOT same THEN x + w WHEN blank THEN x1 ELSE greatest(x1, x + w) END,
             CASE WHEN same AND (blank OR size <= lsize * 1.15) THEN ly ELSE y END, CASE WHEN same AND (blank OR size <= lsize * 1.15) THEN lsize ELSE size END, CASE WHEN same THEN x0 ELSE x END
         FROM (SELECT f.*, o.line_idx, o.x1, o.y AS ly, o.size AS lsize, o.x0,
                 abs(f.y - o.y) <= 0.5 * greatest(o.size, f.size) AND f.x BETWEEN o.x1 - greatest(o.size, f.size) AND o.x1 + 2.5 * greatest(o.size, f.size) AS same
-            FROM fold o JOIN f ON f.paper_id = o.paper_id AND f.page = o.page AND f.i = o.i + 1))
-    SELECT paper_id, page, line_idx, min(x0) AS x0, arg_max(x1, i) AS x1, arg_max(y, i) AS y, arg_max(size, i) AS size, {O.trim_blanks("string_agg(str, '' ORDER BY i)")} AS text
-    FROM fold GROUP BY paper_id, page, line_idx""")
+            FROM fold o JOIN f ON f.paper_id = o.paper_id AND f.page = o.page AND f.i = o.i + 1)),
+    lines_ AS (
+        SELECT paper_id, page, line_idx, min(x0) AS x0, arg_max(x1, i) AS x1, arg_max(y, i) AS y, arg_max(size, i) AS size, {O.trim_blanks("string_agg(str, '' ORDER BY i)")} AS text,
+            coalesce(sum(length(str)) FILTER (mono AND NOT blank), 0) >= 0.8 * sum(length(str)) FILTER (NOT blank) AS mono
+        FROM fold GROUP BY paper_id, page, line_idx)"""
+# marks that end a sentence, with what may close after them; captions; both as the text layer is read
+_ENDS = "regexp_matches(text, {})".format(O.re2(P.TERMINAL_END))
+_FOLLOWS = "regexp_matches(text, {})".format(O.re2(f"^[\\p{{Ll}}{P.CJK}]"))
+_BLOCKS = f"""{_LINES},
+    told AS (SELECT *, {_ENDS} AS ends, {_FOLLOWS} AS follows, regexp_matches(text, {O.re2(P.CAPTION)}) AS caption FROM lines_),
+    grow AS (
+        SELECT paper_id, page, line_idx, 0::BIGINT AS b, 1::BIGINT AS n, mono AS bmono, size AS bsize, x0 AS bleft, x1 AS bright, NULL::DOUBLE AS pitch, x1, y, ends FROM told WHERE line_idx = 0
+        UNION ALL
+        SELECT paper_id, page, line_idx, CASE WHEN fits THEN b ELSE b + 1 END, CASE WHEN fits THEN n + 1 ELSE 1 END, CASE WHEN fits THEN bmono ELSE mono END, CASE WHEN fits THEN bsize ELSE size END,
+            CASE WHEN fits AND n > 1 THEN bleft ELSE x0 END, CASE WHEN fits THEN greatest(bright, x1) ELSE x1 END, CASE WHEN fits THEN coalesce(pitch, CASE WHEN down > 0 THEN down END) END, x1, y, ends
+        FROM (SELECT *, mono = bmono AND abs(size - bsize) <= 0.15 * bsize AND CASE
+                WHEN down < -0.5 * bsize OR x0 > px1 + bsize THEN NOT pends AND follows
+                ELSE down <= coalesce(pitch + 0.4 * bsize, 1.55 * bsize) AND (n = 1 OR (abs(x0 - bleft) <= 0.6 * bsize AND NOT (pends AND px1 < bright - 2.5 * bsize))) END AS fits
+            FROM (SELECT t.*, g.b, g.n, g.bmono, g.bsize, g.bleft, g.bright, g.pitch, g.x1 AS px1, g.ends AS pends, g.y - t.y AS down FROM grow g JOIN told t ON t.paper_id = g.paper_id AND t.page = g.page AND t.line_idx = g.line_idx + 1))),
+    facts AS (
+        SELECT g.paper_id, g.page, g.b, count(*) >= 2 AND NOT arg_min(t.mono, t.line_idx) AS body, arg_min(t.size, t.line_idx) AS first, arg_max(t.size, t.line_idx) AS last, max(t.x1 - t.x0) AS width,
+            NOT arg_max(t.ends, t.line_idx) AS open, arg_min(t.follows, t.line_idx) AS follows, arg_min(t.caption, t.line_idx) AS caption
+        FROM grow g JOIN told t ON t.paper_id = g.paper_id AND t.page = g.page AND t.line_idx = g.line_idx GROUP BY ALL),
+    listed AS (SELECT paper_id, page, list({{'b': b, 'body': body, 'first': first, 'width': width, 'follows': follows, 'caption': caption}} ORDER BY b) AS all_ FROM facts GROUP BY ALL),
+    rejoin AS (
+        SELECT paper_id, page, -1::BIGINT AS b, []::BIGINT[] AS heads, []::BIGINT[] AS tails FROM listed
+        UNION ALL
+        SELECT paper_id, page, b, CASE WHEN apt THEN list_append(heads, b) ELSE heads END, CASE WHEN apt THEN list_append(tails, tail.b) ELSE tails END FROM (
+            SELECT *, body AND open AND NOT list_contains(tails, b) AND coalesce(tail.follows, false) AS apt FROM (
+                SELECT f.*, r.heads, r.tails, list_filter(list_filter(l.all_, lambda x: x.b > f.b AND NOT list_contains(r.tails, x.b))[1:30],
+                    lambda x: x.body AND abs(x.first - f.last) <= 0.15 * f.last AND x.width >= 0.7 * f.width AND NOT x.caption)[1] AS tail
+                FROM rejoin r JOIN facts f ON f.paper_id = r.paper_id AND f.page = r.page AND f.b = r.b + 1 JOIN listed l ON l.paper_id = r.paper_id AND l.page = r.page))),
+    ended AS (SELECT paper_id, page, arg_max(heads, b) AS heads, arg_max(tails, b) AS tails FROM rejoin GROUP BY ALL),
+    placed AS (
+        SELECT f.paper_id, f.page, f.b, CASE WHEN list_contains(tails, f.b) THEN heads[list_position(tails, f.b)] ELSE f.b END AS owner FROM facts f JOIN ended e ON e.paper_id = f.paper_id AND e.page = f.page),
+    numbered AS (SELECT *, dense_rank() OVER (PARTITION BY paper_id, page ORDER BY owner) - 1 AS block_idx FROM placed)"""
+
+
+@query(f"""
+    WITH {_LINES} SELECT paper_id, page, coalesce(nullif(arg_max(half, (n, -first_line)), 0), 10)::DOUBLE AS body_size FROM (
+        SELECT paper_id, page, floor(size * 2 + 0.5) / 2 AS half, sum(length(text)) AS n, min(line_idx) AS first_line FROM lines_ WHERE NOT mono GROUP BY ALL) GROUP BY paper_id, page
+    UNION ALL SELECT paper_id, page, 10 FROM lines_ GROUP BY ALL HAVING bool_and(mono)""")
+def q25_dominant_size(spark, d):
+    """The size most characters of a page have, by its lines without code."""
+    return layout.body_sizes(pages(spark, d))
+
+
+@query(f"WITH {_LINES} SELECT paper_id, page, line_idx, x0, x1, y, size, mono, text FROM lines_")
 def q27_group_lines(spark, d):
-    """Lines of pages; the SQL holds for pages without blank runs between lines, as these are."""
-    return layout.lines(pages(spark, d)).select("paper_id", "page", F.col("line_idx").cast("long").alias("line_idx"), "x0", "x1", "y", "size", "text")
+    return layout.lines(pages(spark, d)).select("paper_id", "page", F.col("line_idx").cast("long").alias("line_idx"), "x0", "x1", "y", "size", "mono", "text")
+
+
+@query(f"""
+    WITH {_BLOCKS} SELECT g.paper_id, g.page, g.line_idx, n.block_idx FROM grow g JOIN numbered n ON n.paper_id = g.paper_id AND n.page = g.page AND n.b = g.b""")
+def q28_block_of_line(spark, d):
+    """The block of each line, with the paragraphs that floats interrupt made whole (q29)."""
+    return layout.lines(pages(spark, d)).select("paper_id", "page", F.col("line_idx").cast("long").alias("line_idx"), F.col("block_idx").cast("long").alias("block_idx"))
+
+
+_PAGE_TOTALS = f"""
+    WITH {_BLOCKS}, body AS (SELECT paper_id, page, arg_max(half, (n, -first_line)) AS body FROM (
+        SELECT paper_id, page, floor(size * 2 + 0.5) / 2 AS half, sum(length(text)) AS n, min(line_idx) AS first_line FROM lines_ WHERE NOT mono GROUP BY ALL) GROUP BY paper_id, page),
+    whole AS (
+        SELECT n.paper_id, n.page, n.block_idx, count(*) AS n_lines, arg_min(t.size, (n.b <> n.owner, t.line_idx)) AS size, 2 * count_if(t.mono) > count(*) AS code, arg_min(t.text, (n.b <> n.owner, t.line_idx)) AS head
+        FROM grow g JOIN numbered n ON n.paper_id = g.paper_id AND n.page = g.page AND n.b = g.b JOIN told t ON t.paper_id = g.paper_id AND t.page = g.page AND t.line_idx = g.line_idx GROUP BY ALL)
+    SELECT w.paper_id, w.page, w.block_idx, w.n_lines, CASE WHEN code THEN 'code' WHEN regexp_matches(head, {O.re2(P.CAPTION)}) THEN 'caption'
+        WHEN size < 0.88 * body AND (length(head) <= 60 OR size < 0.7 * body) THEN 'figure'
+        WHEN length(head) <= 90 AND NOT regexp_matches(head, {O.re2(P.HEADING_END)}) AND regexp_matches(head, {O.re2(P.HEADING_START)}) THEN 'heading'
+        WHEN regexp_matches(head, {O.re2(P.LIST_MARKER)}) THEN 'list' WHEN size < 0.88 * body THEN 'note' ELSE 'paragraph' END AS role,
+        CASE WHEN size >= 1.35 * body THEN 1 WHEN size > 1.15 * body THEN 2 ELSE 3 END AS level_if_heading
+    FROM whole w JOIN body USING (paper_id, page) WHERE n_lines = 1"""
+
+
+@query(f"SELECT paper_id, page, block_idx, role, CASE WHEN role = 'heading' THEN level_if_heading END::INTEGER AS level FROM ({_PAGE_TOTALS})")
+def q30_roles_of_single_lines(spark, d):
+    """Roles and levels of the blocks of one line, whose text SQL has as it stands."""
+    rows = layout.blocks(pages(spark, d)).where("n_lines = 1")
+    return rows.select("paper_id", "page", F.col("block_idx").cast("long").alias("block_idx"), "role", "level")
 
 
 @query()
@@ -239,7 +301,7 @@ def q32_page_at(spark, d):
     own = table(spark, d, "page_texts", "paper_id", "page").distinct()
     top = (F.col("page") - 1) * F.lit(850.0)
     places = own.select(F.col("paper_id").alias("doc"), "page", top.alias("top"), (top + 842).alias("bottom"))
-    points = items(spark, d, "paper_id").select(F.col("item_id").alias("point_id"), F.col("paper_id").alias("doc"), (F.col("item_id") % 700 * F.lit(50.0)).alias("py"))
+    points = items(spark, d, "paper_id").distinct().select(F.col("item_id").alias("point_id"), F.col("paper_id").alias("doc"), (F.col("item_id") % 700 * F.lit(50.0)).alias("py"))
     return probe.page_at(points, places)
 
 
@@ -261,9 +323,9 @@ _ALREADY = O.detect(ITEMS, "item_id", "text")
     FROM k LEFT JOIN f ON f.key = k.key""")
 def q34_translate(spark, d):
     """All items through the pipeline, with a client that answers T(text) and leaves out texts with one word."""
-    rows = items(spark, d, "text").where("text is not null").select(F.lit("all").alias("doc"), F.col("item_id").alias("ord"), F.col("item_id").alias("id"), "text", F.lit(None).cast("string").alias("grp"))
+    rows = items(spark, d, "text").where("text is not null").distinct().select(F.lit("all").alias("doc"), F.col("item_id").alias("ord"), F.col("item_id").alias("id"), "text", F.lit(None).cast("string").alias("grp"))
     store = spark.createDataFrame([], "key string, translation string")
-    results, _ = enrich.translate(rows, store, enrich.EchoClient(fails=_fails), enrich.Options(target="en", concurrency=spark.sparkContext.defaultParallelism))
+    results, _ = enrich.translate(rows, store, enrich.EchoClient(fails=_fails), enrich.Options(target="en"))
     return results.select(F.col("id").alias("item_id"), "translation", "cache_key", "code")
 
 
@@ -275,7 +337,7 @@ _SPACED = "CASE WHEN regexp_matches(right(text, 1), " + O.re2(f"^[{P.CJK}]") + "
     SELECT doc, grp, string_agg(coalesce(translation, {_SPACED}), '' ORDER BY item_id) AS target_text, string_agg({_SPACED}, '' ORDER BY item_id) AS source_text
     FROM (SELECT DISTINCT item_id, paper_id AS doc, page || '/' || grp AS grp, text FROM work_items WHERE grp IS NOT NULL AND paper_id IS NOT NULL AND text IS NOT NULL) LEFT JOIN {_SHOWN} USING (item_id) GROUP BY doc, grp""")
 def q35_render_paragraphs(spark, d):
-    rows = items(spark, d, "paper_id", "page", "grp", "text").where("grp is not null and paper_id is not null and text is not null")
+    rows = items(spark, d, "paper_id", "page", "grp", "text").where("grp is not null and paper_id is not null and text is not null").distinct()
     rows = rows.select(F.col("paper_id").alias("doc"), F.concat_ws("/", F.col("page").cast("string"), "grp").alias("grp"), F.col("item_id").alias("ord"), F.col("item_id").alias("id"), "text")
     wanted = table(spark, d, "requests", "request_id", "target_language").where(F.lower("target_language") == "zh-cn").select("request_id")
     replies = table(spark, d, "translated_items", "request_id", "item_id", "translation").where(T.trim_blanks(F.col("translation")) != "")
@@ -400,10 +462,10 @@ def q47_progress(spark, d):
 @query("""
     SELECT code, row_number() OVER (ORDER BY n DESC NULLS LAST, ord) AS place FROM (
         SELECT unnest(['zh-CN', 'zh-TW', 'en', 'ja', 'ko', 'fr', 'de', 'es', 'pt', 'ru', 'it']) AS code, unnest(range(11)) AS ord)
-    LEFT JOIN (SELECT target_language AS code, count(*) AS n FROM requests GROUP BY 1 HAVING count(*) > 20) USING (code)""")
+    LEFT JOIN (SELECT target_language AS code, count(*) AS n FROM requests GROUP BY 1) USING (code)""")
 def q48_suggested_first(spark, d):
     """Languages as they would be offered: those asked for most first."""
-    asked = table(spark, d, "requests", "target_language").groupBy(F.col("target_language").alias("code")).count().where("count > 20")
+    asked = table(spark, d, "requests", "target_language").groupBy(F.col("target_language").alias("code")).count()
     ordered = settings.suggested_first(language.languages(spark), asked.select("code", (-F.col("count")).alias("rank")))
     return ordered.select("code", F.col("place").cast("long").alias("place"))
 

@@ -6,7 +6,8 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from ..functions import keys, language, patterns as P, sentences as S, text as T
-from ..session import partitions
+from ..operators import cache
+from ..session import spread
 from ..sources.tables import table
 from . import oracle as O
 
@@ -22,13 +23,18 @@ def query(sql: str | None = None):
 
 
 def blocks(spark: SparkSession, d: str, *columns: str) -> DataFrame:
-    """Blocks, each once, whatever copies there are; one shuffle by key, which what follows runs on."""
-    return table(spark, d, "blocks", "block_no", *columns).repartition(partitions(spark), "block_no").distinct()
+    """Rows of blocks as they stand, copies too: see once()."""
+    return spread(table(spark, d, "blocks", "block_no", *columns))
 
 
 def items(spark: SparkSession, d: str, *columns: str) -> DataFrame:
-    """Work items, each once."""
-    return table(spark, d, "work_items", "item_id", *columns).repartition(partitions(spark), "item_id").distinct()
+    """Rows of work items as they stand, copies too."""
+    return spread(table(spark, d, "work_items", "item_id", *columns))
+
+
+def once(rows: DataFrame, *columns) -> DataFrame:
+    """Columns of rows(text, ...), copies of a row once. What is worked out of a text moves, and its hash, not the text."""
+    return rows.where("text is not null").select(*columns, F.xxhash64("text").alias("_text")).distinct().drop("_text")
 
 
 BLOCKS = "(SELECT DISTINCT block_no, text FROM blocks WHERE text IS NOT NULL)"
@@ -52,7 +58,7 @@ def q02_explode_blocks(spark, d):
 
 @query(f"SELECT item_id, {O.normalize('text')} AS normalized FROM {ITEMS}")
 def q03_normalize_source(spark, d):
-    return items(spark, d, "text").where("text is not null").select("item_id", T.normalize_source(F.col("text")).alias("normalized"))
+    return once(items(spark, d, "text"), "item_id", T.normalize_source(F.col("text")).alias("normalized"))
 
 
 _KEY_SQL = f"sha1({O.normalize('text')} || chr(0) || model || chr(0) || target || chr(0) || '{P.PROMPT_VERSION}' || chr(0) || '97d170e1550e')"
@@ -61,8 +67,7 @@ NO_GLOSSARY = "97d170e1550e"
 
 
 def keyed(spark, d, model: str = "m1", target: str = "zh-CN") -> DataFrame:
-    rows = items(spark, d, "text", "paper_id").where("text is not null")
-    return rows.withColumn("key", keys.cache_key(F.col("text"), F.lit(model), F.lit(target), F.lit(NO_GLOSSARY)))
+    return once(items(spark, d, "text", "paper_id"), "item_id", "paper_id", keys.cache_key(F.col("text"), F.lit(model), F.lit(target), F.lit(NO_GLOSSARY)).alias("key"))
 
 
 KEYED = f"(SELECT *, {_KEY_SQL} AS key FROM (SELECT DISTINCT item_id, text, paper_id, 'm1' AS model, 'zh-CN' AS target FROM work_items WHERE text IS NOT NULL))"
@@ -89,12 +94,17 @@ def stored(spark, d) -> DataFrame:
 
 @query(f"""
     SELECT r.request_id, count(*) AS n_keys, count(c.key) AS n_hits
-    FROM (SELECT DISTINCT request_id, cache_key AS key FROM translated_items WHERE cache_key <> '') r
-    LEFT JOIN (SELECT key FROM {_CACHE_SQL} WHERE left(key, 1) IN ('0', '2', '4', '6', '8', 'a', 'c', 'e')) c ON c.key = r.key GROUP BY r.request_id""")
+    FROM (SELECT DISTINCT r.request_id, sha1({O.normalize('w.text')} || chr(0) || r.model || chr(0) || r.target || chr(0) || '1' || chr(0) || '97d170e1550e') AS key
+        FROM (SELECT request_id, model, target_language AS target, unnest(item_ids) AS item_id FROM requests) r JOIN {ITEMS} w ON w.item_id = r.item_id) r
+    LEFT JOIN {_CACHE_SQL} c ON c.key = r.key GROUP BY r.request_id""")
 def q06_cache_hit_miss(spark, d):
-    asked = table(spark, d, "translated_items", "request_id", "cache_key").where("cache_key <> ''").distinct().withColumnRenamed("cache_key", "key")
-    held = stored(spark, d).where(F.left("key", F.lit(1)).isin(list("02468ace"))).select("key", F.lit(1).alias("hit"))
-    return asked.join(held, "key", "left").groupBy("request_id").agg(F.count("*").alias("n_keys"), F.count("hit").alias("n_hits"))
+    """For each request the keys of its items, and how many of them the whole store of earlier replies holds."""
+    asked = table(spark, d, "requests", "request_id", "model", "target_language", "item_ids").select("request_id", "model", "target_language", F.explode("item_ids").alias("item_id"))
+    text = once(items(spark, d, "text"), "item_id", T.normalize_source(F.col("text")).alias("normalized"))
+    rows = asked.join(text, "item_id").select("request_id", keys.key_of_normalized(F.col("normalized"), F.col("model"), F.col("target_language"), F.lit(NO_GLOSSARY)).alias("key")).distinct()
+    hits, misses = cache.split(rows, stored(spark, d))
+    counted = hits.select("request_id", F.lit(1).alias("hit")).unionByName(misses.select("request_id", F.lit(0).alias("hit")))
+    return counted.groupBy("request_id").agg(F.count("*").alias("n_keys"), F.sum("hit").alias("n_hits"))
 
 
 @query(f"SELECT DISTINCT t.item_id, c.translation FROM translated_items t JOIN {_CACHE_SQL} c ON c.key = t.cache_key")
@@ -111,35 +121,35 @@ def q08_shard_histogram(spark, d):
 @query("SELECT block_no, " + ", ".join(f"coalesce({O.script_count('text', s)} / nullif(" + " + ".join(O.script_count("text", x) for x in P.SCRIPTS) + f", 0), 0)::DOUBLE AS {s}" for s in P.SCRIPTS) + f" FROM {BLOCKS}")
 def q09_script_shares(spark, d):
     shares = language.script_shares(F.col("text"))
-    return blocks(spark, d, "text").where("text is not null").select("block_no", *[c.alias(n) for n, c in shares.items()])
+    return once(blocks(spark, d, "text"), "block_no", *[c.alias(n) for n, c in shares.items()])
 
 
 @query("SELECT block_no, " + ", ".join(f"{O.stop_hits('text', c)}::BIGINT AS {c}" for c in P.STOP_WORDS) + f" FROM {BLOCKS}")
 def q10_stop_word_hits(spark, d):
-    return blocks(spark, d, "text").where("text is not null").select("block_no", language.stop_word_hits(F.col("text")).alias("hits")).select("block_no", *[F.col(f"hits.{c}").cast("long").alias(c) for c in P.STOP_WORDS])
+    return once(blocks(spark, d, "text"), "block_no", language.stop_word_hits(F.col("text")).alias("hits")).select("block_no", *[F.col(f"hits.{c}").cast("long").alias(c) for c in P.STOP_WORDS])
 
 
 @query(O.detect("(SELECT DISTINCT item_id, text FROM work_items WHERE text IS NOT NULL)", "item_id", "text"))
 def q11_detect_language(spark, d):
-    return items(spark, d, "text").where("text is not null").select("item_id", language.detect_language(F.col("text")).alias("lang"))
+    return once(items(spark, d, "text"), "item_id", language.detect_language(F.col("text")).alias("lang"))
 
 
 @query("""
     SELECT target, count(*) AS n, count_if(lang = target) AS n_passed, count_if(lang = target) >= 3 AND 2 * count_if(lang = target) >= count(*) AS mostly
-    FROM (""" + O.detect("(SELECT DISTINCT item_id, text FROM work_items WHERE text IS NOT NULL)", "item_id", "text") + """) CROSS JOIN (SELECT unnest(['en', 'de', 'zh-CN', 'zh-TW', 'ja']) AS target)
+    FROM (""" + O.detect("(SELECT DISTINCT item_id, text FROM work_items WHERE text IS NOT NULL)", "item_id", "text") + """) CROSS JOIN (SELECT unnest(['zh-CN', 'zh-TW', 'en', 'ja', 'ko', 'fr', 'de', 'es', 'pt', 'ru', 'it']) AS target)
     GROUP BY target""")
 def q12_pass_through(spark, d):
-    """How much of the work is already in each of five target languages."""
-    rows = items(spark, d, "text").where("text is not null").select(language.detect_language(F.col("text")).alias("lang"))
+    """How much of the work is already in each of the target languages."""
+    rows = once(items(spark, d, "text"), "item_id", language.detect_language(F.col("text")).alias("lang"))
     rows = rows.groupBy("lang").count()  # twelve rows at most, before targets multiply them
-    targets = F.explode(F.array(*[F.lit(x) for x in ("en", "de", "zh-CN", "zh-TW", "ja")])).alias("target")
+    targets = F.explode(F.array(*[F.lit(row[0]) for row in P.LANGUAGES])).alias("target")
     passed = F.sum(F.when(F.col("lang") == F.col("target"), F.col("count")).otherwise(0))
     return rows.select("lang", "count", targets).groupBy("target").agg(F.sum("count").alias("n"), passed.alias("n_passed"), ((passed >= 3) & (2 * passed >= F.sum("count"))).alias("mostly"))
 
 
 @query(f"SELECT block_no, regexp_matches(regexp_replace(text, {O.re2(f'[{P.BLANK}]+$')}, ''), {O.re2(P.TERMINAL_END)}) AS terminal FROM {BLOCKS}")
 def q13_ends_with_terminal(spark, d):
-    return blocks(spark, d, "text").where("text is not null").select("block_no", T.ends_with_terminal(F.col("text")).alias("terminal"))
+    return once(blocks(spark, d, "text"), "block_no", T.ends_with_terminal(F.col("text")).alias("terminal"))
 
 
 _GARBLED_CLASS = f"[\\p{{L}}{P.BLANK}]"
@@ -147,18 +157,18 @@ _GARBLED_CLASS = f"[\\p{{L}}{P.BLANK}]"
 
 @query(f"SELECT item_id, regexp_matches(text, '\\p{{L}}') AS letters, {O.count('text', _GARBLED_CLASS)} < 0.5 * length(text) AS garbled FROM {ITEMS}")
 def q14_garbled(spark, d):
-    return items(spark, d, "text").where("text is not null").select("item_id", T.has_letter(F.col("text")).alias("letters"), T.is_garbled(F.col("text")).alias("garbled"))
+    return once(items(spark, d, "text"), "item_id", T.has_letter(F.col("text")).alias("letters"), T.is_garbled(F.col("text")).alias("garbled"))
 
 
 @query(f"SELECT block_no, regexp_matches(text, {O.re2(P.CAPTION)}) AS caption, regexp_matches(text, {O.re2(P.SECTION_NUMBER)}) AS section, regexp_matches(text, {O.re2(P.LIST_MARKER)}) AS list FROM {BLOCKS}")
 def q15_layout_flags(spark, d):
     text = F.col("text")
-    return blocks(spark, d, "text").where("text is not null").select("block_no", T.is_caption(text).alias("caption"), T.has_section_number(text).alias("section"), T.is_list_item(text).alias("list"))
+    return once(blocks(spark, d, "text"), "block_no", T.is_caption(text).alias("caption"), T.has_section_number(text).alias("section"), T.is_list_item(text).alias("list"))
 
 
 def _sentences(spark, d) -> DataFrame:
-    rows = blocks(spark, d, "text").where("text is not null")
-    rows = rows.select("block_no", F.posexplode(S.split_sentences(F.col("text"))).alias("pos", "sentence"))
+    rows = once(blocks(spark, d, "text"), "block_no", S.split_sentences(F.col("text")).alias("sentences"))
+    rows = rows.select("block_no", F.posexplode_outer("sentences").alias("pos", "sentence"))
     return rows.where(S.is_sentence(F.col("sentence"))).select("block_no", (F.col("pos").cast("long") + 1).alias("idx"), "sentence")
 
 
@@ -215,3 +225,16 @@ def q37_format_message(spark, d):
     rows = table(spark, d, "translated_items", "request_id", "item_id", "paper_id").distinct()
     args = F.array(F.col("item_id").cast("string"), F.col("request_id").cast("string"), F.col("paper_id"))
     return rows.select("request_id", "item_id", T.format_message(F.lit("Item {0} of request {1} in {2}, {3}"), args).alias("message"))
+
+
+_SWAPPED = "translate(term, 'abcdefghijklmnopqrstuvwxyzABCDEFGHIJKLMNOPQRSTUVWXYZ', 'ABCDEFGHIJKLMNOPQRSTUVWXYZabcdefghijklmnopqrstuvwxyz')"
+
+
+@query(f"""
+    SELECT source, left(sha1('[' || string_agg('["' || term || '","' || rendering || '"]', ',' ORDER BY lower(term), {_SWAPPED}) || ']'), 12) AS hash FROM (
+        SELECT source, lang AS term, count(*)::VARCHAR AS rendering FROM documents WHERE regexp_matches(lang, '^[A-Za-z]+$') GROUP BY ALL) GROUP BY source""")
+def q51_glossary_hash(spark, d):
+    """Hashes of glossaries made of the labels of each source; of labels in letters only, whose order SQL can state."""
+    rows = table(spark, d, "documents", "source", "lang").where("lang rlike '^[A-Za-z]+$'").groupBy("source", "lang").count()
+    glossaries = rows.groupBy("source").agg(F.map_from_entries(F.collect_list(F.struct("lang", F.col("count").cast("string")))).alias("g"))  # labels, not rows
+    return glossaries.select("source", keys.glossary_hash(F.col("g")).alias("hash"))

@@ -97,7 +97,7 @@ def test_parse_replies(spark):
     frame = spark.createDataFrame([(n, c, ["s1", "s2"]) for n, c in REPLIES], "reply_id int, content string, expected array<string>")
     got = {(r.reply_id, r.id): r.translation for r in reply.parse(frame).collect()}
     assert got == {(1, "s1"): "a", (2, "s1"): "b", (6, "s2"): "new"}
-    assert got == {(n, i): t for n, c in REPLIES if c for i, t in enrich.read_reply(c, ["s1", "s2"]).items()}
+    assert got == {(n, i): t for n, c in REPLIES if c for i, t in reply.read(c, ["s1", "s2"]).items()}
     assert {(r.reply_id, r.id) for r in reply.missing(frame).collect()} == {(n, s) for n, _ in REPLIES for s in ("s1", "s2")} - set(got)
 
 
@@ -124,10 +124,10 @@ def test_settings():
     assert (bad.temperature, bad.max_chars_per_request, bad.translate_range, bad.extra_body, bad.base_url) == (2, 3000, "nearby", {}, "https://api.deepseek.com")
     assert bad.glossary == {"b": "jb", "c": "jc"} and bad.target_language == "ja" and not bad.target_language_is_auto
     assert "from Simplified Chinese (简体中文) into English" in settings.system_prompt({}, "en", "zh-CN")
-    assert "from its source language into English" in settings.system_prompt({}, "en")
+    assert "from the language it is written in into English" in settings.system_prompt({}, "en")
     with pytest.raises(ValueError, match="Unsupported"):
         settings.system_prompt({}, "en", "tlh")
-    assert settings.system_prompt({"b": "2", "a": "1"}, "en").endswith("- a → 1\n- b → 2")
+    assert settings.system_prompt({"b": "2", "a": "1"}, "en").endswith("a = 1\nb = 2")
 
 
 def test_stats_and_missing_key(spark):

@@ -115,7 +115,7 @@ def test_small_operators(spark):
     rows = spark.createDataFrame([("https://h/d/x", "https://h/d/i.html"), ("https://h/e", "https://h/d/i.html"), ("nonsense", "https://h/d/"), (None, "https://h/d/")], "u string, b string")
     assert [r.v for r in rows.select(is_inside(F.col("u"), F.col("b")).alias("v")).collect()] == [True, False, False, False]
     codes = spark.createDataFrame([("noApiKey", []), ("http", ["500", "x"]), ("unknown", ["1"])], "code string, args array<string>")
-    assert [r.v for r in codes.select(settings.error_message(F.col("code"), F.col("args"), F.lit("?")).alias("v")).collect()] == ["The API key is not set.", "The translation API returned error 500: x", "?"]
+    assert [r.v for r in codes.select(settings.error_message(F.col("code"), F.col("args"), F.lit("?")).alias("v")).collect()] == ["There is no key for the service.", "The service replied with status 500: x", "?"]
     assert spark.range(1).select(settings.target_unset(F.lit(None), F.lit(None)).alias("v")).first().v is True
     urls = spark.createDataFrame([("http://localhost:1/v1",), ("https://x.org",), ("no address",)], "u string")
     assert [r.v for r in urls.select(settings.needs_api_key(F.col("u")).alias("v")).collect()] == [False, True, True]
