@@ -11,6 +11,7 @@ from pyspark.sql import functions as F
 
 from ..functions import keys, text as T
 from ..schemas import CACHE
+from ..session import cut
 
 
 def read(spark: SparkSession, path: str) -> DataFrame:
@@ -42,10 +43,9 @@ def upsert(new: DataFrame, path: str) -> None:
     held = read(spark, path)
     touched = new.select(keys.shard(F.col("key")).alias("shard")).distinct()  # 256 at most
     shards = [r.shard for r in touched.collect()]
-    rows = merged(held.where(F.col("shard").isin(shards)), new).persist()
-    rows.count()  # what is read must be held before its place is written
+    # what is read must be held before its place is written: on shared storage, so that a lost executor loses nothing
+    rows = cut(merged(held.where(F.col("shard").isin(shards)), new))
     rows.repartition("shard").write.mode("overwrite").option("partitionOverwriteMode", "dynamic").partitionBy("shard").parquet(path)
-    rows.unpersist()
 
 
 def clear(spark: SparkSession, path: str) -> None:

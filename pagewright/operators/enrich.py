@@ -19,12 +19,12 @@ from dataclasses import dataclass, field
 from typing import Any, Protocol
 
 import pyarrow as pa
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from ..functions import keys, language, patterns as P
 from ..session import cut, ship
-from . import batching, reply, settings as S
+from . import batching, cache, reply, settings as S
 
 
 class ApiError(Exception):
@@ -229,3 +229,41 @@ def stats(answers: DataFrame, results: DataFrame) -> DataFrame:
     calls = answers.agg(F.coalesce(F.sum("api_calls"), F.lit(0)).alias("api_calls"), F.count("translation").alias("translated"), F.count("code").alias("failed"), F.coalesce(F.sum("prompt_tokens"), F.lit(0)).alias("prompt_tokens"), F.coalesce(F.sum("completion_tokens"), F.lit(0)).alias("completion_tokens"))
     outcome = results.agg(F.count_if(F.col("cache_key") == "").alias("passed"), F.count_if(F.col("code").isNull()).alias("done"))
     return calls.join(outcome, F.lit(True))  # one row each
+
+
+class Service:
+    """Enrichment as settings have it: client, options and store made of them, and made anew when they change."""
+
+    def __init__(self, spark: SparkSession, settings: S.Settings, store: str, api_key: str = "", client: Client | None = None, on_change: Callable[[], None] | None = None):
+        self.spark, self.store, self.api_key, self.given, self.on_change = spark, store, api_key, client, on_change
+        self.configure(settings)
+
+    def configure(self, settings: S.Settings) -> None:
+        self.settings = settings
+        self.options = Options(target=settings.target_language, source=settings.source_language, model=settings.model, glossary=settings.glossary, max_chars=int(settings.max_chars_per_request))
+        self.client = self.given or HttpClient(settings.base_url, settings.model, self.api_key, settings.temperature, settings.request_timeout_ms / 1000, settings.extra_body)
+
+    def changed(self, settings: S.Settings, api_key: str | None = None) -> None:
+        """Settings or key have changed: what was made of them is dropped, then those who show results are told."""
+        self.api_key = self.api_key if api_key is None else api_key
+        self.configure(settings)
+        if self.on_change is not None:
+            self.on_change()
+
+    def ready(self) -> bool:
+        """Whether a call can be made: a key is there, or the address needs none."""
+        address = self.spark.createDataFrame([(self.settings.base_url,)], "u string")
+        return bool(self.given or self.api_key) or not address.select(S.needs_api_key(F.col("u")).alias("v")).first().v
+
+    def translate(self, sentences: DataFrame) -> DataFrame:
+        """Results of translate(), whose new entries are in the store when it returns."""
+        if not self.ready():
+            return without_key(sentences)
+        results, answers = translate(sentences, cache.read(self.spark, self.store), self.client, self.options)
+        results = cut(results)  # the store it was joined with is about to change
+        self.flush(answers)
+        return results
+
+    def flush(self, answers: DataFrame) -> None:
+        """Hand answers over to the store."""
+        cache.upsert(answers.where("translation is not null").select("key", "translation", F.current_timestamp().alias("t")), self.store)

@@ -75,3 +75,31 @@ def sentence_top(rects: Column) -> Column:
 def sample(rows: DataFrame, key: str, n: int) -> DataFrame:
     """n rows, the same for the same rows wherever they stand: those whose key comes first by hash."""
     return rows.orderBy(F.sha1(F.col(key).cast("string")), key).limit(n)
+
+
+def block_of(picked: DataFrame, sentences: DataFrame) -> DataFrame:
+    """The sentences(doc, block_id, id, ...) of the blocks that picked(doc, id) stand in, each once."""
+    blocks = sentences.select("doc", "block_id", "id").join(picked.select("doc", "id").distinct(), ["doc", "id"]).select("doc", "block_id").distinct()
+    return sentences.join(blocks, ["doc", "block_id"], "left_semi")
+
+
+def kept_page(page: Column, n_pages: Column) -> Column:
+    """The page to stay on after a document was read anew: the same one, or the last; 1 where there is none."""
+    return F.greatest(F.lit(1), F.least(F.coalesce(page, F.lit(1)), n_pages))
+
+
+# Fixed value: the part of the height of a view at which the reading position is taken.
+ANCHOR = 0.3
+
+
+def reading_position(views: DataFrame, places: DataFrame, lines: DataFrame, blocks: DataFrame) -> DataFrame:
+    """(view_id, page, id, fraction): for views(view_id, doc, top, height) the page at the anchor, the block of the line
+    nearest to it there, and how far down in the block that is. places(doc, page, top, bottom) are pages in the height of
+    the document, measured downwards; lines(doc, page, id, ord, line, x, y, w, h) are measured upwards in their page."""
+    at = F.col("top") + ANCHOR * F.col("height")
+    points = views.select(F.col("view_id").alias("point_id"), "doc", at.alias("py"))
+    pages = page_at(points, places)
+    held = points.join(pages, "point_id").join(places.select("doc", "page", "bottom"), ["doc", "page"])
+    probes = held.select(F.col("point_id").alias("probe_id"), "doc", "page", F.lit(0.0).alias("px"), (F.col("bottom") - F.col("py")).alias("py"))
+    found = reading_fraction(line_at(probes, lines, use_x=False), blocks)
+    return found.join(pages, found["probe_id"] == pages["point_id"]).select(F.col("probe_id").alias("view_id"), "page", "id", "fraction")

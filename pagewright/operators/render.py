@@ -36,3 +36,8 @@ def sections(blocks: DataFrame) -> DataFrame:
     grouped = rows.withColumn("part", part).groupBy("doc", "page", "part").agg(F.min("idx").alias("first_idx"), F.min("role").alias("role"), F.count("*").alias("n_blocks"), F.sort_array(F.collect_list(F.struct("idx", "text"))).alias("t"))
     text = F.when(F.col("role") != "figure", F.array_join(F.transform("t", lambda t: t["text"]), "\n"))
     return grouped.select("doc", "page", "first_idx", "role", "n_blocks", text.alias("text"))
+
+
+def in_order(shown: DataFrame) -> DataFrame:
+    """Sections or paragraphs in the order they are read: by document, page and place, whenever they came."""
+    return shown.orderBy("doc", "page", "first_idx")

@@ -10,7 +10,7 @@ from ..functions import language, patterns as P, text as T
 from ..operators import batching, enrich, layout, probe, render, reply, settings
 from ..sources import pages as page_source
 from ..sources.tables import table
-from ..streaming import states
+from ..streaming import jobs, states
 from . import oracle as O
 from .text_queries import ITEMS, blocks, items
 
@@ -414,19 +414,21 @@ def q43_languages(spark, d):
 
 
 @query("""
-    SELECT request_id, CASE request_id % 3 WHEN 0 THEN true WHEN 1 THEN false ELSE len(item_ids) > 0 AND paper_id IS NOT NULL END AS valid FROM requests""")
+    SELECT request_id, CASE request_id % 5 WHEN 0 THEN true WHEN 1 THEN false WHEN 2 THEN len(item_ids) > 0 AND paper_id IS NOT NULL WHEN 3 THEN false ELSE len(item_ids) > 0 AND paper_id IS NOT NULL END AS valid, request_id % 5 = 3 AND model IS NOT NULL AS link FROM requests""")
 def q44_valid_messages(spark, d):
-    """Messages made of requests: progress with all fields, one without, and work with and without its fields."""
-    rows = table(spark, d, "requests", "request_id", "paper_id", "item_ids")
+    """Messages made of requests: progress with all fields and without one, work with a good and a wrong job, links."""
+    rows = table(spark, d, "requests", "request_id", "paper_id", "item_ids", "model")
     sentences = F.transform("item_ids", lambda i: F.struct(i.cast("string").alias("id"), F.lit("t").alias("text"), F.col("paper_id").alias("group")))
-    n = F.col("request_id") % 3
+    n = F.col("request_id") % 5
+    work = [F.lit("translate").alias("type"), F.col("request_id").alias("requestId"), sentences.alias("sentences")]
     message = (
         F.when(n == 0, F.to_json(F.struct(F.lit("translateAllProgress").alias("type"), F.lit(1).alias("jobId"), F.lit(2).alias("done"), F.lit(3).alias("total"))))
-        .when(n == 1, F.to_json(F.struct(F.lit("translateAllProgress").alias("type"), F.lit("x").alias("jobId"), F.lit(2).alias("done"))))
-        .otherwise(F.to_json(F.struct(F.lit("translate").alias("type"), F.col("request_id").alias("requestId"), sentences.alias("sentences"))))
+        .when(n == 1, F.to_json(F.struct(*work, F.lit("x").alias("jobId"))))
+        .when(n == 2, F.to_json(F.struct(*work)))
+        .when(n == 3, F.to_json(F.struct(F.col("model").alias("open"))))
+        .otherwise(F.to_json(F.struct(*work, F.col("request_id").alias("jobId"))))
     )
-    return rows.select("request_id", page_source.is_valid_message(message).alias("valid"))
-
+    return rows.select("request_id", page_source.is_valid_message(message).alias("valid"), page_source.is_link_message(message).alias("link"))
 
 
 @query(f"""
@@ -481,3 +483,85 @@ def q49_links_inside(spark, d):
 def q50_sample(spark, d):
     """A sample of fifty documents, by hash: the limit is the operator."""
     return probe.sample(table(spark, d, "documents", "doc_id", "source"), "doc_id", 50)
+
+
+# ---- page events, blocks of sentences, reading positions, sets of strings, late replies
+
+_STATES = "(SELECT item_id AS id, CASE WHEN max(coalesce(" + O.trim_blanks("translation") + ", '')) <> '' THEN 'done' ELSE 'error' END AS status FROM translated_items GROUP BY item_id)"
+
+
+@query(f"""
+    WITH s AS (SELECT DISTINCT paper_id AS doc, page, item_id AS id FROM work_items), e AS (
+        SELECT doc, page AS seq, page, n_pages, page % 4 = 0 AS explicit, CASE page % 4 WHEN 1 THEN 'page' WHEN 2 THEN 'nearby' ELSE 'manual' END AS rng
+        FROM (SELECT DISTINCT paper_id AS doc, page, max(page) OVER (PARTITION BY paper_id) AS n_pages FROM blocks WHERE paper_id IS NOT NULL)),
+    w AS (SELECT doc, seq, explicit, n_pages, unnest(CASE WHEN explicit OR rng = 'page' THEN [page] WHEN rng = 'nearby' THEN [page - 1, page, page + 1] ELSE [] END) AS page FROM e)
+    SELECT DISTINCT w.doc, w.seq, s.id FROM w JOIN s ON s.doc = w.doc AND s.page = w.page LEFT JOIN {_STATES} t ON t.id = s.id
+    WHERE w.page BETWEEN 1 AND w.n_pages AND (t.status IS NULL OR (w.explicit AND t.status = 'error'))""")
+def q52_wanted_by_page_events(spark, d):
+    """What turning to each page, or asking for it, would send to the model."""
+    own = table(spark, d, "blocks", "paper_id", "page").where("paper_id is not null").distinct()
+    last = own.groupBy("paper_id").agg(F.max("page").alias("n_pages"))
+    n = F.col("page") % 4
+    rng = F.when(n == 1, "page").when(n == 2, "nearby").otherwise("manual")
+    events = own.join(last, "paper_id").select(F.col("paper_id").alias("doc"), F.col("page").alias("seq"), "page", rng.alias("rng"), (n == 0).alias("explicit"), "n_pages")
+    sentences = items(spark, d, "paper_id", "page").distinct().select(F.col("paper_id").alias("doc"), "page", F.col("item_id").alias("id"))
+    replies = table(spark, d, "translated_items", "item_id", "translation").groupBy("item_id").agg(F.max(F.coalesce(T.trim_blanks(F.col("translation")), F.lit(""))).alias("t"))
+    status = F.when(F.col("t") != "", "done").otherwise("error")
+    states_ = sentences.select("doc", "id").join(replies, F.col("id") == F.col("item_id")).select("doc", "id", status.alias("status"))
+    return jobs.wanted(events, sentences, states_)
+
+
+@query("""
+    SELECT DISTINCT w.item_id AS id FROM work_items w JOIN (SELECT DISTINCT w.paper_id, w.page, w.grp FROM work_items w JOIN translated_items t ON t.item_id = w.item_id WHERE t.cache_key = '') p
+        ON p.paper_id = w.paper_id AND p.page = w.page AND p.grp = w.grp""")
+def q53_block_of_sentence(spark, d):
+    """All sentences of the paragraphs that hold one that passed through."""
+    rows = items(spark, d, "paper_id", "page", "grp").distinct().where("grp is not null and page is not null")
+    sentences = rows.select(F.col("paper_id").alias("doc"), F.concat_ws("/", F.col("page").cast("string"), "grp").alias("block_id"), F.col("item_id").alias("id"))
+    passed = table(spark, d, "translated_items", "item_id", "cache_key").where("cache_key = ''").select("item_id").distinct()
+    picked = sentences.join(passed, F.col("id") == F.col("item_id"), "left_semi").select("doc", "id")
+    return probe.block_of(picked, sentences).select("id").distinct()
+
+
+@query("SELECT DISTINCT b.block_no, greatest(1, least(b.page + b.block_no % 3, n.n_pages))::INTEGER AS page FROM blocks b JOIN (SELECT paper_id, max(page) AS n_pages FROM page_texts GROUP BY paper_id) n ON n.paper_id = b.paper_id")
+def q54_kept_page(spark, d):
+    """The page to stay on, some of them beyond the end of the document as it is now."""
+    n = table(spark, d, "page_texts", "paper_id", "page").groupBy("paper_id").agg(F.max("page").alias("n_pages"))
+    rows = blocks(spark, d, "paper_id", "page").distinct().join(n, "paper_id")
+    return rows.select("block_no", probe.kept_page(F.col("page") + F.col("block_no") % 3, F.col("n_pages")).cast("int").alias("page"))
+
+
+@query("SELECT block_kind AS s FROM blocks UNION SELECT block_role FROM blocks UNION SELECT source FROM documents UNION SELECT suite FROM eval_items")
+def q55_set_of_strings(spark, d):
+    """Strings of several tables as one set; each table is reduced before they meet."""
+    parts = [table(spark, d, name, column).distinct().toDF("s") for name, column in (("blocks", "block_kind"), ("blocks", "block_role"), ("documents", "source"), ("eval_items", "suite"))]
+    return parts[0].union(parts[1]).union(parts[2]).union(parts[3]).distinct()
+
+
+@query(f"""
+    WITH v AS (SELECT doc, page, (page - 1) * 850.0::DOUBLE + 100 + 0.3 * 600 AS py FROM (SELECT DISTINCT doc, page FROM {_RECTS})),
+    s AS (SELECT v.doc, v.page, r.id, r.line, r.ord, r.h, r.y, (v.page - 1) * 850.0 + 842 - v.py AS up FROM v JOIN {_RECTS} r ON r.doc = v.doc AND r.page = v.page),
+    b AS (SELECT doc, page, arg_min(struct_pack(id := id, line := line, inside := least(1.0, greatest(0.0, coalesce((y + h - up) / nullif(h, 0), 0)))::DOUBLE), (4 * greatest(y - up, 0, up - (y + h)), ord)) AS m FROM s GROUP BY ALL)
+    SELECT doc || '/' || b.page AS view_id, b.page, m.id AS id, (m.line + m.inside) / n.n_lines AS fraction FROM b JOIN (SELECT id, count(*) AS n_lines FROM {_RECTS} GROUP BY id) n ON n.id = b.m.id""")
+def q56_reading_position(spark, d):
+    """Where one reads, for a view that begins 100 below the top of each page."""
+    rects = _rects(spark, d)
+    own = rects.select("doc", "page").distinct()
+    top = (F.col("page") - 1) * F.lit(850.0)
+    places = own.select("doc", "page", top.alias("top"), (top + 842).alias("bottom"))
+    views = own.select(F.concat_ws("/", "doc", "page").alias("view_id"), "doc", (top + 100).alias("top"), F.lit(600.0).alias("height"))
+    return probe.reading_position(views, places, rects, rects.groupBy("id").agg(F.count("*").alias("n_lines")))
+
+
+@query("""
+    WITH asked AS (SELECT item_id AS id, max(request_id) AS open_ FROM (SELECT request_id, unnest(item_ids) AS item_id FROM requests) GROUP BY 1),
+    came AS (SELECT item_id AS id, request_id FROM (SELECT DISTINCT request_id, item_id FROM translated_items))
+    SELECT a.id::VARCHAR AS id, CASE WHEN bool_or(c.request_id = a.open_) THEN 'done' ELSE 'pending' END AS status FROM asked a LEFT JOIN came c ON c.id = a.id GROUP BY a.id""")
+def q57_late_replies(spark, d):
+    """States where all requests went out before any reply, the last of each item first: only its reply counts."""
+    asked = table(spark, d, "requests", "request_id", "item_ids").select("request_id", F.explode("item_ids").alias("id")).where("id is not null").distinct()
+    came = table(spark, d, "translated_items", "request_id", "item_id").withColumnRenamed("item_id", "id").distinct()
+    late = F.lit(1 << 40)
+    events = asked.select("id", "request_id", (late - F.col("request_id")).alias("seq"), F.lit("ask").alias("kind")).unionByName(came.join(asked.select("id").distinct(), "id").select("id", "request_id", (late + F.col("request_id")).alias("seq"), F.lit("reply").alias("kind")))
+    events = events.select(F.lit("d").alias("doc"), F.col("id").cast("string").alias("id"), "seq", "kind", "request_id", F.lit(None).cast("string").alias("text"))
+    return states.states(events).select("id", "status")

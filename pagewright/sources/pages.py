@@ -18,9 +18,10 @@ def rounded(value: Column, places: int = 3) -> Column:
     return F.floor(value * scale + 0.5) / scale
 
 
-def read_json_pages(spark: SparkSession, path: str) -> DataFrame:
-    """Pages of JSON files; files that are none are left out, items without a string (marks) too."""
-    return _pages(spark.read.schema(JSON_PAGE).option("multiLine", "true").option("mode", "DROPMALFORMED").json(path).where("page is not null"))
+def read_json_pages(spark: SparkSession, path: str, first: int = 1, last: int | None = None) -> DataFrame:
+    """Pages first to last of JSON files; files that are none are left out, items without a string (marks) too."""
+    raw = spark.read.schema(JSON_PAGE).option("multiLine", "true").option("mode", "DROPMALFORMED").json(path).where(F.col("page") >= max(1, first))
+    return _pages(raw if last is None else raw.where(F.col("page") <= last))
 
 
 def read_json_lines(spark: SparkSession, path: str) -> DataFrame:
@@ -48,6 +49,23 @@ def changed_files(spark: SparkSession, path: str, own_writes: DataFrame) -> Data
     return files.join(own_writes.select("sha1"), "sha1", "left_anti")
 
 
+def watched_files(spark: SparkSession, path: str, pattern: str = "*") -> DataFrame:
+    """(path, sha1, content) of files as they appear or change, as a stream; use with not_own() in foreachBatch."""
+    schema = "path string, modificationTime timestamp, length long, content binary"
+    files = spark.readStream.format("binaryFile").schema(schema).option("pathGlobFilter", pattern).load(path)
+    return files.select("path", F.sha1("content").alias("sha1"), "content")
+
+
+def not_own(files: DataFrame, own_writes: DataFrame) -> DataFrame:
+    """Files(path, sha1, ...) that we did not write ourselves: own_writes(path, sha1) as own_write() records them."""
+    return files.join(own_writes.select("path", "sha1").distinct(), ["path", "sha1"], "left_anti")
+
+
+def own_write(files: DataFrame) -> DataFrame:
+    """(path, sha1) of what is about to be written: files(path, content)."""
+    return files.select("path", F.sha1("content").alias("sha1"))
+
+
 def string_literals(spark: SparkSession, path: str, function: str = "t") -> DataFrame:
     """(path, literal): first arguments of calls of a function in source files."""
     files = spark.read.text(path, wholetext=True).select(F.col("_metadata.file_path").alias("path"), "value")
@@ -59,7 +77,11 @@ def string_literals(spark: SparkSession, path: str, function: str = "t") -> Data
 MESSAGE_FIELDS = {
     "dirty": {}, "requestSave": {}, "chooseTargetLanguage": {}, "data": {"requestId": "number"}, "dataError": {"requestId": "number", "message": "string"},
     "translate": {"requestId": "number", "sentences": "array"}, "translateAllProgress": {"jobId": "number", "done": "number", "total": "number"}, "translateAllDone": {"jobId": "number"},
-}
+}
+# Fields that may be left out, but not hold anything else.
+OPTIONAL_FIELDS = {"translate": {"jobId": "number"}}
+# Fixed value: the field of a message that asks for a link to be opened.
+LINK_FIELD = "open"
 
 
 def is_valid_message(message: Column) -> Column:
@@ -71,12 +93,17 @@ def is_valid_message(message: Column) -> Column:
         pattern = {"number": "^(BIGINT|DOUBLE|DECIMAL.*|FLOAT|INT)$", "string": "^STRING$", "array": "^ARRAY"}[kind]
         return F.coalesce(found.rlike(pattern), F.lit(False))
 
+    def absent(name: str) -> Column:
+        return F.try_variant_get(parsed, f"$.{name}", "variant").isNull()
+
     kind = F.try_variant_get(parsed, "$.type", "string")
     out = F.lit(False)
     for name, fields in MESSAGE_FIELDS.items():
         ok = F.lit(True)
         for key, type_ in fields.items():
             ok = ok & has(key, type_)
+        for key, type_ in OPTIONAL_FIELDS.get(name, {}).items():
+            ok = ok & (absent(key) | has(key, type_))
         if name == "translate":
             sentences = F.try_variant_get(parsed, "$.sentences", "array<struct<id:string, text:string, group:string>>")
             ok = ok & F.coalesce(F.forall(sentences, lambda s: s["id"].isNotNull() & s["text"].isNotNull() & s["group"].isNotNull()), F.lit(False))
@@ -84,6 +111,11 @@ def is_valid_message(message: Column) -> Column:
     return F.coalesce(out, F.lit(False))
 
 
+def is_link_message(message: Column) -> Column:
+    """Whether a JSON text asks for a link to be opened: an object with a string in LINK_FIELD."""
+    found = F.schema_of_variant(F.try_variant_get(F.try_parse_json(message), f"$.{LINK_FIELD}", "variant"))
+    return F.coalesce(found == "STRING", F.lit(False))
+
 
 def is_inside(url: Column, base: Column) -> Column:
     """Whether an address is of the same origin as a base and below its path; addresses that cannot be read are not."""

@@ -9,7 +9,7 @@ from __future__ import annotations
 from collections.abc import Callable, Iterator
 
 import pandas as pd
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.streaming import StreamingQuery
 from pyspark.sql.streaming.state import GroupState, GroupStateTimeout
@@ -54,16 +54,36 @@ def _rows(frame: pd.DataFrame) -> Iterator[tuple]:
         yield int(r.seq), r.kind, None if number is None else int(number), _plain(r.text)
 
 
-def states(events: DataFrame) -> DataFrame:
-    """Last state of each sentence of a batch of events, by order of seq."""
+_FOLDED = "struct<seq:bigint, status:string, request_id:bigint, text:string>"
+
+
+def _stepped(state: Column, event: Column) -> Column:
+    """step() as an expression."""
+    status, kind = state["status"], event["kind"]
+    to = lambda name, request, text: F.struct(event["seq"], F.lit(name) if isinstance(name, str) else name, request, text).cast(_FOLDED)
+    nothing = F.lit(None)
+    counts = (status == "pending") & event["request_id"].eqNullSafe(state["request_id"])
+    return (
+        F.when(kind == "reset", to("none", nothing, nothing))
+        .when((kind == "ask") & status.isin("none", "error"), to("pending", event["request_id"], nothing))
+        .when((kind == "retry") & (status == "error"), to("none", nothing, nothing))
+        .when(kind.isin("reply", "failure") & counts, to(F.when(kind == "reply", "done").otherwise("error"), nothing, event["text"]))
+        .otherwise(state)
+    )
 
-    def fold(key: tuple, frame: pd.DataFrame) -> pd.DataFrame:
-        state = _EMPTY
-        for event in _rows(frame):
-            state = step(state, event)
-        return pd.DataFrame([(*key, state[0], state[1], state[3])], columns=["doc", "id", "seq", "status", "text"])
 
-    return events.groupBy("doc", "id").applyInPandas(fold, STATE)
+def states(events: DataFrame) -> DataFrame:
+    """Last state of each sentence of a batch of events, by order of seq; of events of one seq, as sort order has them.
+
+    What stands before the last reset of a sentence does not count, so it goes no further than an aggregate that meets it
+    where it is read; of the events after it the same ones count once.
+    """
+    last = events.where("kind = 'reset'").groupBy("doc", "id").agg(F.max("seq").alias("_reset"))
+    rows = events.join(last, ["doc", "id"], "left").where("_reset is null or seq >= _reset").drop("_reset")
+    ordered = F.array_sort(F.collect_set(F.struct("seq", "kind", "request_id", "text")))
+    start = F.struct(F.lit(_EMPTY[0]), F.lit(_EMPTY[1]), F.lit(None), F.lit(None)).cast(_FOLDED)
+    folded = rows.groupBy("doc", "id").agg(F.aggregate(ordered, start, _stepped).alias("s"))
+    return folded.select("doc", "id", "s.seq", "s.status", "s.text")
 
 
 def track(events: DataFrame) -> DataFrame:
