@@ -29,7 +29,8 @@ WINDOW = 8
 #: Items are searched in blocks of so many, so that what is broadcast has a bound (some 50 MB) whatever their number.
 ITEMS_A_BLOCK = 1_000
 
-_HAN = re.compile("[㐀-鿿]")
+#: Characters written without blanks between words: of a text in them each counts as a word.
+_HAN = re.compile("[㐀-鿿ぁ-ヿ]")
 _PLAIN_RUN = re.compile("[a-z0-9]+")
 _WORDS = re.compile(r"[^\W_]+(?:[̀-゙゚ͯ]+[^\W_]*)*")
 _MARK = re.compile("[̀-゙゚ͯ]")
@@ -58,7 +59,7 @@ def squash(text: str) -> str:
 
 
 def units(text: str) -> list[str]:
-    """The squashed words of an item; of one in Chinese, its characters."""
+    """The squashed words of an item; of one in Chinese or Japanese, its characters."""
     if len(_HAN.findall(text)) > 0.3 * len(text):
         return list(squash(text))
     rewritten = text if text.isascii() else unicodedata.normalize("NFC", text.translate(_REWRITE))
@@ -180,22 +181,21 @@ def leaks(documents: DataFrame, items: DataFrame, share: float = 0.45) -> DataFr
     spark = documents.sparkSession
     ship(spark)
     rows = spread(documents.select("doc_id", "text").where("text <> ''"))
-    held = {}
-    for row in items.select("item_id", "text").where("text <> ''").toLocalIterator():  # the stated query set
-        held.setdefault(row.item_id, row.text)
-    keys = sorted(held)
+    # the stated query set; an item with several texts has leaked if one of them has
+    held = sorted({(r.item_id, r.text) for r in items.select("item_id", "text").where("text <> '' and item_id is not null").toLocalIterator()})
     out = None
-    for at in range(0, max(1, len(keys)), ITEMS_A_BLOCK):
-        model = spark.sparkContext.broadcast(Leaks([(k, held[k]) for k in keys[at : at + ITEMS_A_BLOCK]]))
+    for at in range(0, max(1, len(held)), ITEMS_A_BLOCK):
+        block = held[at : at + ITEMS_A_BLOCK]
+        model = spark.sparkContext.broadcast((Leaks(list(enumerate(t for _, t in block))), [k for k, _ in block]))
 
         def batch(columns: dict[str, list], model=model) -> dict[str, list]:
             out: dict[str, list] = {"doc_id": [], "item_id": [], "share": []}
-            of = model.value.of
+            patterns, ids = model.value
             for key, text in zip(columns["doc_id"], columns["text"], strict=True):
-                for item, (part, _) in of(text).items():
+                for item, (part, _) in patterns.of(text).items():
                     if part >= share:
                         out["doc_id"].append(key)
-                        out["item_id"].append(item)
+                        out["item_id"].append(ids[item])
                         out["share"].append(round(part, 4))
             return out
 

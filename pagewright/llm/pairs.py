@@ -31,13 +31,13 @@ ORDER = ("missing", "empty", *MODELLED)
 # How a model declines, in the eleven languages; lower case, without invisible characters.
 _DECLINES = {
     "en": r"\b(?:i(?:['’]m| am)? (?:sorry|afraid)|sorry,|i apologi[sz]e)|(?:can(?:no|['’])t|can ?not|unable to|not able to|won['’]t|must (?:decline|refuse)|decline to|refuse to|not allowed to|not permitted to) (?:\w+ ){0,4}?(?:translat|process|help|assist|provide|comply|render|answer|fulfil)"
-    r"|(?:against|violat\w+) (?:my|our|the|usage|content)\w* (?:\w+ )?(?:guidelines|polic|rules)|wo(?:n['’]t|uld not) be able to|have to (?:decline|refuse)|no translation (?:is|can be|will be) (?:given|provided)|as an? (?:ai|(?:large )?language (?:model|system)|assistant)",
-    "de": r"es tut mir (?:sehr )?leid|tut mir leid|(?:kann|darf|werde|möchte|muss) (?:ich )?(?:\S+ ){0,6}?(?:nicht (?:\w+ )?(?:übersetz|bearbeit|helf|wiedergeb|weiterhelf)|ablehnen)|(?:muss|möchte) (?:\S+ ){0,4}?(?:ablehnen|verweigern)|als (?:ki|sprach(?:modell|system))|keine übersetzung|richtlinien|entschuldigung",
-    "fr": r"désolée?|je (?:ne (?:peux|puis|suis)|regrette|dois (?:\w+ )?(?:refuser|décliner))|impossible de traduire|pas en mesure|en tant qu(?:e|['’])|aucune traduction|malheureusement|contraire à (?:mes|nos|aux)",
-    "es": r"lo siento|lo lamento|lamento|(?:debo|tengo que) (?:rechazar|declinar|negarme)|no puedo|no me es posible|como (?:modelo|sistema|asistente)|no se ofrece|ninguna traducción|desafortunadamente|\binfringen?\b(?! (?:(?:up)?on|the|our|an?|any|your|their|its|his|her|my|no|this|that|these|those|such|others?|copyrights?|patents?|rights?|privacy)\b)|mis (?:normas|directrices)",
-    "pt": r"lamento|desculpe|sinto muito|(?:tenho (?:de|que)|devo) (?:recusar|declinar)|não posso|não consigo|não me é possível|como (?:modelo|sistema|assistente)|nenhuma tradução|infelizmente|minhas (?:regras|diretrizes|normas)",
-    "it": r"mi dispiace|spiacente|(?:devo|sono costretto a) (?:rifiutare|declinare)|non posso|non sono in grado|come (?:modello|sistema|assistente)|nessuna traduzione|purtroppo|mie (?:linee|regole)",
-    "ru": r"извините|простите|к сожалению|сожалею|не могу|не в состоянии|не имею возможности|как (?:языковая|ии)|перевод не|(?:вынужден[а-я]*|должен|должна) (?:\\w+ )?отказ|отказываюсь|правила[мх]? (?:использования|сервиса)",
+    r"|(?:against|violat\w+) (?:my|our|the|usage|content)\w* (?:\w+ )?(?:guidelines|polic|rules)|not (?:in a position|comfortable|going) to (?:\w+ ){0,2}?(?:translat|render|process|help)|(?:rather|prefer) not (?:to )?(?:translat|render)|wo(?:n['’]t|uld not) be able to|have to (?:decline|refuse)|no translation (?:is|can be|will be) (?:given|provided)|as an? (?:ai|(?:large )?language (?:model|system)|assistant)",
+    "de": r"es tut mir (?:sehr )?leid|tut mir leid|(?:kann|darf|werde|möchte|muss) (?:ich )?(?:\S+ ){0,6}?(?:nicht (?:\w+ )?(?:übersetz|bearbeit|helf|wiedergeb|weiterhelf)|ablehnen)|(?:muss|möchte) (?:\S+ ){0,4}?(?:ablehnen|verweigern)|nicht in der lage,? (?:\S+ ){0,4}?(?:übersetz|zu übersetz|wiederzugeb)|lieber nicht übersetz|als (?:ki|sprach(?:modell|system))|keine übersetzung|richtlinien|entschuldigung",
+    "fr": r"désolée?|je (?:ne (?:peux|puis|suis)|regrette|dois (?:\w+ )?(?:refuser|décliner))|impossible de traduire|pas en mesure|nous ne pouvons (?:\w+ )?traduire|je préfère ne pas|traduction (?:\S+ ){0,5}?impossible|en tant qu(?:e|['’])|aucune traduction|contraire à (?:mes|nos|aux)",
+    "es": r"lo siento|lo lamento|lamento|(?:debo|tengo que) (?:rechazar|declinar|negarme)|no puedo|no me es posible|como (?:un )?(?:modelo de|sistema de|asistente)|no se ofrece|ninguna traducción|prefiero no traducir|\binfringen?\b(?! (?:(?:up)?on|the|our|an?|any|your|their|its|his|her|my|no|this|that|these|those|such|others?|copyrights?|patents?|rights?|privacy)\b)|mis (?:normas|directrices)",
+    "pt": r"lamento|desculpe|sinto muito|(?:tenho (?:de|que)|devo) (?:recusar|declinar)|não posso|não consigo|não me é possível|como (?:um )?(?:modelo de|sistema de|assistente)|nenhuma tradução|prefiro não traduzir|minhas (?:regras|diretrizes|normas)",
+    "it": r"mi dispiace|spiacente|(?:devo|sono costretto a) (?:rifiutare|declinare)|non posso|non sono in grado|come (?:un )?(?:modello di|sistema di|assistente)|nessuna traduzione|preferisco non tradurre|mie (?:linee|regole)",
+    "ru": r"извините|простите|сожалею|перевести (?:\S+ ){0,4}?(?:невозможно|нельзя|не (?:получится|могу))|не могу|не в состоянии|не имею возможности|как (?:языковая|ии)|перевод не|(?:вынужден[а-я]*|должен|должна) (?:\w+ )?(?:отказ|отклон)|отказываюсь|отклоняю|правила[мх]? (?:использования|сервиса)",
     "zh": r"抱歉|对不起|對不起|无法(?:翻译|处理|提供|协助|帮助|完成)|無法(?:翻譯|處理|提供|協助|幫助|完成)|不能(?:翻译|翻譯|提供|处理|處理)|恕不|恕难|恕難|不符合(?:使用)?(?:规定|規定|政策)|作为(?:一个)?(?:语言|人工智能|ai)|作為(?:一個)?(?:語言|人工智慧|ai)|拒绝|拒絕|请换|請換",
     "ja": r"申し訳|すみません|ごめんなさい|翻訳(?:する(?:こと)?が)?(?:は)?(?:できま|でき(?:ない|かね)|いたしかね|お断り)|お手伝いできま|対応できま|応じられま|言語モデルとして|(?:ご?依頼|ご?要望|リクエスト)\S{0,8}?(?:でき(?:ま|かね)|られま)|お?(?:応え|答え|引き受け)(?:は)?でき(?:ま|かね)|お断り|提供できま|ガイドライン",
     "ko": r"죄송|미안|번역(?:해 드릴|할) 수 없|번역하지 (?:못|않)|도와드릴 수 없|처리할 수 없|제공할 수 없|(?:요청|부탁)\S* ?(?:\S+ )?(?:들어줄|들어 드릴|처리할|수행할|응할) 수 없|언어 모델|거절|지침|유감",

@@ -311,6 +311,8 @@ def test_leaks():
     assert model.of(half)[1][0] == pytest.approx(22 / len(words))
     swapped = " ".join(words[14:24]) + " other words between them " + " ".join(words[:12])
     assert model.of(swapped)[1][0] == pytest.approx(12 / len(words))
+    kana = "このことばはひらがなだけでかかれたながいぶんです"
+    assert leaks.Leaks([(1, kana)]).of("まえ" + kana[4:20] + "あと")[1][0] == pytest.approx(16 / len(kana))
     broken = ITEM.replace("grateful", "grate-\r\nful")
     assert model.of(broken)[1][0] == 1.0
 
@@ -330,6 +332,8 @@ def test_leak_frames(spark):
     documents = spark.createDataFrame([(1, f"a {ITEM}"), (2, f"a {ITEM}"), (3, None), (4, ""), (5, "nothing")], "doc_id bigint, text string")
     items = spark.createDataFrame([(7, ITEM), (7, ITEM), (8, None)], "item_id bigint, text string")
     assert sorted((r.doc_id, r.item_id) for r in leaks.leaks(documents, items).collect()) == [(1, 7), (2, 7)]
+    two = spark.createDataFrame([(7, "another text of the same item, which no document holds at all"), (7, ITEM)], "item_id bigint, text string")
+    assert sorted((r.doc_id, r.item_id) for r in leaks.leaks(documents, two).collect()) == [(1, 7), (2, 7)]
     assert leaks.leaks(documents, items.limit(0)).count() == 0 == leaks.leaks(documents.limit(0), items).count()
 
 

@@ -47,6 +47,15 @@ def test_refusals_whatever_the_language_of_the_reply(reply, language):
     assert pairs.signals(reply, reply, "fr", {"en": 1.0}, {language: 1.0}, True)["refusal"][0] == "-"
 
 
+PLAIN = ["Malheureusement, le modèle converge lentement.", "Purtroppo i dati mancano.", "Infelizmente, os dados faltam.", "К сожалению, данных нет.", "Desafortunadamente, faltan datos.", "Usamos esto como modelo."]
+DECLINED = ["Я вынужден снова отказаться.", "I would rather not translate this.", "I am not comfortable to render this passage.", "Ich bin nicht in der Lage, das zu übersetzen.", "Je préfère ne pas m'en occuper.", "Перевести это невозможно.", "La traduction de ce passage est impossible."]
+
+
+def test_wording_of_refusals():
+    assert [x for x in PLAIN if pairs._declines(x.casefold())] == []
+    assert [x for x in DECLINED if not pairs._declines(x.casefold())] == []
+
+
 def test_words_of_another_language_that_look_like_a_refusal():
     assert pairs.signals("Das verletzt Rechte", "Copies infringe the rights of 3 authors; infringement is rare", "en", {"de": 1.0}, {"en": 1.0}, True)["refusal"][0] == "-"
     assert pairs.signals("Words", "Este texto infringe las normas", "es", {"en": 1.0}, {"es": 1.0}, True)["refusal"][0] == "+"
