@@ -53,12 +53,14 @@ def ship(spark: SparkSession) -> None:
 
 
 def checkpoint_dir(spark: SparkSession) -> str:
-    """The shared folder of the cluster; a temporary one only where none is set, as in tests."""
+    """The shared folder of the cluster; a temporary one only where none is set and all runs on this machine, as in tests."""
     set_by_cluster = spark.conf.get("spark.checkpoint.dir", None)
     if set_by_cluster:
         return set_by_cluster
     context = spark.sparkContext
     if not context._jsc.sc().getCheckpointDir().isDefined():
+        if not context.master.startswith("local"):
+            raise RuntimeError("spark.checkpoint.dir is not set: name a folder that all machines of the cluster see")
         context.setCheckpointDir(tempfile.mkdtemp(prefix="pagewright-checkpoint"))
     return context._jsc.sc().getCheckpointDir().get()
 
