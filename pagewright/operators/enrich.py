@@ -23,7 +23,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from ..functions import keys, language, patterns as P
-from ..session import cut, ship
+from ..session import cut, partitions, ship
 from . import batching, cache, reply, settings as S
 
 
@@ -120,7 +120,7 @@ class Options:
     glossary: dict[str, str] = field(default_factory=dict)
     max_chars: int = batching.MAX_CHARS
     max_sentences: int = batching.MAX_SENTENCES
-    #: Calls in flight of one task; how many tasks there are is left to the plan.
+    #: Calls in flight of one task; how many tasks there are is up to the session.
     concurrency: int = 2
 
 
@@ -207,7 +207,8 @@ def translate(sentences: DataFrame, store: DataFrame, client: Client, options: O
     requests = batched.groupBy("doc", "section", "batch").agg(F.sort_array(F.collect_list(F.struct("seq", "key", "text"))).alias("rows"))
     whole = F.array_join(F.transform("rows", lambda r: r["text"]), " ")
     source = F.lit(options.source) if options.source != P.AUTO else F.coalesce(language.detect_language(whole), F.lit(P.AUTO))
-    requests = requests.select("rows", source.alias("source"))
+    # a call waits for its service most of the time: as many tasks as the session has, however small the requests are
+    requests = requests.select("rows", source.alias("source")).repartition(partitions(sentences.sparkSession))
     answers = cut(requests.mapInArrow(_caller(client, options), _ANSWER))
     known = answers.select("key", "translation", "code", "args").unionByName(held.withColumnRenamed("held", "translation"), allowMissingColumns=True)
     results = rows.join(known, "key", "left").select(

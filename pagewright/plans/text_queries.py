@@ -167,9 +167,9 @@ def q15_layout_flags(spark, d):
 
 
 def _sentences(spark, d) -> DataFrame:
-    rows = once(blocks(spark, d, "text"), "block_no", S.split_sentences(F.col("text")).alias("sentences"))
-    rows = rows.select("block_no", F.posexplode_outer("sentences").alias("pos", "sentence"))
-    return rows.where(S.is_sentence(F.col("sentence"))).select("block_no", (F.col("pos").cast("long") + 1).alias("idx"), "sentence")
+    numbered = F.transform(S.split_sentences(F.col("text")), lambda s, i: F.struct((i.cast("long") + 1).alias("idx"), s.alias("sentence")))
+    rows = once(blocks(spark, d, "text"), "block_no", F.filter(numbered, lambda s: S.is_sentence(s["sentence"])).alias("s"))
+    return rows.select("block_no", F.explode_outer("s").alias("s")).where("s is not null").select("block_no", "s.idx", "s.sentence")
 
 
 @query(f"WITH {O.sentences(BLOCKS, 'block_no', 'text')} SELECT block_no, idx, sentence FROM sentences WHERE {O.IS_SENTENCE}")
