@@ -15,14 +15,16 @@ import math
 import re
 import unicodedata
 from collections import Counter, defaultdict
-from collections.abc import Iterable
+from collections.abc import Iterable, Iterator
+from functools import cache
 
+import numpy as np
 import pandas as pd
+import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from ..session import cut, ship
-from ._sample import bounded
 
 # Characters that are drawn alike; the first of each row is the usual one.
 LOOK_ALIKES = (
@@ -73,8 +75,16 @@ _TOGETHER = ({"hiragana", "han"},)
 #: A letter of the alphabets that looks like no other; for accented letters their base counts.
 _CLEAR = re.compile("[" + "".join(chr(c) for c in [*range(0x41, 0x5B), *range(0x61, 0x7B), *range(0xC0, 0x250), *range(0x386, 0x530), *range(0x1E00, 0x2000)] if chr(c).isalpha() and unicodedata.normalize("NFD", chr(c))[0] not in _CLASS) + "]")
 _MEMO_LIMIT = 200_000
-#: Bounds of the sample for the bigrams: texts, and characters of each.
-SAMPLE_ROWS, SAMPLE_CHARS = 4000, 5000
+#: Characters whose bigrams are counted at once, and what a longer text is parted before: no letters, and joined to none.
+PIECE = 1 << 18
+_APART = re.compile(r"[\t\n\r ,;!?()0-9、。，]")
+#: A kana and its mark, in two characters.
+_VOICED = re.compile("[\u3041-\u30ff][\u3099\u309a]")
+_SCRIPTS = {"latin": 1, "greek": 2, "cyrillic": 4, "hiragana": 8, "katakana": 16, "han": 32, "": 64}
+#: By the scripts of a token, whether its bigrams count: one script, or those of the east together.
+_ONE_SCRIPT = np.array([(scripts & 63).bit_count() == 1 or not scripts & 7 for scripts in range(128)])
+#: In place of a code: the start or the end of a token, and any character after which no score is asked for.
+EDGE, OTHER = 0, -1
 
 
 def normalised(text: str) -> str:
@@ -109,6 +119,73 @@ def script(char: str) -> str:
     return "han" if code > 0x2FFF else ""
 
 
+@cache
+def _kind(code: int) -> int:
+    """The script of a letter as a bit, 0 for what is no letter; 128 more for a character that tokens can hold."""
+    char = chr(code)
+    if not char.isalnum() or char.isdecimal():
+        return 0
+    return _SCRIPTS[script(char)] | (128 if code < 0x530 or 0x1E00 <= code < 0x2000 or char in _EAST else 0)
+
+
+def _pieces(texts: Iterable[str]) -> Iterator[list[str]]:
+    """The texts in lists of about PIECE characters."""
+    held, size = [], 0
+    for text in texts:
+        start = 0
+        while len(text) - start > PIECE and (m := _APART.search(text, start + PIECE)):
+            yield [text[start : m.start()]]
+            start = m.start()
+        held.append(text[start:])
+        size += len(held[-1])
+        if size >= PIECE:
+            yield held
+            held, size = [], 0
+    yield held
+
+
+def bigrams(texts: Iterable[str]) -> Counter[tuple[int, int]]:
+    """How often a character follows another in tokens that keep to one script, by their codes.
+
+    Kana are one with their marks, as they are in the lattice; the marks of other letters part tokens.
+    No score is asked for a pair of which tokens can hold neither character; such a pair counts for its first one only.
+    """
+    counts: Counter[tuple[int, int]] = Counter()
+    for held in _pieces(texts):
+        plain, rest = [t for t in held if t.isascii()], [normalised(t) for t in held if not t.isascii()]
+        apart = _VOICED.sub(lambda m: unicodedata.normalize("NFC", m[0]), unicodedata.normalize("NFD", "\n".join(rest)))
+        text = f"{'\n'.join(plain)}\n{apart}".lower()
+        codes = np.frombuffer(text.encode("utf-32-le", "surrogatepass"), np.uint32)
+        chars = np.flatnonzero(np.bincount(codes))
+        kinds = np.array([_kind(c) for c in chars.tolist()], np.uint8)
+        number = np.zeros(chars[-1] + 1, np.int32)
+        number[chars] = np.arange(len(chars))
+        numbers = number[codes]
+        scripts = (kinds & 127)[numbers]
+        letters = scripts > 0
+        starts = np.flatnonzero(letters & ~np.concatenate([[False], letters[:-1]]))
+        if not len(starts):
+            continue
+        tokens = _ONE_SCRIPT[np.bitwise_or.reduceat(scripts, starts)]
+        letters[starts[0] :] &= np.repeat(tokens, np.diff(starts, append=len(codes)))
+        # 0 is the edge of a token, then the characters, then all others
+        row = np.pad((numbers + 1) * letters, 1)
+        pairs = row[:-1] + row[1:] > 0
+        first, second = row[:-1][pairs], row[1:][pairs]
+        asked, width = np.concatenate([[False], kinds > 127]), len(chars) + 2
+        keys = first.astype(np.int64) * width + np.where(asked[first] | asked[second], second, width - 1)
+        if width * width <= 4 * PIECE:
+            number_of = np.bincount(keys)
+            keys = np.flatnonzero(number_of)
+            number_of = number_of[keys]
+        else:
+            keys, number_of = np.unique(keys, return_counts=True)
+        names = [EDGE, *chars.tolist(), OTHER]
+        for key, n in zip(keys.tolist(), number_of.tolist(), strict=True):
+            counts[names[key // width], names[key % width]] += n
+    return counts
+
+
 class Spelling:
     """Character bigram scores within scripts, and the search for the best spelling of a token."""
 
@@ -121,14 +198,16 @@ class Spelling:
 
     def fit(self, texts: Iterable[str]) -> Spelling:
         """Count the bigrams of tokens that keep to one script."""
-        for text in texts:
-            for token in re.findall(r"[^\W\d_]+", unicodedata.normalize("NFD", normalised(text)).lower()):
-                scripts = {script(c) for c in token}
-                if len(scripts - {""}) != 1 and not scripts <= {"han", "hiragana", "katakana", ""}:
-                    continue
-                for a, b in zip(f"^{token}", f"{token}$", strict=True):
-                    self.pairs[a][b] += 1
-                    self.totals[a] += 1
+        return self.add((a, b, n) for (a, b), n in bigrams(texts).items())
+
+    def add(self, counts: Iterable[tuple[int, int, int]]) -> Spelling:
+        """Add bigrams that are counted, by their codes."""
+        for a, b, n in counts:
+            first = "^" if a == EDGE else chr(a)
+            self.totals[first] += n
+            pairs = self.pairs[first]
+            if b != OTHER:
+                pairs["$" if b == EDGE else chr(b)] += n
         return self
 
     def __getstate__(self) -> dict:
@@ -202,11 +281,20 @@ class Spelling:
         return unicodedata.normalize("NFC", _TOKEN.sub(spell, text))
 
 
-def spelling_of(texts: DataFrame, rows: int = SAMPLE_ROWS) -> Spelling:
-    """A speller with bigrams of a bounded sample: about rows texts by hash, of each the first SAMPLE_CHARS characters.
-    Which rows they are cannot change which strings come out equal, only the letters they are written with."""
-    kept = texts.toDF("text").select(F.left("text", F.lit(SAMPLE_CHARS)).alias("text")).where("text <> ''")
-    return Spelling().fit(r.text for r in bounded(kept, rows, "text", total=texts.count()))
+def spelling_of(texts: DataFrame) -> Spelling:
+    """A speller with the bigrams of all texts, whole, each as often as it stands there.
+
+    Each task counts its own; what the driver gets are the sums, whose number follows the characters in use and not the
+    texts. The counts cannot change which strings come out equal, only the letters they are written with.
+    """
+    ship(texts.sparkSession)
+
+    def count(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        found = bigrams(text for batch in batches for text in batch.column(0).to_pylist())
+        yield pa.RecordBatch.from_arrays([pa.array([a for a, _ in found], pa.int32()), pa.array([b for _, b in found], pa.int32()), pa.array(found.values(), pa.int64())], ["a", "b", "n"])
+
+    counts = texts.toDF("text").where("text <> ''").mapInArrow(count, "a int, b int, n bigint")
+    return Spelling().add(counts.groupBy("a", "b").agg(F.sum("n")).collect())
 
 
 def with_canonical(df: DataFrame, column: str, speller: Spelling, to: str = "canonical") -> DataFrame:

@@ -72,16 +72,20 @@ def p4_strings(spark: SparkSession, d: str) -> DataFrame:
     return items.unionByName(runs).where("text <> '' and paper_id is not null").drop("paper_id")
 
 
+def _speller(spark: SparkSession, d: str) -> forms.Spelling:
+    """The speller of all texts of the two tables, also of those that are in no scope."""
+    runs = table(spark, d, "page_texts", "text_items").select(F.explode("text_items").alias("i")).select(F.col("i.str").alias("text"))
+    return forms.spelling_of(table(spark, d, "work_items", "text").unionByName(runs))
+
+
 def p4_canonical(spark: SparkSession, d: str) -> DataFrame:
     strings = p4_strings(spark, d)
-    speller = forms.spelling_of(table(spark, d, "work_items", "text"))
-    return forms.with_canonical(spread(strings), "text", speller).select("tbl", "id", "canonical").distinct()
+    return forms.with_canonical(spread(strings), "text", _speller(spark, d)).select("tbl", "id", "canonical").distinct()
 
 
 def p4_found(spark: SparkSession, d: str) -> DataFrame:
     strings = p4_strings(spark, d)
-    speller = forms.spelling_of(table(spark, d, "work_items", "text"))
-    return forms.same_look(forms.with_canonical(spread(strings), "text", speller))
+    return forms.same_look(forms.with_canonical(spread(strings), "text", _speller(spark, d)))
 
 
 def p5_found(spark: SparkSession, d: str) -> DataFrame:

@@ -4,7 +4,7 @@ from __future__ import annotations
 
 import pytest
 
-from pagewright.llm import abuse, langs, pairs, sents
+from pagewright.llm import abuse, forms, langs, pairs, queries, sents
 
 from .test_operators import TEXTS
 
@@ -124,3 +124,42 @@ def test_scores_follow_the_labels():
 
 def test_chance_of_many_documents():
     assert abuse.chance(0, 5, 0.2) == pytest.approx(1) and abuse.chance(2, 0, 0.2) == pytest.approx(0.04) and 0 <= abuse.chance(2000, 2000, 0.2) < 1e-6
+
+
+# ---- 4: one form
+
+
+def test_bigrams_of_all_texts_whole(spark):
+    # more texts than were once sampled, equal ones among them, and one longer than was once read
+    rows = [(f"Word{'abcdefghij'[n % 10]} eins {n}",) for n in range(9000)] + [("ab " * 4000 + "qzq",), (None,), ("",)]
+    model = forms.spelling_of(spark.createDataFrame(rows, "text string").repartition(3))
+    assert model.totals["^"] == 2 * 9000 + 4000 + 1 and model.pairs["z"] == {"q": 1} and model.pairs["o"] == {"r": 9000} and model.pairs["a"] == {"$": 900, "b": 4000}
+    assert forms.spelling_of(spark.createDataFrame([], "text string")).totals == {}
+
+
+def test_bigrams_of_both_tables(spark, tmp_path):
+    spark.createDataFrame([("ab", None)], "text string, paper_id string").write.parquet(f"{tmp_path}/work_items.parquet")
+    spark.createDataFrame([([("xy",), (None,)],), (None,)], "text_items array<struct<str string>>").write.parquet(f"{tmp_path}/page_texts.parquet")
+    assert queries._speller(spark, str(tmp_path)).pairs["^"] == {"a": 1, "x": 1}
+
+
+def test_bigrams_of_kana_with_marks():
+    model = forms.Spelling().fit(["このページの一覧", "次のへいわ"])
+    assert model.pairs["ペ"] == {"ー": 1} and model.canonical("ぺ一ジ") == "ページ"
+
+
+@pytest.mark.parametrize("size", [1, 7, 1 << 20])
+def test_bigrams_by_characters(monkeypatch, size):
+    monkeypatch.setattr(forms, "PIECE", size)
+    texts = ["The words", "", "Ünder, das", "аbc сло́во, ΑΣ.Α ΣΑΣ", "この一覧、ト一ク", "한글 ไทย ①²x1a", "ab cd ef", "\U00020000口 İo"]
+    expected = {}
+    for text in texts:
+        for token in forms.re.findall(r"[^\W\d_]+", forms.unicodedata.normalize("NFD", text).lower()):
+            scripts = {forms.script(c) for c in token}
+            if len(scripts - {""}) == 1 or scripts <= {"han", "hiragana", "katakana", ""}:
+                for a, b in zip(f"^{token}", f"{token}$", strict=True):
+                    expected.setdefault(a, []).append(b)
+    model = forms.Spelling().fit(texts)
+    held = lambda c: c not in "^$" and forms._kind(ord(c)) > 127
+    assert model.totals == {a: len(found) for a, found in expected.items()}
+    assert {a: dict(found) for a, found in model.pairs.items()} == {a: {b: found.count(b) for b in found if held(a) or held(b)} for a, found in expected.items()}
